@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import decontam, licenses, quality, sql, urls
+from terrafold.llm import decontam, licenses, neardup, packing, quality, sql, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op8_license_scan, op9_decontaminate, op10_url_filter)
+    f.__name__: f for f in (op1_pattern_packing, op4_minhash_near_dedup, op5_quality_rules, op8_license_scan, op9_decontaminate, op10_url_filter)
 }
 SQL: dict[str, str] = sql.ALL
