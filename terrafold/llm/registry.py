@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import decontam, licenses, neardup, packing, quality, sql, urls
+from terrafold.llm import decontam, licenses, lines, neardup, packing, quality, sql, suffixes, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_table(_table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -40,6 +48,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pattern_packing, op4_minhash_near_dedup, op5_quality_rules, op8_license_scan, op9_decontaminate, op10_url_filter)
+    f.__name__: f for f in (op1_pattern_packing, op2_line_dedup, op3_suffix_dedup, op4_minhash_near_dedup, op5_quality_rules, op8_license_scan, op9_decontaminate, op10_url_filter)
 }
 SQL: dict[str, str] = sql.ALL
