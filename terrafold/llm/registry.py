@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import decontam, licenses, lines, neardup, packing, quality, sql, suffixes, urls
+from terrafold.llm import decontam, licenses, lines, neardup, packing, quality, sql, suffixes, urls, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op7_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pattern_packing, op2_line_dedup, op3_suffix_dedup, op4_minhash_near_dedup, op5_quality_rules, op8_license_scan, op9_decontaminate, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_pattern_packing, op2_line_dedup, op3_suffix_dedup, op4_minhash_near_dedup, op5_quality_rules,
+        op6_warc, op7_wrapper_text, op8_license_scan, op9_decontaminate, op10_url_filter,
+    )
 }
 SQL: dict[str, str] = sql.ALL
