@@ -97,9 +97,11 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules and their hosts' verdicts keep."""
+    """The rows of docs, with all their columns, that the rules and their hosts' verdicts keep.
+
+    The measured rows are written once: hosts are summed from them, and Catalyst can't move the filter below the
+    measures, where it would make the texts' word arrays anew for every window.
+    """
     own, host = F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs["source"], F.lit("")).alias("__host")
-    rows = docs.select(own, host, docs["text"].alias("__text"))
-    flags = features(rows, ["__host"], "__text").select("__host", "base_failed", "soft_failed")
-    verdicts = staged(host_verdicts(flags, "__host"), "hosts")
-    return judged(features(rows, ["__row", "__host"], "__text"), verdicts, "__host").where("kept").select("__row.*")
+    measured = staged(features(docs.select(own, host, docs["text"].alias("__text")), ["__row", "__host"], "__text"), "quality")
+    return judged(measured, host_verdicts(measured, "__host"), "__host").where("kept").select("__row.*")
