@@ -202,7 +202,7 @@ def jackknife(spark, sf_dir):
     """Leave-one-block-out mean and error: totals less each block."""
     b = views.pixels(spark, sf_dir).groupBy(F.expr("line div 10").alias("block")).agg(F.count("*").alias("n"), F.sum("z").alias("s"))
     t = b.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.count("*").alias("g"))
-    one = b.crossJoin(F.broadcast(t)).select(((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("m"), "g")
+    one = b.crossJoin(F.broadcast(t)).select(F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")).alias("m"), "g")
     return one.agg(r6(F.avg("m")).alias("mean"), F.round(F.expr("sqrt((first(g) - 1) / first(g) * count(*) * var_pop(m))"), 5).alias("se"), F.first("g").alias("blocks"))
 
 
@@ -215,7 +215,7 @@ def block_bootstrap(spark, sf_dir):
     b = views.pixels(spark, sf_dir).groupBy(F.expr("line div 10").alias("block")).agg(F.count("*").alias("n"), F.sum("z").alias("s"))
     r = b.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("u", (F.pmod(F.xxhash64("block", "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30))
     times = F.expr(f"size(filter(array({', '.join(f'{sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))}D' for k in range(8))}), c -> u > c))")
-    m = r.groupBy("replicate").agg((F.sum(times * F.col("s")) / F.sum(times * F.col("n"))).alias("m"))
+    m = r.groupBy("replicate").agg(F.try_divide(F.sum(times * F.col("s")), F.sum(times * F.col("n"))).alias("m"))
     return m.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select(*[F.col("q")[k].alias(n) for k, n in enumerate(("low", "median", "high"))])
 
 
