@@ -119,7 +119,8 @@ def frames(data: bytes) -> Iterator[bytes]:
 def marked(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest (SHA-1), row, refers_to, revisit: of rows with equal payloads of at least min_bytes, that with the largest page_id is no revisit."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
-    p = p.withColumn("digest", F.unhex(F.sha1("payload")))
+    # Written once: the rows are numbered for both uses alike, whatever pages is made of.
+    p = staged(p.withColumn("digest", F.unhex(F.sha1("payload"))), "pages")
     # Only digests and ids are grouped, and combined in each task first, so that no payload's copies meet in one task.
     groups = p.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("best")).where("n > 1")
     groups = small(staged(groups.select(F.col("digest").alias("d"), F.col("best.page_id").alias("refers_to"), F.col("best.row").alias("best")), "copies"))
