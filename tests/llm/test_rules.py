@@ -28,7 +28,7 @@ def test_against_sql(spark, name):
     con.register("documents", documents)
     con.register("benchmark", benchmark)
     got = quality.quality_table(df) if name.startswith("op5") else decontam.digest_table(df, bench)
-    rel = con.sql(sql.ALL[name]).select(", ".join(got.columns)) if False else con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql.ALL[name]})")
+    rel = con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql.ALL[name]})")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(rel.fetchall(), key=str)
 
 
