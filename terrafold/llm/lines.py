@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import BROADCAST_ROWS, small, staged
 
-#: Lines within so many edits are near duplicates; shorter lines are never removed.
+#: Lines within so many edits are near duplicates; shorter lines have none.
 EDITS, MIN_CHARS = 1, 20
+#: A line with a word.
+WORDED = r"rlike(line, '[^\\x20\\x09-\\x0D]')"
 #: A segment that more lines share is not joined but split further.
 HOT = 64
 
@@ -95,12 +97,12 @@ def within(pairs: DataFrame, k: int) -> DataFrame:
     return staged(p.select(*keep, verdict), "near").where("__near").select(*keep)
 
 
-def exploded(docs: DataFrame, min_chars: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """row, at (null ids last, doc_id, line number), no, line, h (128 bits): one row for each line of at least min_chars characters."""
+def exploded(docs: DataFrame, min_chars: int, short: bool, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """row, at (null ids last, doc_id, line number), no, line, h (128 bits): one row for each line of at least min_chars characters; short: and for shorter ones with a word."""
     # Numbered first: beside posexplode, the id would count lines.
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     d = d.select("row", "doc", F.posexplode(F.split("__t", "\n", -1)).alias("no", "line"))
-    d = d.where(F.length("line") >= min_chars)
+    d = d.where(F.expr(f"length(line) >= {min_chars} or {short} and {WORDED}"))
     return d.select("row", "no", F.struct(F.col("doc").isNull().alias("none"), "doc", "no", "row").alias("at"), "line", F.struct(F.xxhash64("line"), F.xxhash64("line", F.lit(1))).alias("h"))
 
 
@@ -140,13 +142,16 @@ def links(lines: DataFrame, k: int) -> DataFrame:
     return within(both, k).select("a", "b")
 
 
-def removals(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """row, n_exact, n_near, n_links, gone (line numbers): what each row of docs loses; rows that lose nothing and have no link are absent."""
+def removals(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc: str = "doc_id", short: bool = False) -> DataFrame:
+    """row, n_exact, n_near, n_links, gone (line numbers): what each row of docs loses; rows that lose nothing and have no link are absent.
+
+    short: shorter lines with a word go where they repeat an earlier one; equality needs no edit join.
+    """
     if min_chars <= k:
         raise ValueError("lines need a character for each segment")
-    lines = exploded(docs, min_chars, text, doc)
+    lines = exploded(docs, min_chars, short, text, doc)
     firsts = staged(lines.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "firsts")
-    found = staged(links(lines, k), "links")
+    found = staged(links(lines.where(F.length("line") >= min_chars), k), "links")
     both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = both.join(firsts.select(F.col("h").alias("b"), "first"), "b").groupBy(F.col("a").alias("h")).agg(F.min("first").alias("other"), F.count("*").alias("links"))
     known = firsts.join(other, "h", "left").where("copies > 1 or other is not null").withColumn("near", F.coalesce(F.col("other") < F.col("first"), F.lit(False)))
@@ -160,9 +165,9 @@ def removals(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, text:
     )
 
 
-def with_kept(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def with_kept(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs as a struct __row, with __kept (the text without its removed lines), n_lines, n_exact, n_near, n_links."""
-    cut = removals(docs, k, min_chars)
+    cut = removals(docs, k, min_chars, short=short)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"), F.monotonically_increasing_id().alias("row"))
     j = rows.join(cut, "row", "left").withColumn("__l", F.split("__text", "\n", -1))
     kept = F.expr("if(gone is null or size(gone) = 0, __text, array_join(transform(array_except(sequence(0, size(__l) - 1), gone), i -> __l[i]), '\\n'))")
@@ -170,22 +175,22 @@ def with_kept(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     return j.select("__row", kept.alias("__kept"), zero("n_exact"), zero("n_near"), zero("n_links"), F.when(F.coalesce("__text", F.lit("")) == "", 0).otherwise(F.size("__l")).cast("long").alias("n_lines"))
 
 
-def line_table(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_table(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_links, kept_sha256 (of the kept lines in UTF-8; null text: empty) for each row of docs.
 
     A line of at least min_chars characters goes if an equal one stands earlier (n_exact), or if its first copy and an
     earlier line are within k edits of each other (n_near); earlier is by doc_id, then line number; null ids come
-    last, repeated ids by row. n_links counts the other texts that a document's lines are near to, line by line.
+    last, repeated ids by row. short: shorter lines with a word go if an equal one stands earlier. n_links counts the other texts that a document's lines are near to, line by line.
     """
-    t = with_kept(docs, k, min_chars)
+    t = with_kept(docs, k, min_chars, short)
     return t.select("__row.doc_id", "n_lines", "n_exact", "n_near", "n_links", F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs, with all columns, whose texts lack the lines that stand elsewhere before; rows that lose all they had go.
 
-    Where there is a column n_chars, it is counted again for changed texts.
+    short: see line_table. Where there is a column n_chars, it is counted again for changed texts.
     """
-    t = with_kept(docs, k, min_chars).where(r"n_exact + n_near = 0 or __kept rlike '[^\\x20\\x09-\\x0D]'")
+    t = with_kept(docs, k, min_chars, short).where(r"n_exact + n_near = 0 or __kept rlike '[^\\x20\\x09-\\x0D]'")
     new = {"text": F.col("__kept"), "n_chars": F.when(F.col("n_exact") + F.col("n_near") > 0, F.length("__kept").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row.n_chars") if "n_chars" in docs.columns else None)}
     return t.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`") for c in docs.columns])

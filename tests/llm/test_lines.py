@@ -78,3 +78,18 @@ def test_dedup_lines(spark):
     got = sorted(map(tuple, lines.dedup_lines(df).collect()))
     assert got == [(1, a + "\nshort", "s", len(a) + 6), (3, None, "s", 0), (4, "short", None, 5), (5, "short", "t", 5)]
     assert lines.dedup_lines(df.where(F.lit(False))).collect() == []
+
+
+def test_short_repeats(spark, tmp_path):
+    """Registered query and stage: equal lines go at any length if they have a word."""
+    from terrafold.llm import registry
+
+    import corpus_pipeline
+
+    texts = ["ab\n\nHome\n \n漢", "Home\n\nhome\n \n漢", "ab\nHome\nab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_exact, r.n_near, r.kept_sha256) for r in registry.op2_line_dedup(spark, str(tmp_path)).collect())
+    kept = [texts[0], "\nhome\n ", ""]
+    assert got == [(i, n, 0, hashlib.sha256(t.encode()).hexdigest()) for (i, n), t in zip([(0, 0), (1, 2), (2, 3)], kept, strict=True)]
+    assert sorted(map(tuple, corpus_pipeline.line_dedup(spark, df, "").collect())) == [(0, kept[0]), (1, kept[1])]
