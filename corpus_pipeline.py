@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand elsewhere before, equal or within an edit, go; so do documents that keep no word."""
-    return lines.dedup_lines(docs, short=True)
+    """Lines that stand elsewhere before, equal or within some edits, go; so do documents that keep no word."""
+    return lines.dedup_lines(docs, lines.GRADED, short=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

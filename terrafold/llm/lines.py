@@ -17,42 +17,67 @@ from terrafold.llm.common import BROADCAST_ROWS, small, staged
 
 #: Lines within so many edits are near duplicates; shorter lines have none.
 EDITS, MIN_CHARS = 1, 20
+#: What the query and the pipeline use, by length of the shorter line: an edit for every ten characters, three at most.
+GRADED = [(10, 1), (20, 2), (30, 3)]
 #: A line with a word.
 WORDED = r"rlike(line, '[^\\x20\\x09-\\x0D]')"
 #: A segment that more lines share is not joined but split further.
 HOT = 64
 
 
-def segments(text: str, k: int, d: int, own: bool, prior: str, rest: bool) -> list[str]:
-    """SQL structs (key, own, d[, m, rest]): the segments of a text of length n (own), and the substrings by which it probes for texts of length m = n - d.
+def probes(classes: list[tuple[int, int]]) -> str:
+    """SQL array of structs k, lo, hi, i, shift, d, own: how a text probes for texts of length m = n - d from lo to hi, which are split into k+1 segments.
 
     Segment i (from 1) of a text of length m starts after (i-1)*m div (k+1) characters. A text's own segments are its
-    probes at the same places, too. The rest is what stands before and behind a segment: where two texts within k
-    edits share one, their rests are within k edits as well.
+    probes at the same places, too.
     """
-    m = f"(length({text}) - {d})"
-    begin = lambda i: f"(({m} * {i - 1}) div {k + 1})"
     found = []
-    for i in range(1, k + 2):
-        for shift in range(max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i)) + 1):
-            start, size = f"int({begin(i)} + {shift})", f"int({begin(i + 1)} - {begin(i)})"
-            key = f"xxhash64({prior}, {i}, {m}, substring({text}, {start} + 1, {size}))"
-            more = f", int({m}) - {size} as m, concat(substring({text}, 1, {start}), substring({text}, {start} + {size} + 1)) as rest" if rest else ""
-            found.append(f"struct({key} as key, {str(own and shift == 0).lower()} as own, {d} as d{more})")
-    return found
+    for (lo, k), (end, _) in zip(classes, [*classes[1:], (1 << 31, 0)], strict=True):
+        for d in range(k + 1):
+            for i in range(1, k + 2):
+                for shift in range(max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i)) + 1):
+                    found.append(f"struct({k} as k, {lo} as lo, {end - 1} as hi, {i} as i, {shift} as shift, {d} as d, {str(d == 0 and shift == 0).lower()} as own)")
+    return f"array({', '.join(found)})"
 
 
-def of_lines(lines: DataFrame, k: int, rest: bool) -> DataFrame:
-    """h and the fields of segments() for each line."""
-    both = [s for d in range(k + 1) for s in segments("line", k, d, d == 0, "0", rest)]
-    return lines.select("h", F.expr(f"inline(array({', '.join(both)}))"))
+def segmented(rows: DataFrame, text: str, prior: str, rest: bool) -> DataFrame:
+    """h, key, own, d, k[, m, rest] of rows that have n (the text's length) and the fields of probes().
 
+    The rest is what stands before and behind a segment: where two texts within k edits share one, their rests are
+    within k edits as well.
+    """
+    rows = rows.withColumn("__m", F.expr("n - d")).withColumn("__b", F.expr("int(__m * (i - 1) div (k + 1))"))
+    rows = rows.withColumn("__s", F.expr("int(__m * i div (k + 1)) - __b")).withColumn("__b", F.expr("__b + shift"))
+    more = ["__m - __s as m", f"concat(substring({text}, 1, __b), substring({text}, __b + __s + 1)) as rest"] if rest else []
+    return rows.selectExpr("h", f"xxhash64({prior}, i, __m, substring({text}, __b + 1, __s)) as key", "own", "d", "k", *more)
+
+
+def of_lines(lines: DataFrame, classes: list[tuple[int, int]], rest: bool) -> DataFrame:
+    """h and the fields of segmented() for each line."""
+    rows = lines.select("h", "line", F.length("line").alias("n")).select("h", "line", "n", F.expr(f"inline({probes(classes)})"))
+    return segmented(rows.where("n - d between lo and hi"), "line", "0L", rest)
+
+
+def of_rests(rests: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
+    """The next level: h and the fields of segmented() for what the level before left."""
+    rows = rests.selectExpr("h", "key", "rest", "length(rest) as n", "own as __own", "d as __d", "k as __k")
+    rows = rows.select("*", F.expr(f"inline({probes(classes)})")).where("k = __k and d = if(__own, 0, __d)").withColumn("own", F.expr("own and __own"))
+    return segmented(rows, "rest", "key", True)
 
-def of_rests(rests: DataFrame, k: int) -> DataFrame:
-    """The next level: h and the fields of segments() for what the level before left."""
-    of = lambda d, own: f"array({', '.join(segments('rest', k, d, own, 'key', True))})"
-    cases = " ".join(f"when d = {d} then {of(d, False)}" for d in range(k + 1))
-    return rests.select("h", F.expr(f"inline(case when own then {of(0, True)} {cases} end)"))
+
+def sought(rows: DataFrame, n: int) -> DataFrame:
+    """rows whose key may be some text's own segment; n: own segments, about. Lossless: a bit for each own key's hash, some eight bits a key.
+
+    Beyond BROADCAST_ROWS groups of bits, more keys share a bit and more rows stay.
+    """
+    groups, words = min(BROADCAST_ROWS, 8 * n // 1024 + 1), range(16)
+    at = F.expr(f"pmod(key, {groups * 1024}L)").alias("__p")
+    cell = [F.expr("__p div 1024").alias("__g"), F.expr("int(__p div 64 % 16)").alias("__w"), F.expr("int(__p % 64)").alias("__bit")]
+    own = rows.where("own").select(at).select(*cell).repartition("__g")
+    bits = own.groupBy("__g").agg(*[F.bit_or(F.expr(f"if(__w = {w}, shiftleft(1L, __bit), 0L)")).alias(f"__w{w}") for w in words])
+    word = "case __w " + " ".join(f"when {w} then __w{w}" for w in words) + " end"
+    kept = rows.withColumn("__p", at).select(*rows.columns, *cell).join(F.broadcast(bits), "__g")
+    return kept.where(f"shiftright({word}, __bit) & 1L = 1L").select(*rows.columns)
 
 
 def within(pairs: DataFrame, k: int) -> DataFrame:
@@ -106,19 +131,23 @@ def exploded(docs: DataFrame, min_chars: int, short: bool, text: str = "text", d
     return d.select("row", "no", F.struct(F.col("doc").isNull().alias("none"), "doc", "no", "row").alias("at"), "line", F.struct(F.xxhash64("line"), F.xxhash64("line", F.lit(1))).alias("h"))
 
 
-def links(lines: DataFrame, k: int) -> DataFrame:
-    """a, b (hashes of lines): each pair of different lines within k edits, once.
+def links(lines: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame:
+    """a, b (hashes of lines): each pair of different lines within k edits, once; n: different lines, about.
+
+    classes has (length, k) by length: k holds where the shorter line has that length or more, up to the next one's.
 
     A key that more than HOT lines have on both sides isn't joined: what its lines have besides the shared segment is
     split into segments in turn, until keys are rare or the rests are so short that all are within k edits.
     """
-    rows, level, found = of_lines(lines, k, False), 0, []
+    rows, level, found = of_lines(lines, classes, False), 0, []
+    if classes[-1][1] > 1:
+        rows = sought(rows, n * (classes[-1][1] + 1))
     while True:
         # Equal lines collapse before the shuffle: a line gives each of its keys once.
-        m = F.min("m") if level else F.lit(k + 1)
-        keys = staged(rows.groupBy("key", "h").agg(F.max("own").alias("own"), m.alias("m")), "keys")
-        busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"), F.min("m").alias("m")).where("n > 1 and owned > 0")
-        busy = staged(busy.select("key", F.expr(f"owned > {HOT} and n > {HOT} and m > {k}").alias("hot")), "busy")
+        m = F.min("m") if level else F.lit(1 << 30)
+        keys = staged(rows.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("k").alias("k"), m.alias("m")), "keys")
+        busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"), F.max("k").alias("k"), F.min("m").alias("m")).where("n > 1 and owned > 0")
+        busy = staged(busy.select("key", F.expr(f"owned > {HOT} and n > {HOT} and m > k").alias("hot")), "busy")
         n_hot, n_rare = busy.agg(F.count_if("hot"), F.count_if(~F.col("hot"))).first()
         sized = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
         hot, rest = sized(busy.where("hot").select("key"), n_hot), sized(busy.where("not hot").select("key"), n_rare)
@@ -131,27 +160,35 @@ def links(lines: DataFrame, k: int) -> DataFrame:
         if level == 0:
             ends = keys.join(hot, "key", "left_semi").select("h").distinct()
             texts = lines.select("h", "line").join(small(staged(ends, "ends")), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-            rows = of_lines(texts, k, True)
-        rows = of_rests(staged(rows.join(hot, "key", "left_semi"), "rests"), k)
+            rows = of_lines(texts, classes, True)
+        rows = of_rests(staged(rows.join(hot, "key", "left_semi"), "rests"), classes)
         level += 1
     pairs = reduce(DataFrame.unionByName, found)
     pairs = staged(pairs.groupBy("a", "b").agg(F.lit(1).alias("x")).drop("x"), "candidates")
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     texts = staged(lines.select("h", "line").join(small(ends), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return within(both, k).select("a", "b")
+    both, near = both.withColumn("n", F.expr("least(length(x), length(y))")), []
+    for (lo, k), (end, _) in zip(classes, [*classes[1:], (1 << 31, 0)], strict=True):
+        part = both.where(f"n between {lo} and {end - 1}")
+        # A cheap test first: few candidates are near where segments are short.
+        near.append(within(part.where(f"levenshtein(x, y, {k}) >= 0") if k > 1 else part, k).select("a", "b"))
+    return reduce(DataFrame.unionByName, near)
 
 
-def removals(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc: str = "doc_id", short: bool = False) -> DataFrame:
+def removals(docs: DataFrame, k: int | list[tuple[int, int]] = EDITS, min_chars: int = MIN_CHARS, text: str = "text", doc: str = "doc_id", short: bool = False) -> DataFrame:
     """row, n_exact, n_near, n_links, gone (line numbers): what each row of docs loses; rows that lose nothing and have no link are absent.
 
+    k: edits, or (length, edits) by length of the shorter line, which replaces min_chars; see links.
     short: shorter lines with a word go where they repeat an earlier one; equality needs no edit join.
     """
-    if min_chars <= k:
+    classes = [(min_chars, k)] if isinstance(k, int) else k
+    min_chars = classes[0][0]
+    if any(least <= edits for least, edits in classes):
         raise ValueError("lines need a character for each segment")
     lines = exploded(docs, min_chars, short, text, doc)
     firsts = staged(lines.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("copies")), "firsts")
-    found = staged(links(lines.where(F.length("line") >= min_chars), k), "links")
+    found = staged(links(lines.where(F.length("line") >= min_chars), classes, firsts.count()), "links")
     both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = both.join(firsts.select(F.col("h").alias("b"), "first"), "b").groupBy(F.col("a").alias("h")).agg(F.min("first").alias("other"), F.count("*").alias("links"))
     known = firsts.join(other, "h", "left").where("copies > 1 or other is not null").withColumn("near", F.coalesce(F.col("other") < F.col("first"), F.lit(False)))
@@ -165,7 +202,7 @@ def removals(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, text:
     )
 
 
-def with_kept(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def with_kept(docs: DataFrame, k: int | list[tuple[int, int]] = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs as a struct __row, with __kept (the text without its removed lines), n_lines, n_exact, n_near, n_links."""
     cut = removals(docs, k, min_chars, short=short)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"), F.monotonically_increasing_id().alias("row"))
@@ -175,7 +212,7 @@ def with_kept(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short
     return j.select("__row", kept.alias("__kept"), zero("n_exact"), zero("n_near"), zero("n_links"), F.when(F.coalesce("__text", F.lit("")) == "", 0).otherwise(F.size("__l")).cast("long").alias("n_lines"))
 
 
-def line_table(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, k: int | list[tuple[int, int]] = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_links, kept_sha256 (of the kept lines in UTF-8; null text: empty) for each row of docs.
 
     A line of at least min_chars characters goes if an equal one stands earlier (n_exact), or if its first copy and an
@@ -186,7 +223,7 @@ def line_table(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, shor
     return t.select("__row.doc_id", "n_lines", "n_exact", "n_near", "n_links", F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int | list[tuple[int, int]] = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs, with all columns, whose texts lack the lines that stand elsewhere before; rows that lose all they had go.
 
     short: see line_table. Where there is a column n_chars, it is counted again for changed texts.

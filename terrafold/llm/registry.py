@@ -20,7 +20,7 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_table(_table(spark, sf_dir, "documents"), short=True)
+    return lines.line_table(_table(spark, sf_dir, "documents"), lines.GRADED, short=True)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

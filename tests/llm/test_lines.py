@@ -93,3 +93,29 @@ def test_short_repeats(spark, tmp_path):
     kept = [texts[0], "\nhome\n ", ""]
     assert got == [(i, n, 0, hashlib.sha256(t.encode()).hexdigest()) for (i, n), t in zip([(0, 0), (1, 2), (2, 3)], kept, strict=True)]
     assert sorted(map(tuple, corpus_pipeline.line_dedup(spark, df, "").collect())) == [(0, kept[0]), (1, kept[1])]
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_graded(spark, tmp_path, hot, monkeypatch):
+    """The registered query removes lines with a changed word: k by length of the shorter line, against all pairs."""
+    from terrafold.llm import registry
+
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (8, 9, 10, 11, 18, 19, 20, 21, 27, 28, 29, 30, 31, 33, 45, 60)]
+    base += ["the sum of thnt to of all", "the sum of thnt in of all"]
+    texts = [edited(rng, rng.choice(base), rng.randrange(5)) for _ in range(150)] + base
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_exact, r.n_near, r.n_links) for r in registry.op2_line_dedup(spark, str(tmp_path)).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        if t.strip():
+            first.setdefault(t, i)
+    edits = lambda n: 0 if n < 10 else min(n // 10, 3)
+    near = {s: [o for o in first if o != s and distance(s, o) <= edits(min(len(s), len(o)))] for s in first}
+    want = {}
+    for i, t in enumerate(texts):
+        exact = t in first and first[t] != i
+        want[i] = (int(exact), int(t in first and not exact and any(first[o] < i for o in near[t])), len(near.get(t, [])))
+    assert got == want
+    assert want[len(texts) - 1][1] == 1
