@@ -43,16 +43,18 @@ class WordEncoder:
     """Token ids of whole texts by a tokenizers file whose tokens never cross words; each word is encoded once.
 
     Texts of common characters are lower-cased and parted here by the file's own pattern; other texts go through the
-    tokenizer whole, so that its Unicode rules hold.
+    tokenizer whole, so that its Unicode rules hold. added: added tokens in a text get their ids, as by the tokenizer's
+    own default, and texts that hold one go through it whole; else they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         usual = [c for c in map(chr, range(0x180)) if c in "\t\n\r" or (" " <= c and not "\x7f" <= c <= "\xa0" and c != "İ")]
         kind = lambda k: "".join(re.escape(c) for c in usual if unicodedata.category(c)[0] == k)
         self.plain = re.compile("[" + "".join(map(re.escape, usual)) + "]*")
@@ -75,7 +77,7 @@ class WordEncoder:
             self.forget()
         words = {}
         for i, t in enumerate(texts):
-            if self.plain.fullmatch(t):
+            if self.plain.fullmatch(t) and not any(a in t.lower() for a in self.added):
                 words[i] = np.fromiter(map(self.known.__getitem__, self.parts.findall(t.lower())), np.int64)
         if self.known.fresh:
             self.learn()
@@ -89,12 +91,12 @@ class WordEncoder:
         return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each row's ids and end_id, cut where they are longer than a sequence."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        encode = WordEncoder(tokenizer)
+        encode = WordEncoder(tokenizer, added)
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
@@ -182,13 +184,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return made + [(p, n) for groups in room.values() for p, n in groups]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text).
 
     Null and empty texts are one piece of the end id. Repeated rows and null ids are packed like others. An empty table
-    gives no row. Which of equal lengths stands where follows doc_id and piece.
+    gives no row. Which of equal lengths stands where follows doc_id and piece. added: see WordEncoder.
     """
-    cut = staged(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = staged(pieces(docs, tokenizer, capacity, end_id, added), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     spans, sequence = [], 0
     taken: dict[int, int] = defaultdict(int)

@@ -60,3 +60,16 @@ def test_pack(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_added_tokens(spark, tmp_path):
+    """The registered query gives the ids of the tokenizer's plain call."""
+    from terrafold.llm import registry
+
+    t = Tokenizer.from_file(PATH)
+    texts = [*(x or "" for x in TEXTS), "hello <|endoftext|> world", "a<|startoftext|>b", "x <|ENDOFTEXT|> y"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in packing.WordEncoder(PATH, added=True)(texts)] == want
+    assert want[-3] == [3306, 49407, 1002]
+    spark.createDataFrame([(1, texts[-3])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.length for r in registry.op1_pattern_packing(spark, str(tmp_path)).collect()] == [4]
