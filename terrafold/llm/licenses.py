@@ -32,7 +32,8 @@ NAMES = [
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?"),
     ("bsd", "bsd", r"bsd"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("isc", "isc", r"isc"),

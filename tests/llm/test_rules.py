@@ -72,3 +72,10 @@ def test_empty(spark):
     none = docs(spark).where("false")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert quality.quality_table(none).collect() == quality.quality_filter(none).collect() == licenses.scan(none).collect() == decontam.digest_table(none, bench).collect() == []
+
+
+def test_freebsd(spark):
+    """FreeBSD's keyword lets its rule through where no other word begins with bsd."""
+    df = spark.createDataFrame([(1, "Under the FreeBSD license."), (2, "under the simplified BSD license")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert all("bsd-2-clause" in str(got[i]) for i in (1, 2)), got
