@@ -1,10 +1,18 @@
 """Operator 4, near duplicates by SetSketch registers.
 
-A document is its set of word shingles. Each set gets SetSketch registers: exponentially spaced, truncated minima,
-which merge by maximum and are equal about as often as the sets are similar. Bands of four registers are the buckets.
-Equal sets are one class. Within buckets, every class is first tried against a few hubs; what is still apart after that
-is compared throughout, in blocks, by the joint likelihood of the registers, and each candidate pair is verified on the
-full sets. Links are joined into components by joins of label tables.
+A document is its set of word shingles; equal sets are one class. Each class gets SetSketch registers: exponentially
+spaced, truncated minima, which merge by maximum and are equal about as often as the sets are similar. Bands of six
+registers are the buckets.
+
+1. Every class is estimated, by the joint likelihood of the registers, against a few hubs of its buckets. Estimates of
+   FAMILY or more make families, which are wider than the classes sought.
+2. A bucket that still holds several families is compared in blocks, by registers; what may be linked joins families.
+   Now every pair that shares a bucket and may be linked is in one family.
+3. The full sets go to their family's block, once, and are verified there. A family beyond a block's bounds is first
+   verified against hubs; what is outside of its largest component then meets all of it, block by block.
+
+Blocks return spanning links, no more than they have members, so no join carries pairs. Links are joined into
+components by joins of label tables.
 """
 
 from __future__ import annotations
@@ -18,17 +26,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.arrowtext import U, chunks, mix, shingle_sets
-from terrafold.llm.common import staged
+from terrafold.llm.common import small, staged
 
 #: Base, rate and limit of the registers, which are 16 bits wide. A base near 1 keeps them locality-sensitive.
 SKETCH_BASE, SKETCH_RATE, SKETCH_MAX = 1.001, 20.0, 65_535
-ROWS = 4
+ROWS = 6
 #: Chance that a pair at the threshold meets in no bucket; the number of bands follows.
-MISS = 1e-7
-#: A pair is verified if its estimate is within so many standard errors of the threshold.
+MISS = 1e-5
+#: A pair may be linked if its estimate is within so many standard errors of the threshold.
 MARGIN = 5.0
-#: Each class tries so many hubs first. Larger buckets are compared in blocks of about so many classes.
-HUBS, BLOCK = 2, 1_000
+#: Estimates that make a family, at most.
+FAMILY = 0.5
+#: Kinds of hubs: of a bucket, one is hub; bands share kinds, so that a class meets few hubs more than once.
+KINDS = 4
+#: Classes of large families are verified against so many hubs first.
+HUBS = 2
+#: A block has about so many classes, and about so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def bands_for(threshold: float) -> int:
@@ -37,13 +51,15 @@ def bands_for(threshold: float) -> int:
 
 def sketches(sets: list[np.ndarray], m: int) -> np.ndarray:
     """A row of m registers for each set; the sets aren't empty."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    flat, starts = (np.concatenate(sets) >> U(32)).astype(np.uint32), np.cumsum([0, *map(len, sets[:-1])])
     rng = np.random.default_rng(7)
-    seeds, factors = rng.integers(0, 1 << 63, m, dtype=np.uint64), rng.integers(0, 1 << 63, m, dtype=np.uint64) | U(1)
-    least = np.empty((len(sets), m), np.uint64)
+    seeds, factors = rng.integers(0, 1 << 32, m, dtype=np.uint32), rng.integers(0, 1 << 32, m, dtype=np.uint32) | np.uint32(1)
+    least, hashed = np.empty((len(sets), m), np.uint32), np.empty_like(flat)
     for j in range(m):
-        least[:, j] = np.minimum.reduceat((flat ^ seeds[j]) * factors[j], starts)
-    x = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64.000001) / SKETCH_RATE
+        np.bitwise_xor(flat, seeds[j], out=hashed)
+        np.multiply(hashed, factors[j], out=hashed)
+        least[:, j] = np.minimum.reduceat(hashed, starts)
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / SKETCH_RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(SKETCH_BASE)), 0, SKETCH_MAX).astype(np.uint16)
 
 
@@ -67,48 +83,63 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def _sketch_batches(k: int, m: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    weights = np.random.default_rng(11).integers(0, 1 << 63, ROWS, dtype=np.uint64) | U(1)
 
     def run(batches):
         for rows, data, offsets in chunks(batches):
             sets = shingle_sets(data, offsets, k)
             full = [i for i, s in enumerate(sets) if len(s)]
-            regs = sketches([sets[i] for i in full], m).view(np.int64) if full else []
-            key, bands = [None] * len(sets), [None] * len(sets)
-            for i, r in zip(full, regs, strict=True):
-                key[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), r
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            regs = sketches([sets[i] for i in full], m) if full else np.zeros((0, m), np.uint16)
+            values = mix((mix(regs.reshape(len(full), -1, ROWS).astype(np.uint64) + U(1)) * weights).sum(2)).view(np.int64)
+            key, packed, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            for i, r, v in zip(full, regs, values, strict=True):
+                key[i], packed[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), r.tobytes(), v
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return run, "doc_id long, n_shingles long, key binary, bands array<long>"
+    return run, "doc_id long, n_shingles long, key binary, regs binary, bands array<long>"
 
 
 def _set_batches(k: int):
+    """id, key, shingles of each text; a task's repeated rows once."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
+        seen = set()
         for rows, data, offsets in chunks(batches):
-            sets = [s.tobytes() for s in shingle_sets(data, offsets, k)]
-            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+            ids, keys, sets = [], [], []
+            for i, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets, k), strict=True):
+                raw = s.tobytes()
+                key = hashlib.blake2b(raw, digest_size=16).digest()
+                if (i, key) not in seen:
+                    seen.add((i, key))
+                    ids.append(i)
+                    keys.append(key)
+                    sets.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
     return run, "id long, key binary, shingles binary"
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _estimate_batches(limit: float):
+def _estimate_batches():
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            n_a, n_b = b.column("n_a").to_numpy().astype(float), b.column("n_b").to_numpy().astype(float)
-            est = estimates(_registers(b.column("x")), _registers(b.column("y")), n_a, n_b)
-            out = b.select(["a", "b"]).append_column("est", pa.array(est))
-            yield out.filter(pa.array(est >= limit))
+            if b.num_rows:
+                n_a, n_b = b.column("n_a").to_numpy().astype(float), b.column("n_b").to_numpy().astype(float)
+                yield b.select(["a", "b", "n_a", "n_b"]).append_column("est", pa.array(estimates(_registers(b.column("x")), _registers(b.column("y")), n_a, n_b)))
+
+    return run, "a long, b long, n_a long, n_b long, est double"
+
 
-    return run, "a long, b long, est double"
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    few, many = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    return int((many[at] == few).sum())
 
 
 def _verify_batches(num: int, den: int):
@@ -117,40 +148,106 @@ def _verify_batches(num: int, den: int):
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
+                both = shared(x, y)
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run, "a long, b long"
 
 
-def _block_pairs(m: int, num: int, den: int, limit: float):
-    """Of a bucket's block (or two): the pairs of different components that sizes and registers allow."""
+class Forest:
+    """Joins labels; keeps the pairs that joined two."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.of = np.unique(labels, return_inverse=True)
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def join(self, i: int, others: np.ndarray, ids: np.ndarray) -> None:
+        for o in others:
+            if self.of[i] != self.of[o]:
+                self.of[self.of == self.of[o]] = self.of[i]
+                self.a.append(int(min(ids[i], ids[o])))
+                self.b.append(int(max(ids[i], ids[o])))
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array(self.a, pa.int64()), "b": pa.array(self.b, pa.int64())})
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's classes, once each, and which of them stand on its left and on its right."""
+    table = table.combine_chunks()
+    ids, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
+    _, first, where = np.unique(ids, return_index=True, return_inverse=True)
+    left, right = (np.unique(where[side != s]) for s in (2, 1))
+    return table.take(first), left, right
+
+
+def _register_block(num: int, den: int, limit: float):
+    """Of a bucket's block: pairs, across families, that sizes and registers allow; as many as join what they can."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, comp, n, part = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "part"))
-        regs = _registers(table.column("bands").combine_chunks())
-        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-        out_a, out_b = [], []
+        table, left, right = _sides(table)
+        ids, n, regs = table.column("rep").to_numpy(), table.column("n").to_numpy(), _registers(table.column("regs").combine_chunks())
+        forest = Forest(table.column("comp").to_numpy())
         for i in left:
-            other = right[right > i] if part.min() == part.max() else right
-            small, large = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
-            other = other[(comp[other] != comp[i]) & (den * small >= num * large)]
+            other = right[(forest.of[right] != forest.of[i]) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))]
             if len(other):
-                a = np.repeat(regs[i : i + 1], len(other), 0)
-                est = estimates(a, regs[other], np.full(len(other), float(n[i])), n[other].astype(float))
-                other = other[est >= limit]
-                out_a.append(np.minimum(ids[i], ids[other]))
-                out_b.append(np.maximum(ids[i], ids[other]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+                est = estimates(np.repeat(regs[i : i + 1], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float))
+                forest.join(i, other[est >= limit], ids)
+        return forest.table()
+
+    return run
+
+
+def _set_block(num: int, den: int):
+    """Of a family's block: pairs, across components, that the full sets confirm; as many as join what they can."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, left, right = _sides(table)
+        ids = table.column("rep").to_numpy()
+        forest = Forest(table.column("comp").to_numpy())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        n = np.array([len(s) for s in sets])
+        if len(left) == 1 or len(right) <= 2:
+            for i in left:
+                forest.join(i, [o for o in right if o != i and den * (b := shared(sets[i], sets[o])) >= num * (n[i] + n[o] - b)], ids)
+            return forest.table()
+        words, code = np.unique(np.concatenate([sets[o] for o in right]), return_inverse=True)
+        starts = np.cumsum([0, *n[right[:-1]]])
+        for i in left:
+            if (forest.of[right] == forest.of[i]).all():
+                continue
+            mark = np.zeros(len(words), np.int32)
+            at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+            mark[at[words[at] == sets[i]]] = 1
+            both = np.add.reduceat(mark[code], starts)  # how much of set i each set on the right has
+            forest.join(i, right[den * both >= num * (n[i] + n[right] - both)], ids)
+        return forest.table()
 
     return run
 
 
+def blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows (key, rep, comp, n, ...) of keys with several components, with p, q (the block) and side: 1 left, 2 right, 0 both.
+
+    Keys within a block's bounds are one block. Of others, what is outside of the largest component is dealt out on the
+    left and everything on the right, and each left part meets each right part.
+    """
+    comps = rows.groupBy(*key, "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    best = F.max(F.struct("c", "w", "comp"))
+    whole = comps.groupBy(*key).agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("w").alias("w"), best.alias("main")).where("comps > 1")
+    parts = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    whole = staged(whole.select(*key, F.col("main.comp").alias("main"), parts(F.col("c"), F.col("w")).alias("right"), parts(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("left")), "blocks")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side")))
+    on_right = F.transform(every("left"), lambda p: F.struct(p.alias("p"), at("right").alias("q"), F.lit(2).alias("side")))
+    on_left = F.transform(every("right"), lambda q: F.struct(at("left").alias("p"), q.alias("q"), F.lit(1).alias("side")))
+    places = F.when(F.col("right") == 1, one).when(F.col("comp") == F.col("main"), on_right).otherwise(F.concat(on_left, on_right))
+    return rows.join(small(whole), key).select(*rows.columns, F.explode(places).alias("x")).select(*rows.columns, "x.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, c for each end of edges (a, b): c is the smallest id that v reaches. Labels spread by joins, and jump to their label's label."""
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -181,46 +278,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     run, schema = _sketch_batches(k, m)
     sk = staged(text.mapInArrow(run, schema), "sketches")
-    reps = staged(
-        sk.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "classes"
-    )
+    reps = sk.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(n) for c, n in (("n_shingles", "n"), ("regs", "regs"), ("bands", "bands"))])
+    reps = staged(reps, "classes")
+    # 1. Hubs: in each bucket, for its band's kind, the class with the smallest hash.
     places = reps.select("rep", F.posexplode("bands").alias("band", "value"))
-    # A few hubs to a class: in each bucket, the class with the smallest hash for that band.
-    hubs = places.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("hub"))).alias("x"), F.count("*").alias("size")).where("size > 1")
-    met = places.join(hubs.select("band", "value", "x.hub"), ["band", "value"]).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep").distinct()
-    one = lambda end, x, n: reps.select(F.col("rep").alias(end), F.col("bands").alias(x), F.col("n").alias(n))
-    run, schema = _estimate_batches(limit)
-    sized = met.select("a", "b").distinct().join(one("a", "x", "n_a"), "a").join(one("b", "y", "n_b"), "b")
-    sized = sized.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").mapInArrow(run, schema)
-    best = met.join(sized, ["a", "b"]).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("est"), "a", "b"))).where(f"k <= {HUBS}")
-    tried = staged(best.select("a", "b").distinct(), "tried")
-    links = staged(_verified(text, reps, tried, k, num, den), "links")
+    hashed = F.xxhash64("rep", F.col("band") % KINDS)
+    hubs = places.groupBy("band", "value").agg(F.min(F.struct(hashed.alias("h"), F.col("rep").alias("hub"))).alias("x"), F.count("*").alias("size")).where("size > 1")
+    common = staged(places.join(hubs.select("band", "value", "x.hub"), ["band", "value"]), "common")
+    met = common.where("rep <> hub").select("rep", "hub").distinct()
+    one = lambda end, x, n: reps.select(F.col("rep").alias(end), F.col("regs").alias(x), F.col("n").alias(n))
+    run, schema = _estimate_batches()
+    near = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(one("a", "x", "n_a"), "a").join(one("b", "y", "n_b"), "b").mapInArrow(run, schema)
+    near = staged(near.where(F.col("est") >= min(FAMILY, limit)), "near")
+    family = components(near)
+    # 2. Buckets that hold several families.
+    of = lambda df: df.join(family, df["rep"] == family["v"], "left").withColumn("comp", F.coalesce("c", "rep")).drop("v", "c")
+    seen = of(common.select("rep", "band", "value"))
+    apart = staged(seen.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "value"), "apart")
+    if apart.limit(1).count():
+        rows = seen.join(small(apart), ["band", "value"]).join(reps.select("rep", "n", "regs"), "rep")
+        more = blocks(rows, ["band", "value"]).groupBy("band", "value", "p", "q").applyInArrow(_register_block(num, den, limit), "a long, b long")
+        family = components(near.select("a", "b").unionByName(staged(more.distinct(), "more")))
+    # 3. Families' full sets, in blocks.
+    members = family.select(F.col("c").alias("family"), F.col("v").alias("rep")).join(reps.select("rep", "key", "n"), "rep").withColumn("comp", F.col("rep"))
+    members = staged(members, "families")
+    large = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where((F.col("c") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).select("family")
+    large = staged(large, "large")
+    links = None
+    if large.limit(1).count():
+        inside = members.join(small(large), "family", "left_semi").select("rep", "key")
+        pairs = near.where(F.col("est") >= limit).where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").join(small(inside.select(F.col("rep").alias("a"))), "a", "left_semi")
+        ends = pairs.select("*", F.explode(F.array("a", "b")).alias("rep"))
+        best = ends.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("est"), "a", "b"))).where(f"k <= {HUBS}")
+        links = staged(_verified(text, inside, best.select("a", "b").distinct(), k, num, den), "links")
+        comp = components(links)
+        members = members.drop("comp").join(comp, F.col("rep") == comp["v"], "left").withColumn("comp", F.coalesce("c", "rep")).drop("v", "c")
+    dealt = staged(blocks(members.select("family", "rep", "key", "n", "comp"), ["family"]), "dealt")
+    sets = _sets(text, dealt.select("rep", "key").distinct(), k)
+    rows = dealt.select("family", "rep", "key", "comp", "p", "q", "side").join(sets, (F.col("rep") == sets["id"]) & (dealt["key"] == sets["key"])).select("family", "p", "q", "rep", "comp", "side", "shingles")
+    found = rows.groupBy("family", "p", "q").applyInArrow(_set_block(num, den), "a long, b long")
+    links = staged(found if links is None else found.unionByName(links), "links")
     comp = components(links)
-    # What shares a bucket and is still apart: all such pairs, in blocks.
-    at = places.join(comp, places["rep"] == comp["v"], "left").select("rep", "band", "value", F.coalesce("c", "rep").alias("comp"))
-    split = at.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    split = split.select("band", "value", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    left = at.join(split, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("*", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"))
-    left = left.join(reps.select("rep", "n", "bands"), "rep")
-    more = left.groupBy("band", "value", "p", "q").applyInArrow(_block_pairs(m, num, den, limit), "a long, b long").distinct()
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "apart")
-    if more.limit(1).count():
-        comp = components(links.unionByName(_verified(text, reps, more, k, num, den)))
     ends = reps.join(comp, reps["rep"] == comp["v"], "left").select("key", F.coalesce("c", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "key").join(ends, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(text: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the full sets confirm. Only texts in a pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets(text: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """id, key, shingles of classes (rep, key). Only their texts are read into sets; a doc_id can occur with other texts, too."""
     run, schema = _set_batches(k)
-    sets = text.join(ids, text["doc_id"] == ids["id"], "left_semi").mapInArrow(run, schema)
-    # A doc_id can occur with other texts; the class's set is meant.
-    sets = sets.join(reps.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi").dropDuplicates(["id"])
-    sets = staged(sets.select("id", "shingles"), "sets")
+    ids = small(classes.select("rep").distinct())
+    return text.join(ids, text["doc_id"] == ids["rep"], "left_semi").mapInArrow(run, schema)
+
+
+def _verified(text: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes (rep, key) that the full sets confirm; a few pairs a class."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    classes = classes.join(used, "rep", "left_semi")
+    made = _sets(text, classes, k)
+    sets = staged(made.join(classes, (made["id"] == classes["rep"]) & (made["key"] == classes["key"]), "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
     run, schema = _verify_batches(num, den)
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").mapInArrow(run, schema)
