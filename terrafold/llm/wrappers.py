@@ -1,9 +1,11 @@
 """Operator 7, main text of web pages by wrapper induction.
 
-A page is a tree of blocks; runs of like siblings are one repeated slot. Each host's wrapper is some of its own pages.
-Every page is aligned with them by simple tree matching, and votes, for each node, on whether its text is the same there:
-constant nodes become template, varying ones are slots. What a slot holds is told by its tags and names (menu, footer,
-advert, ...); what is left is content. Votes are summed over all pages of a host; no host meets in one task.
+A page is a tree of blocks; runs of like siblings are one repeated slot. Pages of a host with like outer elements are a
+layout, whose wrapper is some of its own pages. Every page is aligned with them by simple tree matching and votes, for
+each node, on its text: the same or not, how long, how much of it links. Summed over all pages of the layout, that
+tells template from slots: constant nodes are template; of the varying text, the innermost element that holds nearly
+all is the region of the content. Tags and names decide where a layout has too few pages or no such element, and inside
+of a region on menus, adverts, forms and comments. No host meets in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,13 +22,18 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.common import LOWER, UPPER, small, staged
 
-#: Pages of a host that serve as its wrapper, at most. A node is template if so many pages of different content were
-#: aligned with it and this share of them has its text. Constants of more than this share of a page's content are
-#: taken for copies of one article, not for a template.
-WRAPPERS, MIN_PAGES, CONSTANT, COPIES = 3, 4, 0.6, 0.3
-#: Wrappers are broadcast for at most so many hosts.
-BROADCAST_HOSTS = 10_000
-#: Outside of an article, a block whose text is links by more than this share is a menu.
+#: Pages of a layout that serve as its wrapper, at most (votes come from all pages); how deep the elements are that tell layouts apart.
+WRAPPERS, OUTER = 3, 4
+#: A node is template if so many pages of different content were aligned with it and this share of them has its text.
+#: Constants of more than this share of a region's text are taken for copies of one article, not for a template.
+MIN_PAGES, CONSTANT, COPIES = 4, 0.6, 0.3
+#: The region is the innermost element with this share of the varying text.
+REGION = 0.9
+#: Sibling lists are aligned within so many places of their diagonal, beyond what is alike at both ends.
+BAND = 32
+#: Wrappers are broadcast for at most so many layouts.
+BROADCAST_LAYOUTS = 10_000
+#: A block whose text is links by more than this share is linked.
 LINKED = 0.5
 
 # Elements whose text is never content, inline elements, elements without an end tag, and those that an equal one ends.
@@ -36,29 +44,39 @@ RAW = set("script style textarea title noscript iframe xmp noembed noframes".spl
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table article section div main body nav footer aside header form blockquote".split())
 ENDS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-# Words in class, id or role that name what isn't the article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|comments?|commentlist|disqus|replies|respond|share\w*|social\w*|related|recommend\w*|pagination|pager|search|skip|toolbar|copyright|contentinfo|complementary|navigation|dialog)(?=$|[\s_\d-])",
-    re.I,
-)
+# Names, in class, id or role, of what isn't the article, and what may stand before and behind one.
+NAMES = (
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar sidebars side aside "
+    "widget widgets cookie cookies cookieconsent consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond "
+    "share sharing social related recommended recommendations pagination pager search skip toolbar copyright contentinfo complementary dialog"
+).split()
+BEFORE = "site page global top bottom left right main user reader".split()
+BEHIND = "bar box block container wrap wrapper list section area item items inner content top bottom left right main primary secondary link links menu panel form slot unit banner header footer title text message overlay thread".split()
+NAMED = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[-_])?(?:{'|'.join(NAMES)})(?:[-_]?(?:{'|'.join(BEHIND)}|\d+))*", re.I)
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[/a-zA-Z!?][^>]*\Z""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+HEADINGS, LISTED = {"h1", "h2"}, {"li", "dd", "dt", "td", "th", "option"}
+#: Why an element isn't content: by its tag, by its name, as a header outside of an article.
+BY_TAG, BY_NAME, BY_HEADER = 1, 2, 3
+#: What a skeleton's node holds.
+LABEL, PARENT, HASH, SIZE, WHY, LINKS, ARTICLE = range(7)
+
+
 class Node:
-    """An element that isn't inline: its label, its children, and whether it is outside of what can be content."""
+    """An element that isn't inline: its label, its children, why it isn't content (0: it may be), and whether an article holds it."""
 
-    __slots__ = ("article", "children", "dropped", "label", "tag", "texts")
+    __slots__ = ("article", "children", "label", "tag", "why")
 
-    def __init__(self, tag: str, label: str, dropped: bool, article: bool):
-        self.tag, self.label, self.dropped, self.article = tag, label, dropped, article
+    def __init__(self, tag: str, label: str, why: int, article: bool):
+        self.tag, self.label, self.why, self.article = tag, label, why, article
         self.children: list = []
 
 
 class Block:
-    """A run of text without a block's border in it."""
+    """A run of text without a block's border in it, and how much of it links."""
 
     __slots__ = ("label", "linked", "text")
 
@@ -66,10 +84,14 @@ class Block:
         self.label, self.text, self.linked = "#text", text, linked
 
 
+def is_named(names: str) -> bool:
+    return any(NAMED.fullmatch(n) for n in names.split())
+
+
 def tree(page: str) -> Node:
-    """The page's tree of elements and blocks. Any text gives one: missing, crossed and cut-off tags are put up with."""
-    root = Node("#root", "#root", False, False)
-    stack, at, text, linked, links = [root], 0, [], 0, 0
+    """The page's tree of elements and blocks. Any text gives one: missing, crossed and cut-off tags are put up with, at any depth."""
+    root = Node("#root", "#root", 0, False)
+    stack, opened, at, text, linked, links = [root], Counter(), 0, [], 0, 0
 
     def flush():
         nonlocal linked
@@ -86,6 +108,10 @@ def tree(page: str) -> Node:
             text.append(piece)
             linked += len(piece) if links else 0
 
+    def cut(k: int):
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -99,47 +125,53 @@ def tree(page: str) -> Node:
         if end:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in INLINE:
+            if tag in INLINE and opened[tag] <= 0:
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main"):
-                    break
+            if opened[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                    if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main"):
+                        break
             continue
-        if tag in INLINE and not (tag not in VOID and attrs and NAMED.search(named(attrs))):
+        names = named(attrs) if attrs else ""
+        if tag in INLINE and not (tag not in VOID and is_named(names)):
             if tag in ("br", "wbr"):
                 add(" " if tag == "br" else "")
             links += tag == "a"
             continue
         flush()
         if tag in ENDS_P and stack[-1].tag == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPES:
-                break
-        if tag in ("body", "article", "main", "section", "div", "nav") and any(n.tag == "head" for n in stack):
-            del stack[next(k for k, n in enumerate(stack) if n.tag == "head") :]
-        names = named(attrs) if attrs else ""
+            cut(len(stack) - 1)
+        if any(opened[c] > 0 for c in CLOSES.get(tag, ())):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in CLOSES[tag]:
+                    cut(k)
+                    break
+                if stack[k].tag in SCOPES:
+                    break
+        if tag in ("body", "article", "main", "section", "div", "nav") and opened["head"] > 0:
+            cut(next(k for k, n in enumerate(stack) if n.tag == "head"))
         up = stack[-1]
-        heading = tag == "header" and not up.article
         main = tag in ("article", "main") or "role=main" in names
-        dropped = up.dropped or tag in DROPPED or heading or bool(names and tag not in ("html", "body", "article", "main") and NAMED.search(names)) or bool(tag == "article" and re.search(r"\bcomment|\bteaser", names)) or bool(attrs and HIDDEN.search(attrs))
-        node = Node(tag, f"{tag} {re.sub(r'[0-9]+', '0', names)}".strip(), dropped, up.article or main)
+        if tag in DROPPED or (attrs and HIDDEN.search(attrs)) or (tag == "article" and re.search(r"\bcomment|\bteaser", names)):
+            why = BY_TAG
+        elif not main and tag not in ("html", "body") and is_named(names):
+            why = BY_NAME
+        elif not up.article and (tag == "header" or re.search(r"(?:^|\s|site-|page-)header(?:\s|$)", names)):
+            why = BY_HEADER
+        else:
+            why = 0
+        node = Node(tag, f"{tag} {re.sub(r'[0-9]+', '0', names)}".strip(), up.why if up.why in (BY_TAG, BY_NAME) and why != BY_TAG else why or up.why, up.article or main)
         up.children.append(node)
-        if tag in INLINE:  # a named inline element holds its text as a block of its own
-            node.tag = tag
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
         elif tag not in VOID and not attrs.endswith("/"):
-            if len(stack) < 200:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
         if tag not in INLINE:
             links = 0
     add(page[at:])
@@ -156,83 +188,149 @@ def named(attrs: str) -> str:
     return " ".join(found)
 
 
-def blocks(node: Node) -> list[Block]:
-    out = []
-    for c in node.children:
-        out += [c] if isinstance(c, Block) else blocks(c)
-    return out
-
-
 def skeleton(root: Node) -> tuple[list, list[list[Block]]]:
-    """Nodes in page order as [label, parent, text's hash, length, content or not], and each node's blocks.
+    """Nodes in page order (see LABEL and the following), and each node's blocks.
 
     Elements that hold only text are leaves. Of three or more like leaves in a row, those between the first and the
     last are one repeated slot.
     """
     nodes, texts = [], []
 
-    def add(label: str, parent: int, own: list[Block], live: bool) -> int:
-        size = sum(len(b.text) for b in own)
+    def add(label: str, parent: int, own: list[Block], why: int, article: bool) -> int:
+        size, linked = sum(len(b.text) for b in own), sum(round(len(b.text) * b.linked) for b in own)
         value = hashlib.blake2b("\n".join(b.text for b in own).encode("utf-8", "replace"), digest_size=6).hexdigest() if own else ""
-        nodes.append([label, parent, value, size, int(live and size > 0)])
+        nodes.append([label, parent, value, size, why, linked, int(article)])
         texts.append(own)
         return len(nodes) - 1
 
-    def walk(node: Node, parent: int) -> None:
+    todo: list[tuple] = [(root, -1, None)]
+    while todo:
+        what, parent, leaf = todo.pop()
+        if leaf is not None:
+            add(leaf[0], parent, what, leaf[1], leaf[2])
+            continue
+        at = parent if what is root else add(what.label, parent, [], what.why, what.article)
         runs: list[list] = []  # like leaves in a row
-        for c in node.children:
+        for c in what.children:
             if isinstance(c, Block):
-                leaf, own, live = True, [c], not node.dropped
+                kind, own = (c.label, what.why, what.article), [c]
+            elif all(isinstance(x, Block) for x in c.children):
+                kind, own = (c.label, c.why, c.article), c.children
             else:
-                leaf = all(isinstance(x, Block) for x in c.children)
-                own, live = (c.children if leaf else []), not c.dropped
-            if leaf and runs and runs[-1][0] == (c.label, live):
+                runs.append([None, c])
+                continue
+            if runs and runs[-1][0] == kind:
                 runs[-1][1].append(own)
             else:
-                runs.append([(c.label, live) if leaf else None, [own] if leaf else c])
-        for kind, what in runs:
+                runs.append([kind, [own]])
+        more: list[tuple] = []
+        for kind, own in runs:
             if kind is None:
-                walk(what, add(what.label, parent, [], False))
-                continue
-            parts = what if len(what) < 3 else [what[0], [b for own in what[1:-1] for b in own], what[-1]]
-            for k, own in enumerate(parts):
-                add(kind[0] + ("+" if len(parts) == 3 and k == 1 else ""), parent, own, kind[1])
-
-    walk(root, -1)
+                more.append((own, at, None))
+            elif len(own) < 3:
+                more += [(o, at, kind) for o in own]
+            else:
+                more += [(own[0], at, kind), ([b for o in own[1:-1] for b in o], at, (kind[0] + "+", *kind[1:])), (own[-1], at, kind)]
+        todo += reversed(more)
     return nodes, texts
 
 
-def matched(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes, in order, under matched parents with equal labels, as many as there can be."""
-    kids: list[dict[int, list[int]]] = [{}, {}]
-    for side, nodes in enumerate((a, b)):
-        for k, n in enumerate(nodes):
-            kids[side].setdefault(n[1], []).append(k)
+def layout(nodes: list) -> int:
+    """What tells layouts of a host apart: the outer elements that can hold others."""
+    path, outer = [], set()
+    inner = {n[PARENT] for n in nodes}
+    for k, n in enumerate(nodes):
+        depth, up = (path[n[PARENT]] if n[PARENT] >= 0 else (0, ""))
+        path.append((depth + 1, f"{up}/{n[LABEL]}"))
+        if depth < OUTER and k in inner and not n[ARTICLE]:
+            outer.add(path[-1][1])
+    return int.from_bytes(hashlib.blake2b("\n".join(sorted(outer)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def shapes(nodes: list) -> tuple[list[list[int]], list[int], list[int]]:
+    """Children (of node -1 at the end), shapes (equal for subtrees of equal labels) and sizes of all subtrees."""
+    kids: list[list[int]] = [[] for _ in range(len(nodes) + 1)]
+    shape, size = [0] * len(nodes), [1] * len(nodes)
+    for k, n in enumerate(nodes):
+        kids[n[PARENT]].append(k)
+    for k in range(len(nodes) - 1, -1, -1):
+        shape[k] = hash((nodes[k][LABEL], *[shape[c] for c in kids[k]]))
+        size[k] += sum(size[c] for c in kids[k])
+    return kids, shape, size
+
+
+def matched(a: list, b: list, band: int = 0) -> list[tuple[int, int]]:
+    """Simple tree matching: pairs of nodes, in order, under matched parents with equal labels, as many as there can be.
+
+    Subtrees of one shape match whole. What siblings have alike at both ends matches so; the rest is aligned within
+    band places (BAND, if none are given) of its diagonal, so that the work grows with the siblings, not their square.
+    """
+    band = band or BAND
+    (kids_a, shape_a, size_a), (kids_b, shape_b, size_b) = shapes(a), shapes(b)
     done: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def forest(i: int, j: int) -> tuple[int, list]:
-        if (i, j) in done:
-            return done[i, j]
-        left, right = kids[0].get(i, []), kids[1].get(j, [])
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for x, l in enumerate(left, 1):
-            for y, r in enumerate(right, 1):
-                with_both = best[x - 1][y - 1] + 1 + forest(l, r)[0] if a[l][0] == b[r][0] else 0
-                best[x][y] = max(best[x - 1][y], best[x][y - 1], with_both)
-        x, y, pairs = len(left), len(right), []
+    def forest(i: int, j: int):
+        """Yields pairs of nodes whose forests it needs, and is sent their sizes; leaves the size and the children that match."""
+        left, right = kids_a[i], kids_b[j]
+        lo, hi, total, pairs = 0, 0, 0, []
+        short = min(len(left), len(right))
+        while lo < short and shape_a[left[lo]] == shape_b[right[lo]]:
+            pairs.append((left[lo], right[lo]))
+            total += size_a[left[lo]]
+            lo += 1
+        while hi < short - lo and shape_a[left[-1 - hi]] == shape_b[right[-1 - hi]]:
+            pairs.append((left[-1 - hi], right[-1 - hi]))
+            total += size_a[left[-1 - hi]]
+            hi += 1
+        left, right = left[lo : len(left) - hi], right[lo : len(right) - hi]
+        tall, wide = len(left), len(right)
+        rows = [(0, [0] * (min(wide, band) + 1))]  # of each row: its first place on the right, best sizes from there on
+        get = lambda x, y: rows[x][1][y - rows[x][0]] if 0 <= y - rows[x][0] < len(rows[x][1]) else -1
+        for x in range(1, tall + 1) if wide else ():
+            first, last = max(0, (x - 1) * wide // tall - band), min(wide, x * wide // tall + band)
+            row, l = [], left[x - 1]
+            rows.append((first, row))
+            for y in range(first, last + 1):
+                best = max(get(x - 1, y), row[-1] if row else 0)
+                if y and a[l][LABEL] == b[right[y - 1]][LABEL] and (before := get(x - 1, y - 1)) >= 0:
+                    r = right[y - 1]
+                    best = max(best, before + (size_a[l] if shape_a[l] == shape_b[r] else 1 + (yield l, r)))
+                row.append(best)
+        x, y = tall, wide
+        if tall and wide:
+            total += get(x, y)
         while x and y:
-            l, r = left[x - 1], right[y - 1]
-            if a[l][0] == b[r][0] and best[x][y] == best[x - 1][y - 1] + 1 + forest(l, r)[0]:
-                pairs += [(l, r), *forest(l, r)[1]]
-                x, y = x - 1, y - 1
-            elif best[x][y] == best[x - 1][y]:
+            here = get(x, y)
+            if here == get(x - 1, y):
                 x -= 1
-            else:
+            elif here == get(x, y - 1):
                 y -= 1
-        done[i, j] = best[-1][-1], pairs
-        return done[i, j]
-
-    return forest(-1, -1)[1]
+            else:
+                x, y = x - 1, y - 1
+                pairs.append((left[x], right[y]))
+        done[i, j] = total, pairs
+
+    calls, sent = [(-1, -1, forest(-1, -1))], None
+    while calls:
+        i, j, call = calls[-1]
+        try:
+            need = call.send(sent)
+        except StopIteration:
+            calls.pop()
+            sent = done[i, j][0]
+            continue
+        sent = done[need][0] if need in done else None
+        if sent is None:
+            calls.append((*need, forest(*need)))
+    out, todo = [], [(-1, -1)]
+    while todo:
+        for l, r in done[todo.pop()][1]:
+            if shape_a[l] == shape_b[r]:
+                out += zip(range(l, l + size_a[l]), range(r, r + size_b[r]), strict=True)
+            else:
+                out.append((l, r))
+                todo.append((l, r))
+    return out
 
 
 def nearest(nodes: list, wrapper: list[list]) -> tuple[int, list[tuple[int, int]]]:
@@ -242,130 +340,202 @@ def nearest(nodes: list, wrapper: list[list]) -> tuple[int, list[tuple[int, int]
     return k, pairs[k]
 
 
-def template(page: list, pages: list[int], same: list[int]) -> list[bool]:
-    """Which nodes of a wrapper's page are template: constant ones, unless these are so much of its content that the pages are copies."""
-    constant = [n[3] > 0 and p >= MIN_PAGES and s >= CONSTANT * p for n, p, s in zip(page, pages, same, strict=True)]
-    content = sum(n[3] for n in page if n[4])
-    if sum(n[3] for n, c in zip(page, constant, strict=True) if c and n[4]) > COPIES * content:
-        return [c and not n[4] for n, c in zip(page, constant, strict=True)]
-    return constant
+def judged(page: list, votes: list[tuple[int, int, int, int]]) -> tuple[list[bool], list[bool] | None]:
+    """Of a wrapper's page, by its nodes' votes (pages, with its text, characters, linked ones): which nodes are template, and which are in the content's region (None: none is told).
+
+    The region is the innermost element that holds REGION of the varying text that neither links nor is dropped by tag
+    or name; it ends at an article, or where a heading stands beside what it would go into.
+    """
+    constant = [n[SIZE] > 0 and p >= MIN_PAGES and s >= CONSTANT * p for n, (p, s, _, _) in zip(page, votes, strict=True)]
+    mass = [0 if c or n[WHY] else max(0, chars - linked) for n, c, (_, _, chars, linked) in zip(page, constant, votes, strict=True)]
+    total, kids = list(mass), shapes(page)[0]
+    for k in range(len(page) - 1, -1, -1):
+        if page[k][PARENT] >= 0:
+            total[page[k][PARENT]] += total[k]
+    whole, inside = sum(mass), None
+    if whole and max(p for p, *_ in votes) >= MIN_PAGES:
+        at = -1
+        while True:
+            if at >= 0 and (page[at][LABEL].split(" ")[0] in ("article", "main") or any(page[c][LABEL].split(" ")[0].rstrip("+") in HEADINGS and not page[c][WHY] for c in kids[at])):
+                break
+            into = [c for c in kids[at] if kids[c] and total[c] >= REGION * whole]
+            if not into:
+                break
+            at = into[0]
+        while at >= 0 and page[at][ARTICLE] and page[at][PARENT] >= 0 and page[page[at][PARENT]][ARTICLE]:
+            at = page[at][PARENT]  # the whole article
+        if at >= 0 and page[at][LABEL].split(" ")[0] not in ("html", "body"):
+            inside = [False] * len(page)
+            for k, n in enumerate(page):
+                inside[k] = k == at or n[PARENT] >= 0 and inside[n[PARENT]]
+    # Characters of the constant nodes that could be content, against all of it: most of an article isn't its template.
+    live = {k for k, n in enumerate(page) if not n[WHY] and (inside is None or inside[k])}
+    if sum(votes[k][2] for k in live if constant[k]) > COPIES * sum(votes[k][2] for k in live):
+        constant = [c and k not in live for k, c in enumerate(constant)]
+    return constant, inside
 
 
 def main_text(page: str, wrapper: list | None = None) -> str:
-    """The page's content: blocks of no dropped kind and no template node; only those in an article or main element where these have text."""
-    root = tree(page)
-    nodes, texts = skeleton(root)
-    gone: set[int] = set()
+    """The page's content. wrapper: (skeleton, template, region) of each of its layout's pages.
+
+    Blocks in the wrapper's region that are no template; without a region, those in an article or main element; without
+    one, all, but for lists of links. What tags drop is dropped throughout, and what names do, unless names would take
+    most of the text.
+    """
+    nodes, texts = skeleton(tree(page))
+    template, inside = [False] * len(nodes), None
     if wrapper and nodes:
         k, pairs = nearest(nodes, [w[0] for w in wrapper])
-        flags, own = wrapper[k][1], wrapper[k][0]
-        gone = {id(b) for i, j in pairs if flags[i] and own[i][2] == nodes[j][2] for b in texts[j]}
-    inside, outside = [], []
-
-    def walk(node: Node) -> None:
-        if node.dropped:
-            return
-        for c in node.children:
-            if isinstance(c, Node):
-                walk(c)
-            elif id(c) not in gone:
-                if node.article:
-                    inside.append(c.text)
-                elif c.linked <= LINKED:
-                    outside.append(c.text)
-
-    walk(root)
-    return "\n\n".join(inside or outside)
+        own, flags, region = wrapper[k]
+        to = {j: i for i, j in pairs}
+        template = [j in to and flags[to[j]] and own[to[j]][HASH] == n[HASH] for j, n in enumerate(nodes)]
+        if region is not None:
+            inside = [False] * len(nodes)
+            for j, n in enumerate(nodes):
+                inside[j] = region[to[j]] if j in to else n[PARENT] >= 0 and inside[n[PARENT]]
+    for where in (inside, [bool(n[ARTICLE]) for n in nodes], None):
+        if where is not None and not any(w and n[SIZE] and n[WHY] != BY_TAG for w, n in zip(where, nodes, strict=True)):
+            continue
+        live = [j for j, n in enumerate(nodes) if n[SIZE] and n[WHY] not in (BY_TAG, BY_HEADER) and not template[j] and (where is None or where[j])]
+        by_name = sum(nodes[j][SIZE] for j in live if nodes[j][WHY] == BY_NAME)
+        if where is None or 2 * by_name <= sum(nodes[j][SIZE] for j in live):
+            live = [j for j in live if nodes[j][WHY] != BY_NAME]
+        blocks = [(b, nodes[j]) for j in live for b in texts[j]]
+        if where is None:
+            blocks = [x for k, x in enumerate(blocks) if not is_menu(blocks, k)]
+        return "\n\n".join(b.text for b, _ in blocks)
+    return ""
+
+
+def is_menu(blocks: list[tuple[Block, list]], k: int) -> bool:
+    """Whether a block is mostly links, and stands in a list or beside another such block; a lone sentence that links isn't."""
+    if blocks[k][0].linked <= LINKED:
+        return False
+    beside = [blocks[i][0].linked > LINKED for i in (k - 1, k + 1) if 0 <= i < len(blocks)]
+    return blocks[k][1][LABEL].split(" ")[0].rstrip("+") in LISTED or any(beside)
 
 
 def _skeletons():
-    """host, fp (hash of what can be content), skeleton of each page."""
+    """host, layout, fp (hash of what can be content), skeleton of each page."""
 
     def run(batches):
         for b in batches:
             rows = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes, _ = skeleton(tree(page))
-                own = "".join(n[2] for n in nodes if n[4])
-                rows.append((host, int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True), json.dumps(nodes, separators=(",", ":"))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.int64(), pa.string()), strict=True)], ["host", "fp", "skeleton"])
+                own = "".join(n[HASH] for n in nodes if not n[WHY])
+                rows.append((host, layout(nodes), int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True), json.dumps(nodes, separators=(",", ":"))))
+            yield _batch(rows, ["host", "layout", "fp", "skeleton"], [pa.string(), pa.int64(), pa.int64(), pa.string()])
+
+    return run, "host string, layout long, fp long, skeleton string"
 
-    return run
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], names)
+
+
+class Known(dict):
+    """What a task keeps of the layouts that it meets; emptied where they are many."""
+
+    def __init__(self, make, most: int = 2_000):
+        self.make, self.most = make, most
+
+    def of(self, key, *args):
+        if key not in self:
+            if len(self) > self.most:
+                self.clear()
+            self[key] = self.make(*args)
+        return self[key]
 
 
 def _votes():
-    """host, wrapper's page, its node, pages aligned, pages with its text: summed within the batch."""
+    """host, layout, wrapper's page, its node, pages aligned, pages with its text, characters, linked ones: summed within the batch."""
 
     def run(batches):
-        known: dict[str, list] = {}
+        known = Known(lambda wrapper: [json.loads(w) for w in wrapper])
         for b in batches:
             total: dict[tuple, list[int]] = {}
-            for host, page, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "skeleton", "wrapper")), strict=True):
-                if host not in known:
-                    if len(known) > 2_000:
-                        known.clear()
-                    known[host] = [json.loads(w) for w in wrapper]
-                nodes = json.loads(page)
-                k, pairs = nearest(nodes, known[host])
+            for host, of, page, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "skeleton", "wrapper")), strict=True):
+                own, nodes = known.of((host, of), wrapper), json.loads(page)
+                k, pairs = nearest(nodes, own)
                 for i, j in pairs:
-                    if known[host][k][i][3]:
-                        v = total.setdefault((host, k, i), [0, 0])
-                        v[0] += 1
-                        v[1] += known[host][k][i][2] == nodes[j][2]
-            rows = [(*key, *v) for key, v in total.items()]
-            names, types = ["host", "k", "node", "pages", "same"], (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 5, types, strict=True)], names)
+                    v = total.setdefault((host, of, k, i), [0, 0, 0, 0])
+                    v[0] += 1
+                    v[1] += own[k][i][HASH] == nodes[j][HASH]
+                    v[2] += nodes[j][SIZE]
+                    v[3] += nodes[j][LINKS]
+            yield _batch([(*key, *v) for key, v in total.items()], ["host", "layout", "k", "node", *VOTES], [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4])
 
-    return run
+    return run, "host string, layout long, k int, node int, pages long, same long, chars long, linked long"
+
+
+VOTES = ["pages", "same", "chars", "linked"]
+
+
+def _made(wrapper: list[str] | None, votes: list[dict] | None) -> list | None:
+    """A layout's wrapper as main_text takes it."""
+    if not wrapper:
+        return None
+    pages = [json.loads(w) for w in wrapper]
+    counts = [[(0, 0, 0, 0)] * len(p) for p in pages]
+    for v in votes or []:
+        counts[v["k"]][v["node"]] = tuple(v[n] for n in VOTES)
+    return [(p, *judged(p, c)) for p, c in zip(pages, counts, strict=True)]
 
 
 def _texts():
     names = ["page_id", "url", "text", "n_chars"]
 
     def run(batches):
-        known: dict[str, list | None] = {}
+        known = Known(_made)
         for b in batches:
             out = []
-            for host, page, wrapper, votes in zip(*(b.column(c).to_pylist() for c in ("host", "html", "wrapper", "votes")), strict=True):
-                if host not in known:
-                    if len(known) > 2_000:
-                        known.clear()
-                    known[host] = None
-                    if wrapper:
-                        pages = [json.loads(w) for w in wrapper]
-                        counts = [([0] * len(p), [0] * len(p)) for p in pages]
-                        for v in votes or []:
-                            counts[v["k"]][0][v["node"]], counts[v["k"]][1][v["node"]] = v["pages"], v["same"]
-                        known[host] = [(p, template(p, *c)) for p, c in zip(pages, counts, strict=True)]
-                out.append(main_text(page, known[host]))
+            for host, of, page, wrapper, votes in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "html", "wrapper", "votes")), strict=True):
+                out.append(main_text(page, known.of((host, of), wrapper, votes)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names)
 
+    return run, "page_id long, url string, text string, n_chars long"
+
+
+def _layouts():
+    """The rows with their page's layout."""
+
+    def run(batches):
+        for b in batches:
+            yield b.append_column("layout", pa.array([layout(skeleton(tree(h))[0]) for h in b.column("html").to_pylist()], pa.int64()))
+
     return run
 
 
 def induced(pages: DataFrame) -> DataFrame:
-    """host, wrapper (skeletons of up to WRAPPERS of its pages) and votes (k, node, pages, same) for each host of pages (host, html).
+    """host, layout, wrapper (skeletons of up to WRAPPERS of its pages) and votes (k, node and VOTES) for each layout of pages (host, html) that has MIN_PAGES pages of different content.
 
-    Pages of equal content count once. The pages that serve are those with the smallest hashes, so the choice is the
-    same in every run. Sums are combined in each task before they are shuffled.
+    The pages that serve are those with the smallest hashes, so the choice is the same in every run. Sums are combined
+    in each task before they are shuffled; the count of wrappers follows the layouts.
     """
-    made = pages.mapInArrow(_skeletons(), "host string, fp long, skeleton string")
-    made = staged(made.groupBy("host", "fp").agg(F.min("skeleton").alias("skeleton")), "skeletons")
-    slots = made.groupBy("host", F.pmod("fp", F.lit(WRAPPERS)).alias("slot")).agg(F.min(F.struct("fp", "skeleton")).alias("x"))
-    wrappers = staged(slots.groupBy("host").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["skeleton"]).alias("wrapper")), "wrappers")
-    votes = made.select("host", "skeleton").join(small(wrappers, BROADCAST_HOSTS), "host").mapInArrow(_votes(), "host string, k int, node int, pages long, same long")
-    votes = votes.groupBy("host", "k", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    votes = votes.groupBy("host").agg(F.collect_list(F.struct("k", "node", "pages", "same")).alias("votes"))  # bounded by the wrapper's nodes
-    return staged(wrappers.join(votes, "host", "left"), "induced")
+    run, schema = _skeletons()
+    made = pages.mapInArrow(run, schema)
+    made = staged(made.groupBy("host", "layout", "fp").agg(F.min("skeleton").alias("skeleton")), "skeletons")
+    slots = made.groupBy("host", "layout", F.pmod("fp", F.lit(WRAPPERS)).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct("fp", "skeleton")).alias("x"))
+    wrappers = slots.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["skeleton"]).alias("wrapper"))
+    wrappers = staged(wrappers.where(f"n >= {MIN_PAGES}").drop("n"), "wrappers")
+    run, schema = _votes()
+    votes = made.drop("fp").join(small(wrappers, BROADCAST_LAYOUTS), ["host", "layout"]).mapInArrow(run, schema)
+    votes = votes.groupBy("host", "layout", "k", "node").agg(*[F.sum(v).alias(v) for v in VOTES])
+    votes = votes.groupBy("host", "layout").agg(F.collect_list(F.struct("k", "node", *VOTES)).alias("votes"))  # bounded by the wrapper's nodes
+    return staged(wrappers.join(votes, ["host", "layout"]), "induced")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points of text) for each row of pages (page_id, url, html; others are ignored).
 
     Null and empty html give an empty text. Pages without a host, or with a null url, are one host's. Repeated rows get
-    equal answers; null ids stay. An empty table gives no row.
+    equal answers; null ids stay. An empty table gives no row. Pages of any depth and length are read whole. Layouts
+    of fewer than MIN_PAGES pages have no wrapper: tags and names alone tell.
     """
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, LOWER)
-    p = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    wrappers = small(induced(p.select("host", "html")), BROADCAST_HOSTS)
-    return p.join(wrappers, "host", "left").mapInArrow(_texts(), "page_id long, url string, text string, n_chars long")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    wrappers = small(induced(p.select("host", "html")), BROADCAST_LAYOUTS)
+    rows = p.mapInArrow(_layouts(), "page_id long, url string, host string, html string, layout long")
+    run, schema = _texts()
+    return rows.join(wrappers, ["host", "layout"], "left").mapInArrow(run, schema)
