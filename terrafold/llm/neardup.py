@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.arrowtext import U, chunks, mix, shingle_sets
-from terrafold.llm.common import small, staged
+from terrafold.llm.common import BROADCAST_ROWS, small, staged
 
 #: Base, rate and limit of the registers, which are 16 bits wide. A base near 1 keeps them locality-sensitive.
 SKETCH_BASE, SKETCH_RATE, SKETCH_MAX = 1.001, 20.0, 65_535
@@ -249,17 +249,20 @@ def blocks(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, c for each end of edges (a, b): c is the smallest id that v reaches. Labels spread by joins, and jump to their label's label."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    """v, c for each end of edges (a, b): c is the smallest id that v reaches. Labels spread by joins, and jump to their label's label.
+
+    Labels are broadcast while there are at most BROADCAST_ROWS, so that a round shuffles once.
+    """
+    both = staged(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))).alias("x")).select("x.*").distinct(), "edges")
+    labels = staged(both.groupBy("v").agg(F.least("v", F.min("to")).alias("c")), "labels")
+    sized = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("c"))
-        new = labels.withColumnRenamed("c", "old").join(near, "v").withColumn("c", F.least("c", "old"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("far"))
-        new = staged(new.join(jump, "c", "left").select("v", F.least("c", F.coalesce("far", "c")).alias("c"), "old"), "labels")
-        done = new.where("c <> old").limit(1).count() == 0
+        of = lambda v, c: sized(labels.select(F.col("v").alias(v), F.col("c").alias(c)))
+        near = both.join(of("to", "c"), "to").groupBy("v").agg(F.min("c").alias("near"))
+        new = near.join(of("v", "old"), "v").withColumn("c", F.least("near", "old")).join(of("c", "far"), "c").withColumn("c", F.least("c", "far"))
+        new = staged(new.join(of("c", "further"), "c").select("v", F.least("c", "further").alias("c"), "old"), "labels")
         labels = new.select("v", "c")
-        if done:
+        if not new.where("c <> old").limit(1).count():
             return labels
 
 
