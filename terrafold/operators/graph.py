@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir; a fresh local one if unset) and read back."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from terrafold.shared import staged as kept
 
 
 def grid_edges(px: DataFrame, passable: str, diagonal: bool = True) -> DataFrame:
