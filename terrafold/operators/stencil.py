@@ -122,3 +122,14 @@ def distance(px: DataFrame, shape: tuple[int, int], target: str) -> DataFrame:
     other = c.where("_g is not null").select("line", F.col("sample").alias("_o"), F.col("_g").alias("_h"))
     best = c.join(other, "line", "left").groupBy("line", "sample").agg(F.min(F.expr("(sample - _o) * (sample - _o) + _h * _h")).alias("_d"))
     return best.select("line", "sample", F.sqrt("_d").alias("distance"))
+
+
+def weighted(px: DataFrame, shape: tuple[int, int], kernel: dict[int, float], values: dict[str, Column], boundary: str = "valid") -> DataFrame:
+    """line, sample and each value's sum under a separable kernel (weight by distance): one pass along each axis, in tiles."""
+    h = max(map(abs, kernel))
+    t = tiled(px, shape, h, boundary).select("line", "sample", "_l", "_s", "_tl", "_ts", *[v.alias(k) for k, v in values.items()])
+    for axis in ("line", "sample"):
+        w = _axis(axis)
+        near = lambda k: sum((F.coalesce(F.first(k).over(w.rangeBetween(d, d)), F.lit(0.0)) * x for d, x in kernel.items()), F.lit(0.0))  # noqa: B023, E731
+        t = t.select("line", "sample", "_l", "_s", "_tl", "_ts", *[near(k).alias(k) for k in values])
+    return own(t)
