@@ -10,41 +10,42 @@ CELLS = 1024
 
 
 def _celled(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """by, v, n, cell for each different value that isn't null; by, cell, c, before (rows in smaller cells), all for each cell."""
-    v = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    span = v.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    """by, _v, _n, _cell for each different value that isn't null; by, _cell, _c, _before (rows in smaller cells), _all for each cell."""
+    v = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    span = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     v = v.join(F.broadcast(span), by) if by else v.crossJoin(F.broadcast(span))  # a row for each group
-    v = v.withColumn("cell", F.expr(f"if(_hi > _lo, least({CELLS - 1}, int((v - _lo) / (_hi - _lo) * {CELLS})), 0)")).drop("_lo", "_hi")
-    cells = v.groupBy(*by, "cell").agg(F.sum("n").alias("c"))
+    v = v.withColumn("_cell", F.expr(f"if(_hi > _lo, least({CELLS - 1}, int((_v - _lo) / (_hi - _lo) * {CELLS})), 0)")).drop("_lo", "_hi")
+    cells = v.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # CELLS rows a group
-    before = F.sum("c").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
-    return v, cells.withColumn("before", before).withColumn("all", F.sum("c").over(w))
+    before = F.sum("_c").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+    return v, cells.withColumn("_before", before).withColumn("_all", F.sum("_c").over(w))
 
 
 def ranked(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """by, v, n, below: each different value, how often it stands, and how many smaller ones there are."""
+    """by, _v, _n, _below: each different value, how often it stands, and how many smaller ones there are."""
     by = by or []
     v, cells = _celled(df, value, by)
-    w = Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = v.join(F.broadcast(cells.select(*by, "cell", "before")), [*by, "cell"])
-    return v.select(*by, "v", "n", (F.sum("n").over(w) - F.col("n") + F.col("before")).alias("below"))
+    w = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = v.join(F.broadcast(cells.select(*by, "_cell", "_before")), [*by, "_cell"])
+    return v.select(*by, "_v", "_n", (F.sum("_n").over(w) - F.col("_n") + F.col("_before")).alias("_below"))
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """by, q, value: exact quantiles, between two values interpolated linearly; a group without values has none."""
     by = by or []
     v, cells = _celled(df, value, by)
-    q = F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("q")
-    totals = cells.select(*by, "all").distinct().select(*by, "all", q).withColumn("r", (F.col("all") - 1) * F.col("q"))
-    need = totals.select(*by, "q", "r", F.explode(F.array_distinct(F.array(F.floor("r"), F.ceil("r")))).alias("k"))
-    inside = (F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c"))
-    held = cells.drop("all")
+    q = F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("_q")
+    totals = cells.select(*by, "_all").distinct().select(*by, "_all", q).withColumn("_r", (F.col("_all") - 1) * F.col("_q"))
+    need = totals.select(*by, "_q", "_r", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))).alias("_k"))
+    inside = (F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c"))
+    held = cells.drop("_all")
     at = need.join(held, by).where(inside) if by else need.join(held, inside)
-    some = at.select(*by, "cell", "before").distinct()
-    w = Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = v.join(F.broadcast(some), [*by, "cell"]).withColumn("upto", F.sum("n").over(w) + F.col("before"))
-    got = got.join(F.broadcast(at.select(*by, "cell", "q", "r", "k")), [*by, "cell"]).where("k < upto and k >= upto - n")
-    return got.groupBy(*by, "q").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("r").alias("r")).select(*by, "q", F.expr("a + (b - a) * (r - floor(r))").alias("value"))
+    some = at.select(*by, "_cell", "_before").distinct()
+    w = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = v.join(F.broadcast(some), [*by, "_cell"]).withColumn("_upto", F.sum("_n").over(w) + F.col("_before"))
+    got = got.join(F.broadcast(at.select(*by, "_cell", "_q", "_r", "_k")), [*by, "_cell"]).where("_k < _upto and _k >= _upto - _n")
+    got = got.groupBy(*by, "_q").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("_r").alias("_r"))
+    return got.select(*by, F.col("_q").alias("q"), F.expr("_a + (_b - _a) * (_r - floor(_r))").alias("value"))
 
 
 def wide(q: DataFrame, names: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -55,5 +56,11 @@ def wide(q: DataFrame, names: dict[str, float], by: list[str] | None = None) ->
 
 def numbered(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the place, from 1, of each row by a value that tells rows apart."""
-    r = ranked(df, value).select(F.col("v").alias("_v"), (F.col("below") + 1).alias(name))
+    r = ranked(df, value).select("_v", (F.col("_below") + 1).alias(name))
+    return df.join(r, F.col(value).cast("double") == F.col("_v")).drop("_v")
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the average rank of each row's value."""
+    r = ranked(df, value).select("_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(r, F.col(value).cast("double") == F.col("_v")).drop("_v")

@@ -23,9 +23,9 @@ def _images(x: str, n: int, h: int, boundary: str) -> str:
     return f"array({x})"
 
 
-def tiled(px: DataFrame, shape: tuple[int, int], h: int, boundary: str = "valid", edge: int = EDGE) -> DataFrame:
+def tiled(px: DataFrame, shape: tuple[int, int], h: int, boundary: str = "valid", edge: int | None = None) -> DataFrame:
     """px with _tl, _ts (tile) and _l, _s (place), with copies for halos of h pixels and for the border's rule."""
-    t = px
+    t, edge = px, edge or EDGE
     for name, x, n in (("l", "line", shape[0]), ("s", "sample", shape[1])):
         t = t.withColumn(f"_{name}", F.explode(F.expr(_images(x, n, h, boundary)).cast("array<long>")))
         lo, hi = f"greatest(0, bigint(floor((_{name} - {h}) / {edge})))", f"least({(n - 1) // edge}, bigint(floor((_{name} + {h}) / {edge})))"
@@ -33,9 +33,9 @@ def tiled(px: DataFrame, shape: tuple[int, int], h: int, boundary: str = "valid"
     return t.repartition("_tl", "_ts")
 
 
-def own(t: DataFrame) -> DataFrame:
-    """The tiles' own pixels, without halos."""
-    return t.where("_l = line and _s = sample and _tl = line div {0} and _ts = sample div {0}".format(EDGE)).drop("_l", "_s", "_tl", "_ts")
+def own(t: DataFrame, edge: int | None = None) -> DataFrame:
+    """The tiles' own pixels, without halos; edge as for tiled()."""
+    return t.where("_l = line and _s = sample and _tl = line div {0} and _ts = sample div {0}".format(edge or EDGE)).drop("_l", "_s", "_tl", "_ts")
 
 
 def _axis(axis: str) -> Window:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import radar
-from terrafold.operators import graph, stencil
+from terrafold.operators import graph, order, stencil
 from terrafold.plans.registry import PX, RATIOS, query
 from terrafold.sources import views
 
@@ -218,12 +218,14 @@ round(max(cpr) FILTER (measured), 6) AS peak, round(median(cpr) FILTER (measured
 round(max(cpr) FILTER (measured AND dop < 0.6), 6) AS ceiling FROM (SELECT *, measured AND cpr > 0.3 AND dop < 0.6 AS hit FROM {RATIOS})""")
 def dual_threshold_screen(spark, sf_dir):
     px = ratios(views.pixels(spark, sf_dir)).withColumn("hit", F.expr("measured and cpr > 0.3 and dop < 0.6"))
+    px = graph.kept(px.select("measured", "hit", "cpr", "dop"), "screen")
     seen = F.when(F.col("measured"), F.col("cpr"))
+    median = order.wide(order.quantiles(px.where("measured"), "cpr", [0.5]), {"median": 0.5})
     n, hits = F.count_if("measured"), F.count_if("hit")
     return px.agg(
         n.alias("n_measured"), hits.alias("n_hit"), F.try_divide(hits, n).alias("fraction"), (hits * F.lit(600.0) / F.lit(1e6)).alias("area_km2"), r6(F.max(seen)).alias("peak"),
-        r6(F.percentile(seen, F.lit(0.5))).alias("median"), F.when(hits == 0, "none").when(hits < 100, "low").otherwise("high").alias("confidence"), r6(F.max(F.expr("if(measured and dop < 0.6, cpr, null)"))).alias("ceiling"),
-    )
+        F.when(hits == 0, "none").when(hits < 100, "low").otherwise("high").alias("confidence"), r6(F.max(F.expr("if(measured and dop < 0.6, cpr, null)"))).alias("ceiling"),
+    ).join(F.broadcast(median))
 
 
 @query(f"""WITH px AS {RATIOS}, m AS (SELECT measured AS a, cpr > 0.2 AS b, z < 400 AS seen FROM px)

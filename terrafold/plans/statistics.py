@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import radar
+from terrafold.operators import graph, order
 from terrafold.plans.raster import r6, ratios
 from terrafold.plans.registry import DISC, PX, RATIOS, query
 from terrafold.sources import views
 
-QUANTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-
-
 @query(f"""SELECT kind, count(*) AS n, round(avg(z), 6) AS mean, round(quantile_cont(z, 0.5), 6) AS p50, round(quantile_cont(z, 0.9), 6) AS p90, round(quantile_cont(z, 0.99), 6) AS p99, min(z) AS lowest, max(z) AS highest, round(stddev_pop(z), 6) AS sd FROM {PX} WHERE measured GROUP BY 1
 UNION ALL SELECT 'all, unmasked', count(*), round(avg(z), 6), round(quantile_cont(z, 0.5), 6), round(quantile_cont(z, 0.9), 6), round(quantile_cont(z, 0.99), 6), min(z), max(z), round(stddev_pop(z), 6) FROM {PX}""")
 def masked_stats(spark, sf_dir):
     """Statistics of measured pixels by kind, and of all pixels as a contrast."""
-    px = views.pixels(spark, sf_dir)
-    p = lambda q: r6(F.percentile("z", F.lit(q)))
-    stats = [F.count("*").alias("n"), r6(F.avg("z")).alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.min("z").alias("lowest"), F.max("z").alias("highest"), r6(F.stddev_pop("z")).alias("sd")]
-    return px.where("measured").groupBy("kind").agg(*stats).unionByName(px.groupBy(F.lit("all, unmasked").alias("kind")).agg(*stats))
+    px = views.pixels(spark, sf_dir).select("kind", "z", "measured")
+    px = graph.kept(px.where("measured").select("kind", "z").unionByName(px.select(F.lit("all, unmasked").alias("kind"), "z")), "masked")
+    stats = [F.count("*").alias("n"), r6(F.avg("z")).alias("mean"), F.min("z").alias("lowest"), F.max("z").alias("highest"), r6(F.stddev_pop("z")).alias("sd")]
+    names = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    q = order.wide(order.quantiles(px, "z", list(names.values()), ["kind"]), names, ["kind"])
+    return px.groupBy("kind").agg(*stats).join(F.broadcast(q), "kind")
 
 
 _AX, _AY = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8], [0.1, 0.3, 0.5, 0.6, 0.8, 0.9, 1.0]
@@ -70,32 +70,30 @@ def patch_ratios(spark, sf_dir):
     g = views.pixels(spark, sf_dir).groupBy(F.expr("line div 5").alias("patch_line"), F.expr("sample div 5").alias("patch_sample")).agg(
         F.avg("z").alias("m"), F.var_samp("z").alias("v"), F.count_if(F.col("z") > 0.5).alias("n"), F.skewness("z").alias("skew"), F.var_samp(F.log("z")).alias("lv")
     )
-    g = g.where("n = 25").withColumn("cv", F.round(F.expr("sqrt(v) / m"), 6))
-    rank = F.row_number().over(Window.orderBy("cv", "patch_line", "patch_sample")).cast("long")  # patches, after aggregation
-    return g.select("patch_line", "patch_sample", r6(F.expr("m * m / v")).alias("looks"), (F.round("skew", 5) + F.lit(0.0)).alias("skewness"), r6("lv").alias("log_variance"), rank.alias("cv_rank"))
+    g = graph.kept(g.where("n = 25").withColumn("cv", F.round(F.expr("sqrt(v) / m"), 6)), "patches")
+    # A patch's rank: how many have smaller coefficients, then its place among equals.
+    below = order.ranked(g, "cv").select(F.col("_v").alias("cv"), F.col("_below").alias("below"))
+    equals = F.row_number().over(Window.partitionBy("cv").orderBy("patch_line", "patch_sample"))
+    rank = (F.col("below") + equals).cast("long")
+    return g.join(below, "cv").select("patch_line", "patch_sample", r6(F.expr("m * m / v")).alias("looks"), (F.round("skew", 5) + F.lit(0.0)).alias("skewness"), r6("lv").alias("log_variance"), rank.alias("cv_rank"))
 
 
 @query(f"""WITH b AS (SELECT floor(z / 20) * 20 AS band, lv, measured FROM {PX}) SELECT band, count(*) AS n, round(median(lv), 6) AS median, round(quantile_cont(lv, 0.9), 6) AS p90, round((count(*) FILTER (measured) / count(*)) / (SELECT count(*) FILTER (measured) / count(*) FROM b), 6) AS enrichment FROM b GROUP BY 1 HAVING count(*) >= 50""")
 def bands(spark, sf_dir):
     """Medians by band of height, and how much richer in measured pixels a band is than the whole."""
     b = views.pixels(spark, sf_dir).withColumn("band", F.floor(F.col("z") / 20) * 20.0)
-    g = b.groupBy("band").agg(F.count("*").alias("n"), r6(F.median("lv")).alias("median"), r6(F.percentile("lv", F.lit(0.9))).alias("p90"), F.count_if("measured").alias("m"))
+    b = graph.kept(b.select("band", "lv", "measured"), "bands")
+    q = order.wide(order.quantiles(b, "lv", [0.5, 0.9], ["band"]), {"median": 0.5, "p90": 0.9}, ["band"])
+    g = b.groupBy("band").agg(F.count("*").alias("n"), F.count_if("measured").alias("m")).join(F.broadcast(q), "band")
     whole = g.agg((F.sum("m") / F.sum("n")).alias("rate"))
     return g.crossJoin(F.broadcast(whole)).where("n >= 50").select("band", "n", "median", "p90", r6(F.col("m") / F.col("n") / F.col("rate")).alias("enrichment"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the average rank of each row's value: counted by value first, so only distinct values are ordered together."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    up = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(counts.select(F.col(value).alias("_v"), (up - (F.col("_n") - 1) / 2).alias(name)), F.col(value) == F.col("_v")).drop("_v")
-
-
 @query(f"""WITH r AS (SELECT rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2 AS a, rank() OVER (ORDER BY lv) + (count(*) OVER (PARTITION BY lv) - 1) / 2 AS b, measured FROM {PX})
 SELECT round(corr(a, b), 6) AS spearman, round((sum(a) FILTER (measured) - count(*) FILTER (measured) * (count(*) FILTER (measured) + 1) / 2) / (count(*) FILTER (measured) * count(*) FILTER (NOT measured)), 6) AS auc FROM r""")
 def rank_statistics(spark, sf_dir):
     """Spearman's correlation of two layers, and the rank-sum area under the curve of a mask."""
-    px = average_ranks(average_ranks(views.pixels(spark, sf_dir), "z", "a"), "lv", "b")
+    px = order.average_ranks(order.average_ranks(views.pixels(spark, sf_dir), "z", "a"), "lv", "b")
     m, o = F.count_if("measured"), F.count_if(~F.col("measured"))
     return px.agg(r6(F.corr("a", "b")).alias("spearman"), r6((F.sum(F.when(F.col("measured"), F.col("a"))) - m * (m + 1) / 2) / (m * o)).alias("auc"))
 
@@ -184,7 +182,7 @@ def nearest_axis(spark, sf_dir):
 @query(f"""WITH q AS (SELECT quantile_cont(z, 0.25) AS a, quantile_cont(z, 0.5) AS b, quantile_cont(z, 0.75) AS c FROM {PX}), s AS (SELECT CASE WHEN z < a THEN 0 WHEN z < b THEN 1 WHEN z < c THEN 2 ELSE 3 END AS stratum, z, lv FROM {PX}, q) SELECT stratum, count(*) AS n, round(avg(lv), 6) AS mean FROM s GROUP BY 1""")
 def quantile_strata(spark, sf_dir):
     px = views.pixels(spark, sf_dir)
-    q = px.agg(F.percentile("z", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = order.quantiles(px, "z", [0.25, 0.5, 0.75]).agg(F.array_sort(F.collect_list("value")).alias("q"))  # three values
     return px.crossJoin(F.broadcast(q)).groupBy(F.expr("size(filter(q, e -> z >= e))").alias("stratum")).agg(F.count("*").alias("n"), r6(F.avg("lv")).alias("mean"))
 
 
