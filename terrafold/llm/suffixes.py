@@ -29,8 +29,12 @@ from terrafold.llm.arrowtext import _BYTES, _INVERSE, BASE, U, mix, powers
 from terrafold.llm.common import staged
 
 DEPTH = 50
-#: Bytes of text to a group of texts; windows that are hashed at once; the anchors' length (less in short depths).
-GROUP_BYTES, SLICE, GRAM = 4 << 20, 1 << 20, 20
+#: Bytes of text to a group of texts, which grow with the input from the first to the second, so that about MANY groups
+#: come of it in between; windows that are hashed at once; the anchors' length (less in short depths).
+GROUP_BYTES, MOST_BYTES, MANY, SLICE, GRAM = 4 << 20, 64 << 20, 4096, 1 << 20, 20
+#: A group sends a part about so many anchors at least, so that what is exchanged grows with the input, not its square.
+#: Buckets of the texts' table, at most; groups beyond them share one.
+SENT, BUCKETS = 64, 65_536
 #: An anchor in more groups than this is dealt out window by window.
 HOT_GROUPS = 64
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -275,6 +279,12 @@ def _removed(depth: int, keep_text: bool):
     return run
 
 
+def exchange(total: int) -> tuple[int, int]:
+    """How many groups the texts' bytes make, and how many parts their anchors are dealt to."""
+    size = min(MOST_BYTES, max(GROUP_BYTES, total // MANY))
+    return max(1, -(-total // size)), max(1, min(-(-total // (2 * size)), size // (GRAM * SENT)))
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) for each row of docs (doc_id, text).
 
@@ -287,15 +297,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False)
     rows = staged(text.select("doc_id", "key", F.octet_length("t").cast("long").alias("n_bytes")), "rows")
     classes = staged(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes")), "classes")
     total = classes.agg(F.sum("n_bytes")).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    parts = max(1, -(-total // (2 * GROUP_BYTES)))
+    groups, parts = exchange(total)
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = max(1, -(-2 * groups // shuffled))
     one = text.join(classes.where(f"n_bytes >= {depth}").select("key", "doc_id"), ["key", "doc_id"], "left_semi")
     one = one.withColumn("b", F.spark_partition_id().cast("long") * inner + F.pmod(F.xxhash64("doc_id"), F.lit(inner)))
     name = f"suffixes_{uuid.uuid4().hex}"
     # Bucketed by group: the three passes read the texts where they are, without another shuffle of them.
-    one.write.bucketBy(groups, "b").saveAsTable(name)
+    one.write.bucketBy(min(groups, BUCKETS), "b").saveAsTable(name)
     try:
         texts = spark.table(name)
         blob = "part int, b long, blob binary"
