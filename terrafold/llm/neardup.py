@@ -183,8 +183,11 @@ def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table.take(first), left, right
 
 
-def _register_block(num: int, den: int, limit: float):
-    """Of a bucket's block: pairs, across families, that sizes and registers allow; as many as join what they can."""
+def _register_block(num: int, den: int, limit: float, spread: float):
+    """Of a bucket's block: pairs, across families, that sizes and registers allow; as many as join what they can.
+
+    The share of equal registers is near the estimate; only pairs within `spread` of the limit by it are estimated.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table, left, right = _sides(table)
@@ -192,6 +195,7 @@ def _register_block(num: int, den: int, limit: float):
         forest = Forest(table.column("comp").to_numpy())
         for i in left:
             other = right[(forest.of[right] != forest.of[i]) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))]
+            other = other[(regs[other] == regs[i]).mean(1) >= limit - spread] if len(other) else other
             if len(other):
                 est = estimates(np.repeat(regs[i : i + 1], len(other), 0), regs[other], np.full(len(other), float(n[i])), n[other].astype(float))
                 forest.join(i, other[est >= limit], ids)
@@ -277,7 +281,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     threshold = num / den
     n_bands = bands_for(threshold)
     m = n_bands * ROWS
-    limit = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / m)
+    spread = MARGIN * math.sqrt(threshold * (1 - threshold) / m)
+    limit = threshold - spread
+    # Numbered, as few bytes would else be few tasks: what follows computes more than it reads.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     run, schema = _sketch_batches(k, m)
     sk = staged(text.mapInArrow(run, schema), "sketches")
@@ -291,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     met = common.where("rep <> hub").select("rep", "hub").distinct()
     one = lambda end, x, n: reps.select(F.col("rep").alias(end), F.col("regs").alias(x), F.col("n").alias(n))
     run, schema = _estimate_batches()
-    near = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(one("a", "x", "n_a"), "a").join(one("b", "y", "n_b"), "b").mapInArrow(run, schema)
+    near = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(one("a", "x", "n_a"), "a").join(one("b", "y", "n_b"), "b").repartition(tasks, "a", "b").mapInArrow(run, schema)
     near = staged(near.where(F.col("est") >= min(FAMILY, limit)), "near")
     family = components(near)
     # 2. Buckets that hold several families.
@@ -300,7 +307,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     apart = staged(seen.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "value"), "apart")
     if apart.limit(1).count():
         rows = seen.join(small(apart), ["band", "value"]).join(reps.select("rep", "n", "regs"), "rep")
-        more = blocks(rows, ["band", "value"]).groupBy("band", "value", "p", "q").applyInArrow(_register_block(num, den, limit), "a long, b long")
+        at = ["band", "value", "p", "q"]
+        more = blocks(rows, at[:2]).repartition(tasks, *at).groupBy(*at).applyInArrow(_register_block(num, den, limit, spread), "a long, b long")
         family = components(near.select("a", "b").unionByName(staged(more.distinct(), "more")))
     # 3. Families' full sets, in blocks.
     members = family.select(F.col("c").alias("family"), F.col("v").alias("rep")).join(reps.select("rep", "key", "n"), "rep").withColumn("comp", F.col("rep"))
@@ -319,7 +327,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     dealt = staged(blocks(members.select("family", "rep", "key", "n", "comp"), ["family"]), "dealt")
     sets = _sets(text, dealt.select("rep", "key").distinct(), k)
     rows = dealt.select("family", "rep", "key", "comp", "p", "q", "side").join(sets, (F.col("rep") == sets["id"]) & (dealt["key"] == sets["key"])).select("family", "p", "q", "rep", "comp", "side", "shingles")
-    found = rows.groupBy("family", "p", "q").applyInArrow(_set_block(num, den), "a long, b long")
+    at = ["family", "p", "q"]
+    found = rows.repartition(tasks, *at).groupBy(*at).applyInArrow(_set_block(num, den), "a long, b long")
     links = staged(found if links is None else found.unionByName(links), "links")
     comp = components(links)
     ends = reps.join(comp, reps["rep"] == comp["v"], "left").select("key", F.coalesce("c", "rep").alias("c"))
