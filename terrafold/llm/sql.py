@@ -49,4 +49,43 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ALL: dict[str, str] = {"op5_quality_rules": OP5, "op9_decontaminate": OP9}
+OP3 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+seg AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 2 * (256 + 49)) AS h FROM (SELECT *, unnest(range(0, n - 49, 256)) AS o FROM t WHERE n >= 50)),
+win AS (SELECT doc_id, o + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT *, unnest(range(0, least(256, n - 49 - o))) AS i FROM seg)),
+least AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (g) WHERE doc_id > d),
+isl AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
+        FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit)),
+gone AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM isl GROUP BY doc_id, k),
+cut AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS upto FROM gone),
+kept AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * upto + 1, 2 * (b - upto)), '' ORDER BY b) AS front, max(e) AS last FROM cut JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS v, b AS r FROM edges UNION SELECT v, b FROM reach JOIN edges ON r = a),
+c AS (SELECT v, min(r) AS r FROM reach GROUP BY v)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(r, w.doc_id)) AS component_id, least(w.doc_id, coalesce(r, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON v = w.doc_id
+""".replace("{LOW}", LOW)
+
+#: Base 32 of a digest: its 40 hexadecimal figures in groups of five, each of which is four letters.
+_GROUP = "(" + " + ".join(f"(instr('0123456789abcdef', substr(h, g * 5 + {k + 1}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5)) + ")"
+OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (15 - 5 * k)) & 31) + 1, 1), '' ORDER BY g, k) AS digest
+      FROM (SELECT h, g, {_GROUP}::BIGINT AS v FROM (SELECT h, unnest(range(0, 8)) AS g FROM m)), (SELECT unnest(range(0, 4)) AS k) GROUP BY h)
+SELECT page_id, strlen(body) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p JOIN m USING (h) JOIN d USING (h)
+"""
+
+ALL: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_minhash_near_dedup": OP4, "op5_quality_rules": OP5, "op6_warc": OP6, "op9_decontaminate": OP9}

@@ -25,8 +25,9 @@ from terrafold.llm.common import shared_dir, small, staged
 
 # The magic number of the skippable frame that holds a WARC file's dictionary; the version line.
 DICTIONARY_MAGIC, VERSION = 0x184D2A5D, "WARC/1.1"
-#: An archive ends after so many bytes of records; the dictionary's size, and the bytes of records that it is built from.
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 20, 64 << 10, 4 << 20
+#: An archive ends after so many bytes of records; the dictionary's size, and the bytes of records that it is built from,
+#: which are pieces of PIECE bytes at equal distances over the whole archive.
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, PIECE = 16 << 20, 64 << 10, 4 << 20, 8 << 10
 LEVEL, SUFFIX, DATE = 3, ".warc.zst", "1970-01-01T00:00:00Z"
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -69,13 +70,10 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """Built from the first SAMPLE_BYTES of an archive's records; None where they are too few to build one."""
-    samples, total = [], 0
-    for r in records:
-        samples.append(r[: 128 << 10])
-        total += len(samples[-1])
-        if total >= SAMPLE_BYTES:
-            break
+    """Built from about SAMPLE_BYTES of an archive's records, spread over all of it; None where they are too few to build one."""
+    pieces = [r[at : at + PIECE] for r in records for at in range(0, len(r), PIECE)]
+    samples = pieces[:: max(1, -(-sum(map(len, pieces)) // SAMPLE_BYTES))]
+    total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), samples, k=512, d=8)
     except zstandard.ZstdError:

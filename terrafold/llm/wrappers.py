@@ -393,7 +393,8 @@ def main_text(page: str, wrapper: list | None = None) -> str:
             inside = [False] * len(nodes)
             for j, n in enumerate(nodes):
                 inside[j] = region[to[j]] if j in to else n[PARENT] >= 0 and inside[n[PARENT]]
-    for where in (inside, [bool(n[ARTICLE]) for n in nodes], None):
+    article = [bool(n[ARTICLE]) for n in nodes]
+    for where in (article, None) if inside is None else (inside, article, None):
         if where is not None and not any(w and n[SIZE] and n[WHY] != BY_TAG for w, n in zip(where, nodes, strict=True)):
             continue
         live = [j for j, n in enumerate(nodes) if n[SIZE] and n[WHY] not in (BY_TAG, BY_HEADER) and not template[j] and (where is None or where[j])]

@@ -37,6 +37,44 @@ def test_plan_holds_the_histogram():
         assert sum(k for _, k in made) <= least * 1.03 + 1
 
 
+def test_fit_finds_known_counts():
+    """Where patterns hold a histogram exactly, the fit's residue vanishes, against a dense solution by projected gradients."""
+    pool, truth = [(1500, 548), (1024, 1024), (1000, 548, 500)], np.array([40.0, 25.0, 60.0])
+    lengths = sorted({a for p in pool for a in p})
+    a = np.array([[p.count(n) for p in pool] for n in lengths], float)
+    counts = dict(zip(lengths, (a @ truth).astype(int).tolist(), strict=True))
+    assert np.allclose(packing.fitted(counts, pool), truth, atol=0.05)
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        h = rng.integers(0, 50, len(lengths)).astype(float)
+        x = np.zeros(len(pool))
+        for _ in range(20_000):
+            x = np.maximum(0, x - 0.05 * a.T @ (a @ x - h))
+        got = np.array(packing.fitted(dict(zip(lengths, h, strict=True)), pool))
+        assert (got >= 0).all() and np.allclose(((a @ got - h) ** 2).sum(), ((a @ x - h) ** 2).sum(), rtol=0.01, atol=0.01)
+
+
+def test_parts_of_text(monkeypatch):
+    """Bulk parting against the tokenizer on random text, in slices of every size."""
+    import random
+
+    rng, t = random.Random(4), Tokenizer.from_file(PATH)
+    alpha = [*"aeszßrtmdlv'' \n\t.,;!1²½9ÿŸÀé×÷Łłŉ_-\"", "'s", "'re", "'ll", "'ve", "''", "'d ", "漢"]
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for size in (7, 500, 1 << 20):
+        monkeypatch.setattr(packing, "SLICE", size)
+        assert [list(x) for x in packing.WordEncoder(PATH, added=True)(texts)] == want
+
+
+def test_hot_length(spark, monkeypatch):
+    """A length that most pieces have is ranked in parts, and still packed whole."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    df = spark.createDataFrame([(k, "tie " * 300) for k in range(100)], "doc_id long, text string")
+    rows = packing.pack(df, PATH).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 100 and len({r.sequence_id for r in rows}) == 17
+
+
 def test_pack(spark):
     df = spark.createDataFrame([(i if i % 5 else None, t, 3) for i, t in enumerate(TEXTS)], "doc_id long, text string, rank int")
     rows = packing.pack(df, PATH).collect()

@@ -52,3 +52,88 @@ def test_copies_are_no_template(spark):
     rows = [(k, "http://h/", page(0, body).replace("menu 0", f"menu {k}")) for k in range(9)]
     got = {r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == 1 and "the very same article on every page" in got.pop()
+
+
+def plain(k, words, ad=120):
+    """A page without article tags or telling names: only what its layout's other pages show tells the text from the rest."""
+    text = f"<h1>Head {k}</h1>" + "".join(f"<p>part {j} of {k} {'x' * words}</p>" for j in range(4))
+    return f"<html><body><div class=q1><div><p>deal {k} {'y' * ad}</p></div></div><div class=q2>{text}</div><div class=q3><div><p>imprint of the site</p><p>line {k}</p></div></div></body></html>"
+
+
+def test_the_wrapper_decides(spark):
+    """On a short page the longest block is an advert; the region comes from the other pages of its layout."""
+    pages = [plain(k, 900) for k in range(20)] + [plain(99, 3)]
+    rows = [(k, "http://h/", p) for k, p in enumerate(pages)]
+    df = spark.createDataFrame([*rows, rows[-1]], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(df).collect()}
+    for k, p in enumerate(pages):
+        name = 99 if k == 20 else k
+        assert got[k] == "\n\n".join([f"Head {name}", *[f"part {j} of {name} {'x' * (3 if k == 20 else 900)}" for j in range(4)]])
+        assert wrappers.main_text(p, None) != got[k]
+
+
+def matched_size(a, b):
+    """The size of the largest simple tree matching, by its definition."""
+    from functools import cache
+
+    kids = [{k: [i for i, n in enumerate(side) if n[1] == k] for k in range(-1, len(side))} for side in (a, b)]
+
+    @cache
+    def forest(i, j):
+        left, right = kids[0][i], kids[1][j]
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for x, p in enumerate(left, 1):
+            for y, q in enumerate(right, 1):
+                both = best[x - 1][y - 1] + 1 + forest(p, q) if a[p][0] == b[q][0] else 0
+                best[x][y] = max(best[x - 1][y], best[x][y - 1], both)
+        return best[-1][-1]
+
+    return forest(-1, -1)
+
+
+def test_matching_is_the_largest():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        trees = []
+        for _ in range(2):
+            nodes, path = [], [-1]
+            for k in range(rng.randrange(13)):
+                path = path[: rng.randrange(1, len(path) + 1)]
+                nodes.append([rng.choice("abc"), path[-1]])
+                path.append(k)
+            trees.append(nodes)
+        a, b = trees
+        pairs = wrappers.matched(a, b)
+        of = dict(pairs)
+        assert len(pairs) == len(of) == len(set(of.values())) == matched_size(a, b)
+        assert all(a[i][0] == b[j][0] and of.get(a[i][1], -1) == b[j][1] for i, j in pairs)
+
+
+def test_long_and_deep_pages():
+    """10,000 blocks are aligned, and 20,000 levels read, in seconds; what a menu holds goes at any depth."""
+    import time
+
+    start = time.time()
+    long = ["".join(f"<div class=c{(k * s) % 7}><p>text {k} {s}</p></div>" for k in range(10_000)) for s in (3, 5)]
+    nodes = [wrappers.skeleton(wrappers.tree(p))[0] for p in long]
+    assert len(wrappers.matched(*nodes)) > 5_000
+    deep = "<div>" * 20_000 + "<nav>menu</nav><aside>side</aside>text" + "</div>" * 20_000
+    assert wrappers.main_text(deep) == "text"
+    assert time.time() - start < 60
+
+
+def test_names_dont_empty_an_article():
+    html = "<article><div class='related-work'><p>one</p></div><div class='header'><p>two</p></div><div class='search-algorithms'><p>three</p></div><div class=ad><p>buy</p></div></article>"
+    assert wrappers.main_text(html) == "one\n\ntwo\n\nthree"
+    assert wrappers.main_text("<article><section class='notice'><p>all of it</p></section></article>") == "all of it"
+    assert wrappers.main_text("<p>see <a href=x>this whole sentence that links</a></p>") == "see this whole sentence that links"
+
+
+def test_dictionary_sees_the_whole_archive(monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 64 << 10)
+    seen = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, samples, **_: seen.extend(samples) or warc.zstandard.ZstdCompressionDict(b"x" * 500))
+    warc.dictionary([bytes([k % 251]) * 20_000 for k in range(500)])
+    assert {s[0] for s in seen} >= {0, 250} or len({s[0] for s in seen}) > 5
