@@ -188,8 +188,8 @@ def named(attrs: str) -> str:
     return " ".join(found)
 
 
-def skeleton(root: Node) -> tuple[list, list[list[Block]]]:
-    """Nodes in page order (see LABEL and the following), and each node's blocks.
+def skeleton(root: Node) -> tuple[list, list[list[tuple[str, float]]]]:
+    """Nodes in page order (see LABEL and the following), and each node's blocks: text, and how much of it links.
 
     Elements that hold only text are leaves. Of three or more like leaves in a row, those between the first and the
     last are one repeated slot.
@@ -200,7 +200,7 @@ def skeleton(root: Node) -> tuple[list, list[list[Block]]]:
         size, linked = sum(len(b.text) for b in own), sum(round(len(b.text) * b.linked) for b in own)
         value = hashlib.blake2b("\n".join(b.text for b in own).encode("utf-8", "replace"), digest_size=6).hexdigest() if own else ""
         nodes.append([label, parent, value, size, why, linked, int(article)])
-        texts.append(own)
+        texts.append([(b.text, b.linked) for b in own])
         return len(nodes) - 1
 
     todo: list[tuple] = [(root, -1, None)]
@@ -376,13 +376,17 @@ def judged(page: list, votes: list[tuple[int, int, int, int]]) -> tuple[list[boo
 
 
 def main_text(page: str, wrapper: list | None = None) -> str:
-    """The page's content. wrapper: (skeleton, template, region) of each of its layout's pages.
+    """The page's content; see content."""
+    return content(*skeleton(tree(page)), wrapper)
+
+
+def content(nodes: list, texts: list, wrapper: list | None = None) -> str:
+    """The content of a page's skeleton. wrapper: (skeleton, template, region) of each of its layout's pages.
 
     Blocks in the wrapper's region that are no template; without a region, those in an article or main element; without
     one, all, but for lists of links. What tags drop is dropped throughout, and what names do, unless names would take
     most of the text.
     """
-    nodes, texts = skeleton(tree(page))
     template, inside = [False] * len(nodes), None
     if wrapper and nodes:
         k, pairs = nearest(nodes, [w[0] for w in wrapper])
@@ -404,31 +408,34 @@ def main_text(page: str, wrapper: list | None = None) -> str:
         blocks = [(b, nodes[j]) for j in live for b in texts[j]]
         if where is None:
             blocks = [x for k, x in enumerate(blocks) if not is_menu(blocks, k)]
-        return "\n\n".join(b.text for b, _ in blocks)
+        return "\n\n".join(text for (text, _), _ in blocks)
     return ""
 
 
-def is_menu(blocks: list[tuple[Block, list]], k: int) -> bool:
+def is_menu(blocks: list[tuple[tuple[str, float], list]], k: int) -> bool:
     """Whether a block is mostly links, and stands in a list or beside another such block; a lone sentence that links isn't."""
-    if blocks[k][0].linked <= LINKED:
+    if blocks[k][0][1] <= LINKED:
         return False
-    beside = [blocks[i][0].linked > LINKED for i in (k - 1, k + 1) if 0 <= i < len(blocks)]
+    beside = [blocks[i][0][1] > LINKED for i in (k - 1, k + 1) if 0 <= i < len(blocks)]
     return blocks[k][1][LABEL].split(" ")[0].rstrip("+") in LISTED or any(beside)
 
 
-def _skeletons():
-    """host, layout, fp (hash of what can be content), skeleton of each page."""
+def _parsed():
+    """page_id, url, host, layout, fp (hash of what can be content), skeleton and blocks of each page, so that pages are parsed once."""
+    names = ["page_id", "url", "host", "layout", "fp", "skeleton", "blocks"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                nodes, _ = skeleton(tree(page))
-                own = "".join(n[HASH] for n in nodes if not n[WHY])
-                rows.append((host, layout(nodes), int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True), json.dumps(nodes, separators=(",", ":"))))
-            yield _batch(rows, ["host", "layout", "fp", "skeleton"], [pa.string(), pa.int64(), pa.int64(), pa.string()])
+            for lo in range(0, b.num_rows, 100):
+                rows, part = [], b.slice(lo, 100)
+                for page_id, url, host, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
+                    nodes, texts = skeleton(tree(page))
+                    own = "".join(n[HASH] for n in nodes if not n[WHY])
+                    fp = int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True)
+                    rows.append((page_id, url, host, layout(nodes), fp, json.dumps(nodes, ensure_ascii=False, separators=(",", ":")), json.dumps(texts, ensure_ascii=False, separators=(",", ":"))))
+                yield _batch(rows, names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
-    return run, "host string, layout long, fp long, skeleton string"
+    return run, "page_id long, url string, host string, layout long, fp long, skeleton string, blocks string"
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -453,16 +460,16 @@ def _votes():
     """host, layout, wrapper's page, its node, pages aligned, pages with its text, characters, linked ones: summed within the batch."""
 
     def run(batches):
-        known = Known(lambda wrapper: [json.loads(w) for w in wrapper])
+        known = Known(lambda b, i: [json.loads(w) for w in b.column("wrapper")[i].as_py()])
         for b in batches:
             total: dict[tuple, list[int]] = {}
-            for host, of, page, wrapper in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "skeleton", "wrapper")), strict=True):
-                own, nodes = known.of((host, of), wrapper), json.loads(page)
+            for i, (host, of, page) in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "layout", "skeleton")), strict=True)):
+                own, nodes = known.of((host, of), b, i), json.loads(page)
                 k, pairs = nearest(nodes, own)
-                for i, j in pairs:
-                    v = total.setdefault((host, of, k, i), [0, 0, 0, 0])
+                for w, j in pairs:
+                    v = total.setdefault((host, of, k, w), [0, 0, 0, 0])
                     v[0] += 1
-                    v[1] += own[k][i][HASH] == nodes[j][HASH]
+                    v[1] += own[k][w][HASH] == nodes[j][HASH]
                     v[2] += nodes[j][SIZE]
                     v[3] += nodes[j][LINKS]
             yield _batch([(*key, *v) for key, v in total.items()], ["host", "layout", "k", "node", *VOTES], [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4])
@@ -473,8 +480,9 @@ def _votes():
 VOTES = ["pages", "same", "chars", "linked"]
 
 
-def _made(wrapper: list[str] | None, votes: list[dict] | None) -> list | None:
-    """A layout's wrapper as main_text takes it."""
+def _made(b: pa.RecordBatch, i: int) -> list | None:
+    """The wrapper of a row's layout, as content takes it."""
+    wrapper, votes = b.column("wrapper")[i].as_py(), b.column("votes")[i].as_py()
     if not wrapper:
         return None
     pages = [json.loads(w) for w in wrapper]
@@ -491,32 +499,20 @@ def _texts():
         known = Known(_made)
         for b in batches:
             out = []
-            for host, of, page, wrapper, votes in zip(*(b.column(c).to_pylist() for c in ("host", "layout", "html", "wrapper", "votes")), strict=True):
-                out.append(main_text(page, known.of((host, of), wrapper, votes)))
+            for i, (host, of, nodes, texts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "layout", "skeleton", "blocks")), strict=True)):
+                out.append(content(json.loads(nodes), json.loads(texts), known.of((host, of), b, i)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names)
 
     return run, "page_id long, url string, text string, n_chars long"
 
 
-def _layouts():
-    """The rows with their page's layout."""
-
-    def run(batches):
-        for b in batches:
-            yield b.append_column("layout", pa.array([layout(skeleton(tree(h))[0]) for h in b.column("html").to_pylist()], pa.int64()))
-
-    return run
-
-
 def induced(pages: DataFrame) -> DataFrame:
-    """host, layout, wrapper (skeletons of up to WRAPPERS of its pages) and votes (k, node and VOTES) for each layout of pages (host, html) that has MIN_PAGES pages of different content.
+    """host, layout, wrapper (skeletons of up to WRAPPERS of its pages) and votes (k, node and VOTES) for each layout of pages (as _parsed gives them) that has MIN_PAGES pages of different content.
 
     The pages that serve are those with the smallest hashes, so the choice is the same in every run. Sums are combined
     in each task before they are shuffled; the count of wrappers follows the layouts.
     """
-    run, schema = _skeletons()
-    made = pages.mapInArrow(run, schema)
-    made = staged(made.groupBy("host", "layout", "fp").agg(F.min("skeleton").alias("skeleton")), "skeletons")
+    made = staged(pages.groupBy("host", "layout", "fp").agg(F.min("skeleton").alias("skeleton")), "skeletons")
     slots = made.groupBy("host", "layout", F.pmod("fp", F.lit(WRAPPERS)).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct("fp", "skeleton")).alias("x"))
     wrappers = slots.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["skeleton"]).alias("wrapper"))
     wrappers = staged(wrappers.where(f"n >= {MIN_PAGES}").drop("n"), "wrappers")
@@ -536,7 +532,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, LOWER)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    wrappers = small(induced(p.select("host", "html")), BROADCAST_LAYOUTS)
-    rows = p.mapInArrow(_layouts(), "page_id long, url string, host string, html string, layout long")
+    run, schema = _parsed()
+    rows = staged(p.mapInArrow(run, schema), "parsed")
+    wrappers = small(induced(rows), BROADCAST_LAYOUTS)
     run, schema = _texts()
     return rows.join(wrappers, ["host", "layout"], "left").mapInArrow(run, schema)
