@@ -34,12 +34,27 @@ def components(px: DataFrame, member: str, diagonal: bool = True) -> DataFrame:
 
 
 def cheapest(edges: DataFrame, source: DataFrame) -> DataFrame:
-    """v, cost, hops of every vertex that edges (src, dst, cost) reach from source (v): relaxation, one join a round."""
+    """v, cost, hops, before (the vertex before it) of every vertex that edges (src, dst, cost) reach from source (v): relaxation, one join a round."""
     edges = kept(edges.select("src", "dst", "cost"), "edges")
-    best = kept(source.select("v", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")), "best")
+    best = kept(source.select("v", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("v").alias("before"), F.lit(True).alias("fresh")), "best")
     while best.where("fresh").limit(1).count():
-        new = best.where("fresh").join(edges.withColumnRenamed("cost", "w"), F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))).alias("n"))
+        reached = best.where("fresh").join(edges.withColumnRenamed("cost", "w"), F.col("v") == F.col("src"))
+        new = reached.groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("before"))).alias("n"))
         both = best.join(new, "v", "full_outer")
         better = F.col("cost").isNull() | F.coalesce(F.col("n.cost") < F.col("cost"), F.lit(False))
-        best = kept(both.select("v", F.when(better, F.col("n.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("n.hops")).otherwise(F.col("hops")).alias("hops"), better.alias("fresh")), "best")
+        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
+        best = kept(both.select("v", pick("cost"), pick("hops"), pick("before"), better.alias("fresh")), "best")
     return best.drop("fresh")
+
+
+def walk_back(best: DataFrame, end: DataFrame) -> DataFrame:
+    """v, cost, place (from 0 at the source) of the path to end (v), from the vertices before; pointers jump, so that rounds grow with the logarithm of its length."""
+    best = kept(best.select("v", "cost", "hops", "before"), "tree")
+    on = kept(end.select("v"), "path")
+    jump = best.select("v", "before")
+    while True:
+        more = kept(on.join(jump, "v").select(F.col("before").alias("v")).unionByName(on).distinct(), "path")
+        if more.count() == on.count():  # the source is before itself
+            return more.join(best, "v").select("v", "cost", F.col("hops").alias("place"))
+        on = more
+        jump = kept(jump.join(jump.select(F.col("v").alias("before"), F.col("before").alias("further")), "before").select("v", F.col("further").alias("before")), "jump")
