@@ -217,31 +217,90 @@ def block_bootstrap(spark, sf_dir):
     return m.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select(*[F.col("q")[k].alias(n) for k, n in enumerate(("low", "median", "high"))])
 
 
-def logistic(df: DataFrame, y: str, columns: list[str], rounds: int = 25) -> tuple[list[float], list[list[float]]]:
-    """Coefficients (an intercept first) and their covariance: Newton steps over sums of a row's products, one job a step."""
+def _terms(columns: list[str]) -> list[str]:
+    return ["1D", *[f"double({c})" for c in columns]]
+
+
+def _eta(beta, x: list[str]) -> str:
+    return " + ".join(f"({float(b)!r}D * {c})" for b, c in zip(beta, x, strict=True))
+
+
+def logistic(df: DataFrame, y: str, columns: list[str], rounds: int = 50) -> tuple[list[float] | None, list[list[float]] | None]:
+    """Coefficients (an intercept first) and their covariance: Newton steps over sums of a row's products, one job a step.
+
+    A step that lowers the likelihood is halved. None, None where the outcomes are of one class, or where the columns
+    part the classes, so that no finite coefficient is best.
+    """
     import numpy as np
 
-    p, beta = len(columns) + 1, None
-    x = ["1D", *[f"double({c})" for c in columns]]
+    x = _terms(columns)
+    p = len(x)
+
+    def sums(beta):
+        d = df.withColumn("_e", F.expr(f"greatest(-40D, least(40D, {_eta(beta, x)}))")).withColumn("_p", F.expr("1 / (1 + exp(-_e))")).withColumn("_r", F.expr(f"int({y}) - _p"))
+        like = F.sum(F.expr(f"int({y}) * _e - ln(1 + exp(_e))"))
+        got = d.agg(like, *[F.sum(F.expr(f"_r * {c}")) for c in x], *[F.sum(F.expr(f"_p * (1 - _p) * {a} * {b}")) for a in x for b in x]).first()
+        return got[0], np.array(got[1 : p + 1], float), np.array(got[p + 1 :], float).reshape(p, p)
+
+    n, ones = df.agg(F.count("*"), F.sum(F.expr(f"int({y})"))).first()
+    if not n or ones in (0, n):
+        return None, None
     beta = np.zeros(p)
+    like, g, h = sums(beta)
     for _ in range(rounds):
-        eta = " + ".join(f"({b!r}D * {c})" for b, c in zip(map(float, beta), x, strict=True))
-        d = df.withColumn("_p", F.expr(f"1 / (1 + exp(-({eta})))")).withColumn("_r", F.expr(f"int({y}) - _p"))
-        got = d.agg(*[F.sum(F.expr(f"_r * {c}")) for c in x], *[F.sum(F.expr(f"_p * (1 - _p) * {a} * {b}")) for a in x for b in x]).first()
-        g, h = np.array(got[:p], float), np.array(got[p:], float).reshape(p, p)
-        step = np.linalg.solve(h, g)
-        beta = beta + step
+        try:
+            step = np.linalg.solve(h, g)
+        except np.linalg.LinAlgError:
+            return None, None
+        for _ in range(30):
+            new = sums(beta + step)
+            if new[0] >= like - 1e-12 * abs(like):
+                break
+            step = step / 2
+        beta, (like, g, h) = beta + step, new
+        if np.abs(beta).max() > 30 or like > -1e-6 * n:  # running off: the classes are parted
+            return None, None
         if abs(step).max() < 1e-10:
-            break
-    return [float(b) for b in beta], np.linalg.inv(h).tolist()
+            return [float(b) for b in beta], np.linalg.inv(h).tolist()
+    return None, None
+
+
+def cluster_robust(df: DataFrame, y: str, columns: list[str], cluster: str, beta: list[float], cov: list[list[float]]) -> list[list[float]]:
+    """The coefficients' covariance where rows of a cluster go together: scores are summed by cluster, their products over clusters."""
+    import numpy as np
+
+    x = _terms(columns)
+    d = df.withColumn("_r", F.expr(f"int({y}) - 1 / (1 + exp(-({_eta(beta, x)})))"))
+    s = d.groupBy(cluster).agg(*[F.sum(F.expr(f"_r * {c}")).alias(f"_s{k}") for k, c in enumerate(x)])
+    got = s.agg(F.count("*"), *[F.sum(F.expr(f"_s{a} * _s{b}")) for a in range(len(x)) for b in range(len(x))]).first()
+    meat, c = np.array(got[1:], float).reshape(len(x), len(x)), np.array(cov)
+    return (c @ meat @ c * got[0] / (got[0] - 1)).tolist()
 
 
 @query()
 def logistic_fit(spark, sf_dir):
-    """Logistic model of the outcome (iterative: no SQL; tested against the score equations)."""
-    beta, cov = logistic(views.discs(spark, sf_dir).withColumn("e", F.col("exposed").cast("int")), "outcome", ["e", "stratum"])
-    rows = [(n, b, cov[k][k] ** 0.5) for k, (n, b) in enumerate(zip(("intercept", "exposed", "stratum"), beta, strict=True))]
-    return spark.createDataFrame(rows, "term string, estimate double, se double")
+    """Logistic model of the outcome, with errors of the model and of clusters (iterative: no SQL; tested against the score equations). No row where there is no fit."""
+    d = graph.kept(views.discs(spark, sf_dir).withColumn("e", F.col("exposed").cast("int")), "discs")
+    beta, cov = logistic(d, "outcome", ["e", "stratum"])
+    robust = cluster_robust(d, "outcome", ["e", "stratum"], "stratum", beta, cov) if beta else []
+    rows = [(n, b, cov[k][k] ** 0.5, robust[k][k] ** 0.5) for k, (n, b) in enumerate(zip(("intercept", "exposed", "stratum"), beta or [], strict=False))]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, se_cluster double")
+
+
+#: Rungs of the covariate ladder: what stands beside the exposure.
+LADDER = [[], ["x"], ["x", "stratum"], ["x", "stratum", "x * x"]]
+
+
+@query()
+def covariate_ladder(spark, sf_dir):
+    """The exposure's odds ratio as covariates are added, rung by rung, with errors of the model and of clusters (iterative: no SQL)."""
+    d = graph.kept(views.discs(spark, sf_dir).withColumn("e", F.col("exposed").cast("int")), "discs")
+    rows = []
+    for k, more in enumerate(LADDER):
+        beta, cov = logistic(d, "outcome", ["e", *more])
+        robust = cluster_robust(d, "outcome", ["e", *more], "stratum", beta, cov) if beta else None
+        rows.append((k, ", ".join(more), math.exp(beta[1]) if beta else None, cov[1][1] ** 0.5 if beta else None, robust[1][1] ** 0.5 if beta else None))
+    return spark.createDataFrame(rows, "rung int, covariates string, odds_ratio double, se double, se_cluster double")
 
 
 @query()

@@ -68,8 +68,6 @@ def test_tiles_change_nothing(spark, monkeypatch):
     for rule in ("reflect", "mirror", "nearest", "valid"):
         whole = sorted(stencil.box(px, (35, 41), 5, {"s": F.col("z")}, rule).collect())
         monkeypatch.setattr(stencil, "EDGE", 8)
-        t = stencil.tiled.__defaults__
-        monkeypatch.setattr(stencil.tiled, "__defaults__", (t[0], 8))
         assert sorted(stencil.box(px, (35, 41), 5, {"s": F.col("z")}, rule).collect()) == whole
         monkeypatch.undo()
 
