@@ -42,25 +42,36 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, bench: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """keep, n_words and each verified hit (pos, size, items); one row with pos -1 for every row of docs besides."""
+    """keep (the first of them tells rows apart), n_words and each verified hit (pos, size, items); one row with pos -1 for every row of docs besides."""
     spark = docs.sparkSession
-    table = benchmark_windows(bench, window)
+    table = staged(benchmark_windows(bench, window), "windows")
     sizes = sorted(r[0] for r in table.select("size").distinct().collect())  # at most `window` values
-    always = spark.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("size"), F.expr("cast(array() as array<string>)").alias("words"), F.array().cast(bench.select(F.array("item_id")).schema[0].dataType).alias("items"))
-    table = small(table.unionByName(always), MAX_BROADCAST_WINDOWS).select(F.col("h").alias("b_h"), F.col("size").alias("b_size"), "words", "items")
+    named = lambda t: t.select(F.col("h").alias("b_h"), F.col("size").alias("b_size"), "words", "items")
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t")).select(*keep, F.expr(words_of()).alias("__w"))
     d = d.select(*keep, "__w", F.expr("transform(__w, x -> xxhash64(x))").alias("__h"))
     looked = ", ".join(["array(0L)", *[windows_sql("__h", n) for n in sizes if n]])
-    # outer: so no filter on the array is pushed below, where the array would be made again
-    d = d.select(*keep, "__w", F.expr(f"concat({looked})").alias("__l")).select(*keep, "__w", F.posexplode_outer("__l").alias("__i", "__h"))
+    d = d.select(*keep, "__w", F.expr(f"concat({looked})").alias("__l"))
     # Place 0 always hits; then come the windows of each size in turn.
     pos, before = "case b_size when 0 then -1", "1"
     for n in sizes:
         if n:
             pos, before = f"{pos} when {n} then __i - ({before})", f"{before} + greatest(0, size(__w) - {n - 1})"
     same = " and ".join(f"(b_size <= {k} or get(__w, pos + {k}) = get(words, {k}))" for k in range(window))
-    found = d.join(table, F.col("__h") == F.col("b_h")).withColumn("pos", F.expr(f"{pos} end")).where(f"b_size = 0 and __i = 0 or b_size > 0 and pos >= 0 and {same}")
-    return found.select(*keep, F.size("__w").cast("long").alias("n_words"), "pos", F.col("b_size").alias("size"), "items")
+    out = [*keep, F.size("__w").cast("long").alias("n_words"), "pos", F.col("b_size").alias("size"), "items"]
+    if table.count() <= MAX_BROADCAST_WINDOWS:
+        always = spark.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("size"), F.expr("cast(array() as array<string>)").alias("words"), F.array().cast(table.schema["items"].dataType).alias("items"))
+        # outer: so no filter on the array is pushed below, where the array would be made again
+        d = d.select(*keep, "__w", F.posexplode_outer("__l").alias("__i", "__h"))
+        found = d.join(F.broadcast(named(table.unionByName(always))), F.col("__h") == F.col("b_h")).withColumn("pos", F.expr(f"{pos} end"))
+        return found.where(f"b_size = 0 and __i = 0 or b_size > 0 and pos >= 0 and {same}").select(*out)
+    # Beyond a broadcast, only rows, places and hashes are shuffled; words are compared where a hash is found, by a second join.
+    row = keep[0]
+    looks = d.select(row, F.posexplode("__l").alias("__i", "__h")).where("__i > 0")
+    at = looks.join(table.select(F.col("h").alias("__h")).distinct(), "__h").groupBy(row).agg(F.collect_list(F.struct("__i", "__h")).alias("__x"))  # a text's own hits
+    met = d.join(staged(at, "hits"), row).select(*keep, "__w", F.explode("__x").alias("__x")).select(*keep, "__w", "__x.*")
+    found = met.join(named(table), F.col("__h") == F.col("b_h")).withColumn("pos", F.expr(f"{pos} end")).where(f"pos >= 0 and {same}")
+    every = d.select(*keep, F.size("__w").cast("long").alias("n_words"), F.lit(-1).alias("pos"), F.lit(0).alias("size"), F.array().cast(table.schema["items"].dataType).alias("items"))
+    return every.unionByName(found.select(*out))
 
 
 #: Words inside any of the sorted (start, end) hits.
