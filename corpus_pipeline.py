@@ -1,4 +1,8 @@
-"""The corpus pipeline: what makes documents into packed training sequences, stage by stage."""
+"""The corpus pipeline: what makes documents into packed training sequences, stage by stage.
+
+Every stage takes null and repeated ids, null and empty texts, and further columns, whatever their names; an empty
+table stays empty. All but the last return the columns that they are given.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,33 @@ from terrafold.llm.common import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules, or their hosts' verdicts, reject go."""
+    """Documents that the rules, or their hosts' verdicts, reject go; so do null, empty and short texts. Rows are judged one by one: repeated ones stay or go together."""
     return quality.quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand elsewhere before, equal or within some edits, go; so do documents that keep no word."""
+    """Lines that stand elsewhere before, equal or within some edits, go; so do documents that keep no word.
+
+    Before is by id, then line; null ids come last, and of rows with one id the earlier row is first, so that a repeated row goes.
+    """
     return lines.dedup_lines(docs, lines.GRADED, short=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, a similarity of 0.8), the document with the smallest id stays."""
+    """Of each group of near duplicates (five words, a similarity of 0.8), the document with the smallest id stays.
+
+    Rows of one id stay or go together; a null id stays, and texts without words are no group.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go, each row for itself; an empty benchmark, and items without words, remove nothing."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens: every row's pieces, repeated ones too, in as few as can be."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), added=True)
