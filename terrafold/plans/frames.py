@@ -134,7 +134,7 @@ def nearest_mask(spark, sf_dir):
 
 
 #: Places of customers on the raster: some lie beyond it.
-_PLACES = "(SELECT c_custkey AS id, c_custkey % 131 * 0.9 - 4.0 AS y, c_custkey % 97 * 1.1 - 2.5 AS x FROM customer)"
+_PLACES = "(SELECT c_custkey AS id, c_custkey % 131 * 0.9e0 - 4e0 AS y, c_custkey % 97 * 1.1e0 - 2.5e0 AS x FROM customer)"
 
 
 def places(spark, sf_dir) -> DataFrame:
