@@ -6,6 +6,8 @@ an operator are inside the tile, so there is one shuffle, by tile, and no group
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,16 +114,40 @@ def hazard(terms: dict[str, tuple[str, float, float]]) -> Column:
 def distance(px: DataFrame, shape: tuple[int, int], target: str) -> DataFrame:
     """line, sample, distance: exact Euclidean distance, in pixels, to the nearest pixel where target holds.
 
-    Along each sample's column, the nearest target's line offset by running minima; then, along each line, the best of
-    the columns. The second pass compares a line's pixels with each other, so its cost is the raster's width a pixel.
+    Along each sample's column, the nearest target's line offset by running minima; then, along each line, the lower
+    envelope of the columns' parabolas, which a linear scan gives.
     """
     w = Window.partitionBy("sample").orderBy("line")
     at = F.when(F.col(target), F.col("line"))
     c = px.withColumn("_a", F.last(at, True).over(w)).withColumn("_b", F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    c = c.withColumn("_g", F.least(F.col("line") - F.col("_a"), F.col("_b") - F.col("line"))).select("line", "sample", "_g")
-    other = c.where("_g is not null").select("line", F.col("sample").alias("_o"), F.col("_g").alias("_h"))
-    best = c.join(other, "line", "left").groupBy("line", "sample").agg(F.min(F.expr("(sample - _o) * (sample - _o) + _h * _h")).alias("_d"))
-    return best.select("line", "sample", F.sqrt("_d").alias("distance"))
+    c = c.select("line", "sample", F.least(F.col("line") - F.col("_a"), F.col("_b") - F.col("line")).cast("double").alias("_g"))
+
+    def run(line: pd.DataFrame) -> pd.DataFrame:
+        p = line.sort_values("sample")
+        return pd.DataFrame({"line": p["line"], "sample": p["sample"], "distance": np.sqrt(envelope(p["sample"].to_numpy(float), p["_g"].to_numpy(float) ** 2))})
+
+    d = c.groupBy("line").applyInPandas(run, "line long, sample long, distance double")
+    return d.select("line", "sample", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
+
+
+def envelope(at: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """At each place, the lowest of the parabolas (x - at)**2 + height, in one scan; NaN heights have none, and NaN is told without any."""
+    own = np.flatnonzero(~np.isnan(height))
+    if not len(own):
+        return np.full(len(at), np.nan)
+    hull, start = [own[0]], [-np.inf]  # parabolas in order, and from where on each is the lowest
+    for k in own[1:]:
+        while True:
+            j = hull[-1]
+            meet = ((height[k] + at[k] ** 2) - (height[j] + at[j] ** 2)) / (2 * (at[k] - at[j]))
+            if meet > start[-1] or len(hull) == 1:
+                break
+            hull.pop()
+            start.pop()
+        hull.append(k)
+        start.append(meet)
+    best = np.array(hull)[np.searchsorted(np.array(start), at, "right") - 1]
+    return (at - at[best]) ** 2 + height[best]
 
 
 def weighted(px: DataFrame, shape: tuple[int, int], kernel: dict[int, float], values: dict[str, Column], boundary: str = "valid") -> DataFrame:

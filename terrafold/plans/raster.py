@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import radar
 from terrafold.operators import graph, order, stencil
+from terrafold.operators.skyline import skylines
 from terrafold.plans.registry import PX, RATIOS, query
 from terrafold.sources import views
 
@@ -295,12 +296,9 @@ def bilinear_resample(spark, sf_dir):
 @query(f"""WITH px AS {PX}, h AS (SELECT a.line, a.sample, max((b.z - a.z) / ((b.sample - a.sample) * 30.0)) AS t FROM px a JOIN px b ON a.line = b.line AND b.sample > a.sample GROUP BY 1, 2)
 SELECT line, sample, round(degrees(atan(t)), 6) + 0.0 AS horizon, t < tan(radians(5)) AS lit FROM h""")
 def horizon(spark, sf_dir):
-    """Angle of the horizon along increasing samples, and whether a light of 5 degrees reaches the pixel. Pixels of a line meet each other, none of other lines."""
-    px = views.pixels(spark, sf_dir).select("line", "sample", "z")
-    far = px.select(F.col("line").alias("l"), F.col("sample").alias("s"), F.col("z").alias("h"))
-    t = px.join(far, (F.col("line") == F.col("l")) & (F.col("s") > F.col("sample"))).groupBy("line", "sample").agg(F.max((F.col("h") - F.col("z")) / ((F.col("s") - F.col("sample")) * F.lit(30.0))).alias("t"))
-    return t.select("line", "sample", r6(F.degrees(F.atan("t"))).alias("horizon"), (F.col("t") < F.tan(F.radians(F.lit(5)))).alias("lit"))
-
+    """Angle of the horizon along increasing samples, and whether a light of 5 degrees reaches the pixel: a linear scan a line. The last pixel of a line has none."""
+    t = skylines(views.pixels(spark, sf_dir), "sample", "line", 30.0).where("ahead is not null")
+    return t.select("line", "sample", r6(F.degrees(F.atan("ahead"))).alias("horizon"), (F.col("ahead") < F.tan(F.radians(F.lit(5)))).alias("lit"))
 
 
 @query(f"""WITH p AS (SELECT line, sample, -80.0 - line % 90 / 10.0 AS lat, sample * 3.6 - 180 AS lon FROM {PX}), r AS (SELECT *, 2 * 1737400.0 * tan(pi() / 4 + radians(lat) / 2) AS rho FROM p)

@@ -110,3 +110,15 @@ def test_logistic_guards(spark):
     meat = sum(np.outer(s[g == k].sum(0), s[g == k].sum(0)) for k in range(12))
     want = np.array(cov) @ meat @ np.array(cov) * 12 / 11
     assert np.allclose(cluster_robust(df, "y", ["x"], "g", beta, cov), want)
+
+
+def test_envelope():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = rng.integers(0, 12)
+        at = np.sort(rng.choice(50, n, replace=False)).astype(float)
+        h = rng.choice([np.nan, 0.0, 1.0, 4.0, 25.0, 400.0], n)
+        got = stencil.envelope(at, h)
+        for x, g in zip(at, got, strict=True):
+            best = [(x - a) ** 2 + v for a, v in zip(at, h, strict=True) if not np.isnan(v)]
+            assert g == min(best) if best else np.isnan(g)
