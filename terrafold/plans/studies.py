@@ -217,6 +217,18 @@ def rule_onset(spark, sf_dir):
     return q.agg(F.min(F.when(F.expr("edge < q05"), F.col("n"))).alias("first_with_region"), F.max(F.when(F.expr("edge >= q05"), F.col("n"))).alias("last_without_region"))
 
 
+_LEVELS = [0.2, 0.4, 0.6, 0.8]
+
+
+@query(f"SELECT t.v::DOUBLE AS dop_th, count(*) FILTER (dop < t.v) AS n, round(max(cpr) FILTER (dop < t.v), 6) AS highest, round(pow(tanh(atanh(t.v) / 2), 2), 6) AS ceiling, coalesce(max(cpr) FILTER (dop < t.v) <= pow(tanh(atanh(t.v) / 2), 2) + 1e-6, true) AS held FROM {RATIOS} p, (VALUES {', '.join(f'({x})' for x in _LEVELS)}) t(v) WHERE measured GROUP BY t.v")
+def algebraic_ceiling(spark, sf_dir):
+    """The highest ratio under each polarisation against what amplitudes alone can reach."""
+    px = ratios(views.pixels(spark, sf_dir)).where("measured")
+    one = px.agg(*[x for i, t in enumerate(_LEVELS) for x in (F.count_if(F.col("dop") < t).alias(f"n{i}"), F.max(F.when(F.col("dop") < t, F.col("cpr"))).alias(f"m{i}"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("dop_th"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.lit(radar.tanh_ceiling(t)).alias("c")) for i, t in enumerate(_LEVELS)]))
+    return one.select(rows.alias("x")).select("x.dop_th", "x.n", r6("x.m").alias("highest"), r6("x.c").alias("ceiling"), F.coalesce(F.expr("x.m <= x.c + 1e-6D"), F.lit(True)).alias("held"))
+
+
 _COUPLE = "CASE WHEN dop < abs((cpr - 1) / (cpr + 1)) - 1e-12 THEN NULL ELSE sqrt(greatest(dop * dop - pow((cpr - 1) / (cpr + 1), 2), 0) / (1 - pow((cpr - 1) / (cpr + 1), 2))) END"
 
 

@@ -35,12 +35,6 @@ def shape(px: DataFrame) -> tuple[int, int]:
     return ((got["l"] or 0) + 1, (got["s"] or 0) + 1)
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line (vector), sample (place in it), v: one row for each element."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("line"), F.posexplode("embedding").alias("sample", "x")).select("line", F.col("sample").cast("long").alias("sample"), F.col("x").cast("double").alias("v"))
-
-
 def looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line, sample, re_h, im_h, re_v, im_v: four elements in a row are a complex look of two channels."""
     e = table(spark, sf_dir, "embeddings")
