@@ -25,7 +25,7 @@ from terrafold.llm.common import staged
 
 CAPACITY = 2048
 #: Pieces of one length are ranked in parts of about so many.
-RANKED = 500
+RANKED = 200
 #: Bytes of text that are parted at once; the words that a task remembers.
 SLICE, WORDS = 2 << 20, 400_000
 #: Bounds of the fit, which lose no piece: patterns that are fitted, the commonest lengths that patterns of three are made of, sweeps.
