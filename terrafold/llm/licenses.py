@@ -199,7 +199,10 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.withColumn("__w", F.expr(f"if(__gate and ({some}), split(trim(__t), ' '), null)"))
     d = d.withColumn("__b", F.expr(f"if(__w is null, array(), filter(transform(sequence(0, greatest(size(__w) - 1, 0)), i -> if({phrase}, i, -1)), i -> i >= 0))"))
     d = d.withColumn("__rules", F.from_json(F.lit(json.dumps(rules())), "array<struct<label string, kw string, pattern string, prio int>>"))
-    d = d.withColumn("__on", F.expr("if(__gate, filter(__rules, r -> contains(__t, concat(' ', r.kw))), array())")).drop("__rules")
+    # Each keyword is sought once, however many rules it has.
+    have = "array(" + ", ".join(f"'{k}'" for k in keys) + ")"
+    d = d.withColumn("__kw", F.expr(f"if(__gate, filter({have}, k -> contains(__t, concat(' ', k))), array())"))
+    d = d.withColumn("__on", F.expr("if(size(__kw) > 0, filter(__rules, r -> array_contains(__kw, r.kw)), array())")).drop("__rules", "__kw")
     # A rule's matches by start and end: the pieces between them give the places.
     d = d.withColumn("__m", F.expr("transform(__on, r -> struct(r.label as label, r.prio as prio, split(__t, r.pattern, -1) as rest, regexp_extract_all(__t, r.pattern, 0) as got))"))
     d = d.withColumn("__m", F.expr("filter(__m, m -> size(m.got) > 0)"))
