@@ -288,7 +288,7 @@ def logistic_fit(spark, sf_dir):
 
 
 #: Rungs of the covariate ladder: what stands beside the exposure.
-LADDER = [[], ["x"], ["x", "stratum"], ["x", "stratum", "x * x"]]
+LADDER = [[], ["stratum"], ["stratum", "stratum * stratum"], ["stratum", "stratum * stratum", "id % 5"]]
 
 
 @query()
