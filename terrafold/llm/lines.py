@@ -22,7 +22,7 @@ GRADED = [(10, 1), (20, 2), (30, 3)]
 #: A line with a word.
 WORDED = r"rlike(line, '[^\\x20\\x09-\\x0D]')"
 #: A segment that more lines share is not joined but split further.
-HOT = 64
+HOT = 1024
 
 
 def probes(classes: list[tuple[int, int]]) -> str:
@@ -136,8 +136,9 @@ def links(lines: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame
 
     classes has (length, k) by length: k holds where the shorter line has that length or more, up to the next one's.
 
-    A key that more than HOT lines have on both sides isn't joined: what its lines have besides the shared segment is
-    split into segments in turn, until keys are rare or the rests are so short that all are within k edits.
+    Lines that share a key are compared in the join itself, so that only near ones come out of it. A key that more than
+    HOT lines have on both sides isn't joined: what its lines have besides the shared segment is split into segments in
+    turn, until keys are rare or the rests are so short that all are within k edits.
     """
     rows, level, found = of_lines(lines, classes, False), 0, []
     if classes[-1][1] > 1:
@@ -152,7 +153,13 @@ def links(lines: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame
         sized = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
         hot, rest = sized(busy.where("hot").select("key"), n_hot), sized(busy.where("not hot").select("key"), n_rare)
         rare = keys.join(rest, "key")
-        both = rare.where("own").select("key", F.col("h").alias("a")).join(rare.select("key", F.col("h").alias("b")), "key").where("a <> b")
+        ends = staged(rare.select("h").distinct(), "ends")
+        texts = lines.select("h", "line").join(small(ends), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+        rare = staged(rare.join(texts, "h"), "rare")
+        left, right = rare.where("own").select("key", "k", F.col("h").alias("a"), F.col("line").alias("x")), rare.select(F.col("key").alias("other"), F.col("h").alias("b"), F.col("line").alias("y"))
+        # A key's length tells k, so both sides have the same. A cheap test: what passes it is verified below.
+        near = " or ".join(f"k = {k} and levenshtein(x, y, {k}) >= 0" for k in sorted({k for _, k in classes}))
+        both = left.join(right, (F.col("key") == F.col("other")) & F.expr(f"a <> b and ({near})"))
         # By least and greatest: lines of one length probe each other.
         found.append(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if not n_hot:
@@ -171,8 +178,7 @@ def links(lines: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFrame
     both, near = both.withColumn("n", F.expr("least(length(x), length(y))")), []
     for (lo, k), (end, _) in zip(classes, [*classes[1:], (1 << 31, 0)], strict=True):
         part = both.where(f"n between {lo} and {end - 1}")
-        # A cheap test first: few candidates are near where segments are short.
-        near.append(within(part.where(f"levenshtein(x, y, {k}) >= 0") if k > 1 else part, k).select("a", "b"))
+        near.append(within(part, k).select("a", "b"))
     return reduce(DataFrame.unionByName, near)
 
 
