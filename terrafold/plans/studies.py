@@ -243,12 +243,12 @@ _MEAN_DOP = "exp(lgamma(2.0) + lgamma({n} - 1.0) - lgamma({n} + 1.0) - lgamma(1.
 
 
 @query(f"""WITH RECURSIVE b AS (SELECT n, 0 AS i, 1.5::DOUBLE AS lo, 1e6::DOUBLE AS hi FROM {_NS} UNION ALL SELECT n, i + 1, CASE WHEN {_MEAN_DOP.format(n='sqrt(lo * hi)')} > 1.0 / n THEN sqrt(lo * hi) ELSE lo END, CASE WHEN {_MEAN_DOP.format(n='sqrt(lo * hi)')} > 1.0 / n THEN hi ELSE sqrt(lo * hi) END FROM b WHERE i < 80)
-SELECT n, round({_MEAN_DOP.format(n='n')}, 8) AS mean_dop, round(sqrt(lo * hi), 3) AS looks_for_inverse FROM b WHERE i = 80""")
+SELECT n, round({_MEAN_DOP.format(n='n')}, 6) AS mean_dop, round(sqrt(lo * hi), 1) AS looks_for_inverse FROM b WHERE i = 80""")
 def mean_sample_dop(spark, sf_dir):
     """Mean sample polarisation of unpolarised light over n looks, and the looks at which it is 1 / n."""
     lg = laws.log_gamma
     mean = lambda n: f"exp({lg('2D')} - {lg(f'({n} + 1D)')} - {lg('1.5D')} + {lg(f'({n} + 0.5D)')})"
-    return looks_table(spark).select("n", F.round(F.expr(mean("n")), 8).alias("mean_dop"), F.round(laws.bisected(mean("{x}") + " > 1D / n", "1.5", "1e6"), 3).alias("looks_for_inverse"))
+    return looks_table(spark).select("n", F.round(F.expr(mean("n")), 6).alias("mean_dop"), F.round(laws.bisected(mean("{x}") + " > 1D / n", "1.5", "1e6"), 1).alias("looks_for_inverse"))
 
 
 @query(f"""WITH t AS (SELECT n, 100 * {_DTAIL.format(x='1.4285714')} AS p FROM (SELECT unnest(range(3, 40)) AS n)), s AS (SELECT *, sqrt(p * (100 - p) / 1000) AS se FROM t), v AS (SELECT 'value' AS curve, n, p AS v FROM s UNION ALL SELECT 'high', n, p + 2 * se FROM s UNION ALL SELECT 'low', n, p - 2 * se FROM s),
