@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import decontam, licenses, lines, neardup, packing, quality, sql, suffixes, urls, warc, wrappers
+from terrafold.llm import clusters, decontam, divergence, licenses, lines, mixing, neardup, packing, quality, sql, suffixes, urls, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms are from its language's other sources, and the terms that lead in it; see divergence.divergences."""
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each whole vector after ten rounds; see clusters.clustered."""
+    return clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; see mixing.mix."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pattern_packing, op2_line_dedup, op3_suffix_dedup, op4_minhash_near_dedup, op5_quality_rules,
         op6_warc, op7_wrapper_text, op8_license_scan, op9_decontaminate, op10_url_filter,
+        op11_source_divergence, op12_centroid_clusters, op13_source_mix,
     )
 }
 SQL: dict[str, str] = sql.ALL

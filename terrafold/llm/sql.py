@@ -88,4 +88,61 @@ SELECT page_id, strlen(body) AS payload_bytes, digest AS payload_digest, CASE WH
 FROM p JOIN m USING (h) JOIN d USING (h)
 """
 
-ALL: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_minhash_near_dedup": OP4, "op5_quality_rules": OP5, "op6_warc": OP6, "op9_decontaminate": OP9}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM a JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+met AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+         FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN met ON met.lang = x.lang AND met.source = x.source AND met.item = y.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 10
+""".replace("{LOW}", LOW)
+
+
+def _clusters(rounds: int = 10, k: int = 8) -> str:
+    """Plain rounds, one after the other: every vector against every centroid."""
+    square = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM k ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT n, c.c, {square} AS d FROM k, c{i} c QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c.c) = 1)")
+        if i < rounds:
+            sums = f"SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i} JOIN k USING (n)) GROUP BY c, i"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM ({sums}) GROUP BY c UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM a{i}))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN k USING (n) JOIN c{rounds} c ON c.c = a.c"""
+
+
+OP12 = _clusters()
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(3 * total) OVER k AS capped, sum(w) OVER k AS cw, lead(3 * total) OVER k AS next, lead(w) OVER k AS nw, sum(total) OVER () AS t, sum(w) OVER () AS tw
+      FROM s WINDOW k AS (ORDER BY 3 * total / w, source NULLS LAST)),
+-- Water level with the first k sources at their bound; the lowest k whose next source stays below its own.
+lv AS (SELECT 0 AS k, any_value(t)::DOUBLE / any_value(tw)::DOUBLE AS lam, arg_min(3 * total, 3 * total / w) AS next, arg_min(w, 3 * total / w) AS nw FROM o
+       UNION ALL SELECT row_number() OVER (ORDER BY 3 * total / w, source NULLS LAST), (t - capped)::DOUBLE / (tw - cw)::DOUBLE, next, nw FROM o),
+lam AS (SELECT coalesce(arg_min(lam, k), 0) AS lam FROM lv WHERE next > lam * nw),
+g AS (SELECT source, total, least((3 * total)::DOUBLE, lam * w) AS target, ('0x' || substr(sha256('mix:' || coalesce('=' || source, '')), 1, 8))::BIGINT % 1073741824 AS u FROM s, lam),
+e AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE floor(target / total * 1073741824)::HUGEINT END AS each FROM g),
+r AS (SELECT doc_id, size, source, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) AS r FROM d),
+n AS (SELECT doc_id, size, total AS source_size, target, (r * each + u) // 1073741824 - ((r - 1) * each + u) // 1073741824 AS copies FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM n
+"""
+
+ALL: dict[str, str] = {
+    "op3_suffix_dedup": OP3, "op4_minhash_near_dedup": OP4, "op5_quality_rules": OP5, "op6_warc": OP6, "op9_decontaminate": OP9,
+    "op11_source_divergence": OP11, "op12_centroid_clusters": OP12, "op13_source_mix": OP13,
+}
