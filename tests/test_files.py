@@ -46,3 +46,31 @@ def test_duplicates(spark, tmp_path):
         (tmp_path / name).write_text(text)
     rows = files.duplicates(spark, str(tmp_path), "regexp_extract(path, '_([a-z]+)[.]', 1)").collect()
     assert [(r.role, r.copies, r["first"][-7:]) for r in rows] == [("x", 2, "a_x.img")]
+
+
+def test_statements():
+    text = 'A = 1 /* no = 2 */\nOBJECT = X\n B = "two\n  lines"\n C = 2.5e3 <M/PIXEL>\n GROUP = Y\n  ^D = (1,\n 2)\n END_GROUP = Y\n E = N/A\nEND_OBJECT\nF = "7"\nEND\n'
+    assert files.statements(text) == [
+        ("", "A", "1", 1.0, None), ("X", "B", "two lines", None, None), ("X", "C", "2.5e3 <M/PIXEL>", 2500.0, "M/PIXEL"),
+        ("X/Y", "^D", "(1, 2)", None, None), ("X", "E", "N/A", None, None), ("", "F", "7", 7.0, None),
+    ]
+    assert files.statements("") == []
+
+
+def test_needed_numbers(spark):
+    t = spark.createDataFrame([(1, "OBJECT = I\nM = 3 <KM>\nEND_OBJECT\nM = 9\nN = 2"), (2, "M = 4\nN = word")], "id long, text string")
+    f = files.odl(t, "id")
+    assert files.needed(f.where("id = 1"), "id", ["I.M", "N"]).first()[1:] == (3.0, 2.0)
+    for key in ("I.M", "N"):
+        with pytest.raises(Exception, match="no number"):
+            files.needed(f, "id", [key]).collect()
+
+
+def test_calibration(spark):
+    xml = "<p><polarization>lh</polarization><gain_imbalance>1</gain_imbalance><gain_imbalance>5</gain_imbalance><calibration_constant>70</calibration_constant><polarization>lv</polarization><bias_real>2</bias_real></p>"
+    t = spark.createDataFrame([("a", bytearray(xml.encode()))], "path string, content binary")
+    rows = sorted(map(tuple, files.calibration(files.parsed(t)).collect()))
+    assert rows == [("a", "LH", 70.0, 1.0, None, None, None), ("a", "LV", 70.0, None, None, 2.0, None)]
+    for bad in ("<p><polarization>lh</polarization></p>", "<p><calibration_constant>7</calibration_constant></p>"):
+        with pytest.raises(Exception, match="no calibration"):
+            files.calibration(files.parsed(spark.createDataFrame([("b", bytearray(bad.encode()))], "path string, content binary"))).collect()
