@@ -1,44 +1,156 @@
-"""Horizons along the profiles of a raster, in one linear scan a profile."""
+"""Horizons along profiles at any azimuth, in pieces that merge.
+
+A profile is cut into segments. Of what lies beyond a segment only crests can be a horizon, that is the upper hull of each
+segment beyond; hulls of segments merge into hulls of blocks of segments, so that a segment receives a few crests for
+each block of its own level and of the levels above. A group is a strip of segments, a tile of bounded size, however
+long profiles are. An azimuth beside lines and columns has profiles of its own: a pixel's place in the rotated grid.
+"""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.shared import staged
+
+#: Places in a segment, profiles in a group, segments (or blocks) in a block; crests that a group takes at once.
+SEGMENT, STRIP, FAN, MOST = 256, 16, 16, 1 << 15
+_POINT = "rot int, prof long, at long, z double, line long, sample long"
+
 
-def skyline(z: np.ndarray, at: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place on a profile: the steepest slope to anything ahead of it, and where that crest is; NaN and 0 without one.
+def turned(angle: float) -> tuple[float, float]:
+    """Cosine and sine of degrees, exact on the axes."""
+    return round(math.cos(math.radians(angle)), 15) + 0.0, round(math.sin(math.radians(angle)), 15) + 0.0
 
-    A stack of crests, from far to near: what is ahead of a place is its upper hull, and a crest under the line from the
-    place to the next is never seen from further back. Each crest goes once, so the work is linear. Unknown heights
-    hide nothing and see nothing. Of equal slopes the nearest crest is told.
+
+def grid(angle: float, dx: float, dy: float) -> tuple[str, str, float]:
+    """SQL of a pixel's profile and of its place on it, and the ground between places, for a direction from samples (0) to lines (90 degrees).
+
+    Places and profiles are as far apart as a pixel is long and wide in that direction.
     """
-    slope, crest = np.full(len(z), np.nan), np.zeros(len(z), np.int64)
+    c, s = turned(angle)
+    step, width = abs(dx * c) + abs(dy * s), abs(dx * s) + abs(dy * c)
+    along, across = f"(sample * {dx!r} * {c!r} + line * {dy!r} * {s!r})", f"(line * {dy!r} * {c!r} - sample * {dx!r} * {s!r})"
+    return f"CAST(floor({across} / {width!r} + 0.5) AS BIGINT)", f"CAST(floor({along} / {step!r} + 0.5) AS BIGINT)", step
+
+
+def upper(at: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Indices of the upper hull of points, from left to right; points on an edge stay."""
+    order = np.lexsort((-z, at))
+    order = order[np.r_[True, np.diff(at[order]) > 0]] if len(order) else order
     hull: list[int] = []
-    for j in range(len(z) - 1, -1, -1):
-        if not np.isfinite(z[j]):
-            continue
-        rise = lambda k: (z[k] - z[j]) / ((at[k] - at[j]) * step)  # noqa: B023, E731
-        while len(hull) > 1 and rise(hull[-1]) < rise(hull[-2]):
+    for k in order:
+        while len(hull) > 1 and (z[hull[-1]] - z[hull[-2]]) * (at[k] - at[hull[-2]]) < (z[k] - z[hull[-2]]) * (at[hull[-1]] - at[hull[-2]]):
             hull.pop()
-        if hull:
-            slope[j], crest[j] = rise(hull[-1]), at[hull[-1]]
-        hull.append(j)
-    return slope, crest
+        hull.append(k)
+    return np.array(hull, int)
 
 
-def skylines(px: DataFrame, along: str, across: str, step: float, value: str = "z") -> DataFrame:
-    """line, sample, ahead, ahead_crest, behind, behind_crest: slopes and crests both ways along an axis. A group is one profile."""
+def _hulls(rows: pd.DataFrame) -> pd.DataFrame:
+    """The crests of each profile in a strip of blocks."""
+    rows = rows[np.isfinite(rows["z"].to_numpy(float))]
+    kept = [own.iloc[upper(own["at"].to_numpy(), own["z"].to_numpy())] for _, own in rows.groupby("prof", sort=False)]
+    return pd.concat(kept) if kept else rows
+
+
+def _seen(steps: list[float], ways: tuple[bool, bool]):
+    def best(at, z, c_at, c_z, step):
+        """For each place the steepest of the candidates further on, which ascend; NaN and 0 without one. Of equal ones the nearest."""
+        d = c_at[None, :] - at[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(d > 0, (c_z[None, :] - z[:, None]) / (d * step), -np.inf)
+        k = slope.argmax(axis=1)
+        top = slope[np.arange(len(at)), k]
+        return np.where(np.isfinite(top), top, np.nan), k
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby("prof", sort=False):
+            step, z = steps[int(own["rot"].iloc[0])], own["z"].to_numpy(float)
+            asks, known = own["ask"].to_numpy(), np.isfinite(z)
+            q = own[asks]
+            cand = own[known].sort_values("at", kind="stable")
+            c_at, c_z, at = cand["at"].to_numpy(), cand["z"].to_numpy(float), q["at"].to_numpy()
+            found = {n: q[n] for n in ("rot", "line", "sample")}
+            for name, wanted, sign in (("ahead", ways[0], 1), ("behind", ways[1], -1)):
+                slope, k = np.full(len(q), np.nan), np.zeros(len(q), int)
+                here = cand if sign > 0 else cand[::-1]
+                if wanted and len(cand):
+                    for a in range(0, len(q), 256):
+                        b = slice(a, a + 256)
+                        slope[b], k[b] = best(sign * at[b], z[asks][b], sign * (c_at if sign > 0 else c_at[::-1]), c_z if sign > 0 else c_z[::-1], step)
+                told = lambda n: np.where(np.isnan(slope), 0, here[n].to_numpy()[k]) if len(here) else np.zeros(len(q), int)  # noqa: B023, E731
+                found |= {name: slope, f"{name}_line": told("line"), f"{name}_sample": told("sample")}
+            out.append(pd.DataFrame(found))
+        return pd.concat(out)
+
+    return run
+
+
+def horizons(px: DataFrame, shape: tuple[int, int], angles: list[float], spacing: tuple[float, float], value: str = "z", ways: tuple[bool, bool] = (True, True), segment: int | None = None) -> DataFrame:
+    """rot (the angle's number), line, sample and for both ways ahead, ahead_line, ahead_sample, behind, ...: the steepest slope along a direction and against it, and the pixel that makes it.
+
+    px: line, sample and a height for each pixel of a raster of that shape (lines, samples). angles: degrees from 0, along
+    samples, to below 180. spacing: ground between samples and between lines. Null, NaN and infinite heights hide
+    nothing and see nothing; a pixel without anything ahead has null. Of equal slopes the nearest pixel is told.
+    """
+    if not all(0 <= a < 180 for a in angles):
+        raise ValueError("angles from 0 to below 180")
+    segment = segment or SEGMENT
+    grids = [grid(a, *spacing) for a in angles]
+    corners = [(0, 0), (shape[0] - 1, 0), (0, shape[1] - 1), (shape[0] - 1, shape[1] - 1)]
+    ends = []
+    for a, (_, _, step) in zip(angles, grids, strict=True):
+        c, s = turned(a)
+        ends += [math.floor((x * spacing[0] * c + y * spacing[1] * s) / step + 0.5) for y, x in corners]
+    low, most = min(ends), (max(ends) - min(ends)) // segment
+    points = px.select("line", "sample", F.col(value).cast("double").alias("z"))
+    points = points.select("*", F.explode(F.expr(f"array({', '.join(f'struct({k} AS rot, {prof} AS prof, {at} AS at)' for k, (prof, at, _) in enumerate(grids))})")).alias("g"))
+    points = points.select(F.col("g.rot").alias("rot"), F.col("g.prof").alias("prof"), F.col("g.at").alias("at"), "z", "line", "sample")
+    strip = F.expr(f"bigint(floor(prof / {STRIP}))")
+    own = points.withColumn("seg", F.expr(f"(at - {low}L) div {segment}"))
+    rows = own.withColumn("ask", F.lit(True))
+    copies = None
+    if most:
+        points = own = staged(own, "points")
+        met, size, hulls = [], 1, own.select(*[c.split()[0] for c in _POINT.split(", ")], F.col("seg").alias("block"))
+        while size <= most:
+            # The crests of each block go to all segments of the other blocks under the same parent.
+            hulls = staged(hulls.withColumn("strip", strip).groupBy("rot", "strip", "block").applyInPandas(_hulls, f"{_POINT}, block long, strip long").drop("strip"), "hulls")
+            first = F.expr(f"block div {FAN} * {FAN * size}")
+            to = F.explode(F.sequence(first, F.least(first + FAN * size - 1, F.lit(most).cast("long"))))
+            met.append(hulls.select("*", to.alias("seg")).where(f"seg div {size} <> block").drop("block"))
+            hulls, size = hulls.withColumn("block", F.expr(f"block div {FAN}")), size * FAN
+        far = reduce(DataFrame.unionByName, met)
+        full = far.groupBy("rot", strip.alias("strip"), "seg").agg((F.count("*") / MOST).cast("int").alias("over")).where("over > 0")
+        rows = own.withColumn("ask", F.lit(True))
+        far = far.withColumn("ask", F.lit(False))
+        if full.limit(1).count():  # smooth ground has many crests: a group's are dealt to several, which all get its places
+            full = staged(full, "full").withColumnRenamed("strip", "_s")
+            copies = lambda df: df.withColumn("_s", strip).join(full, ["rot", "_s", "seg"], "left").withColumn("over", F.coalesce("over", F.lit(0)))
+            rows = copies(rows).withColumn("salt", F.explode(F.expr("sequence(0, over)"))).drop("_s", "over")
+            far = copies(far).withColumn("salt", F.expr("pmod(xxhash64(line, sample), over + 1)")).drop("_s", "over")
+        rows = rows.unionByName(far)
+    keys = ["rot", "strip", "seg", *(["salt"] if copies else [])]
+    kinds = "rot int, line long, sample long, " + ", ".join(f"{n} double, {n}_line long, {n}_sample long" for n in ("ahead", "behind"))
+    got = rows.withColumn("strip", strip).groupBy(*keys).applyInPandas(_seen([g[2] for g in grids], ways), kinds)
+    for n in ("ahead", "behind"):
+        seen = F.col(n).isNotNull() & ~F.isnan(n)
+        got = got.select(*[F.when(seen, F.col(c)).alias(c) if c in (n, f"{n}_line", f"{n}_sample") else F.col(c) for c in got.columns])
+    if copies:
+        gap = lambda n: F.abs(F.col(f"{n}_line") - F.col("line")) + F.abs(F.col(f"{n}_sample") - F.col("sample"))
+        top = [F.max(F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("s"), (-gap(n)).alias("g"), F.col(f"{n}_line").alias("l"), F.col(f"{n}_sample").alias("p")))).alias(n) for n in ("ahead", "behind")]
+        got = got.groupBy("rot", "line", "sample").agg(*top)
+        got = got.select("rot", "line", "sample", *[F.col(f"{n}.{k}").alias(f"{n}{t}") for n in ("ahead", "behind") for k, t in (("s", ""), ("l", "_line"), ("p", "_sample"))])
+    return got
 
-    def run(profile: pd.DataFrame) -> pd.DataFrame:
-        p = profile.sort_values(along)
-        z, at = p[value].to_numpy(float), p[along].to_numpy(np.int64)
-        ahead, ahead_crest = skyline(z, at, step)
-        behind, behind_crest = skyline(z[::-1], -at[::-1], step)
-        return pd.DataFrame({"line": p["line"], "sample": p["sample"], "ahead": ahead, "ahead_crest": ahead_crest, "behind": behind[::-1], "behind_crest": -behind_crest[::-1]})
 
-    got = px.select("line", "sample", value).groupBy(across).applyInPandas(run, "line long, sample long, ahead double, ahead_crest long, behind double, behind_crest long")
-    seen = lambda c, other: F.when(F.col(other).isNotNull() & ~F.isnan(other), F.col(c)).alias(c)
-    return got.select("line", "sample", seen("ahead", "ahead"), seen("ahead_crest", "ahead"), seen("behind", "behind"), seen("behind_crest", "behind"))
+def skylines(px: DataFrame, shape: tuple[int, int], along: str, spacing: tuple[float, float], value: str = "z", ways: tuple[bool, bool] = (True, True)) -> DataFrame:
+    """line, sample, ahead, ahead_crest, behind, behind_crest: slopes and crests both ways along samples or lines; see horizons."""
+    got = horizons(px, shape, [0.0 if along == "sample" else 90.0], spacing, value, ways)
+    return got.select("line", "sample", "ahead", F.col(f"ahead_{along}").alias("ahead_crest"), "behind", F.col(f"behind_{along}").alias("behind_crest"))

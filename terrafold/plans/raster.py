@@ -297,7 +297,8 @@ def bilinear_resample(spark, sf_dir):
 SELECT line, sample, round(degrees(atan(t)), 6) + 0.0 AS horizon, t < tan(radians(5)) AS lit FROM h""")
 def horizon(spark, sf_dir):
     """Angle of the horizon along increasing samples, and whether a light of 5 degrees reaches the pixel: a linear scan a line. The last pixel of a line has none."""
-    t = skylines(views.pixels(spark, sf_dir), "sample", "line", 30.0).where("ahead is not null")
+    px = views.pixels(spark, sf_dir)
+    t = skylines(px, views.shape(px), "sample", (30.0, 20.0), ways=(True, False)).where("ahead is not null")
     return t.select("line", "sample", r6(F.degrees(F.atan("ahead"))).alias("horizon"), (F.col("ahead") < F.tan(F.radians(F.lit(5)))).alias("lit"))
 
 

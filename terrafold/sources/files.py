@@ -76,7 +76,7 @@ def duplicates(spark: SparkSession, path: str, role: str) -> DataFrame:
 
 
 #: A value of a label: quoted, in brackets (either may pass over lines), or the rest of the line.
-_STATEMENT = re.compile(r'^[ \t]*(\^?[A-Za-z][\w:]*)[ \t]*=[ \t]*("[^"]*"|\([^)]*\)|\{[^}]*\}|[^\n]*)(?:[ \t]*<([^>\n]*)>)?', re.M)
+_STATEMENT = re.compile(r'^[ \t]*(\^?[A-Za-z][\w:]*)[ \t]*=[ \t]*("[^"]*"|\([^)]*\)|\{[^}]*\}|[^\n]*)|^[ \t]*(END_OBJECT|END_GROUP)[ \t]*$', re.M)
 _NUMBER = re.compile(r'\s*"?\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*(?:<([^>]*)>)?\s*"?\s*$')
 
 
@@ -88,14 +88,14 @@ def statements(text: str) -> list[tuple[str, str, str, float | None, str | None]
     """
     found, within = [], []
     for m in _STATEMENT.finditer(re.sub(r"/\*.*?\*/", " ", text, flags=re.S)):
-        key, value, unit = m[1].upper(), " ".join(m[2].split()), m[3]
+        key, value = (m[1] or m[3]).upper(), " ".join((m[2] or "").split())
         if key in ("OBJECT", "GROUP"):
             within.append(value.upper())
         elif key in ("END_OBJECT", "END_GROUP"):
             del within[-1:]
         else:
             n = _NUMBER.match(value)
-            found.append(("/".join(within), key, value.strip('"'), float(n[1]) if n else None, (n[2] if n else None) or unit))
+            found.append(("/".join(within), key, value.strip('"'), float(n[1]) if n else None, n[2] if n else None))
     return found
 
 

@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import laws
-from terrafold.operators import graph, order, stencil
-from terrafold.operators.skyline import skyline, skylines
+from terrafold.operators import graph, order, skyline, stencil
 from terrafold.plans.registry import QUERIES
 from terrafold.plans.statistics import cluster_robust, logistic
 
@@ -33,25 +32,63 @@ def test_quantiles_and_ranks(spark, monkeypatch):
         assert r["rank"] == sum(x < r.v for x in values) + (values.count(r.v) + 1) / 2
 
 
-def test_skyline_is_the_steepest():
-    rng = random.Random(4)
-    for _ in range(200):
-        n = rng.randrange(0, 14)
-        z = np.array([rng.choice([rng.uniform(0, 9), 3.0, math.nan]) for _ in range(n)])
-        at = np.array(sorted(rng.sample(range(40), n)), np.int64)
-        slope, crest = skyline(z, at, 2.0)
-        for j in range(n):
-            ahead = [((z[k] - z[j]) / ((at[k] - at[j]) * 2.0), -at[k]) for k in range(j + 1, n) if not math.isnan(z[k])]
-            if math.isnan(z[j]) or not ahead:
-                assert math.isnan(slope[j])
-            else:
-                assert (slope[j], -crest[j]) == max(ahead)
-
-
-def test_skyline_is_linear(spark):
+def brute_horizons(z, angles, dx, dy):
+    """Every pixel against all of its profile: {(rot, line, sample): (steepest ahead, steepest behind)}, and by pixel its place."""
+    out, places = {}, {}
+    for rot, angle in enumerate(angles):
+        c, s = skyline.turned(angle)
+        step, width = abs(dx * c) + abs(dy * s), abs(dx * s) + abs(dy * c)
+        place = {}
+        for line, sample in np.ndindex(z.shape):
+            x, y = sample * dx * c + line * dy * s, line * dy * c - sample * dx * s
+            place[line, sample] = (math.floor(y / width + 0.5), math.floor(x / step + 0.5))
+        for p, (prof, at) in place.items():
+            best = [None, None]
+            for q, (other, there) in place.items():
+                if other == prof and there != at and math.isfinite(z[p]) and math.isfinite(z[q]):
+                    slope, k = (z[q] - z[p]) / (abs(there - at) * step), int(there < at)
+                    best[k] = slope if best[k] is None else max(best[k], slope)
+            out[rot, *p] = tuple(best)
+        places[rot] = place
+    return out, places
+
+
+@pytest.mark.parametrize("case", ["rough", "bowl", "dome", "salted"])
+def test_horizons_merge(spark, monkeypatch, case):
+    """Short segments, so that crests pass several levels of blocks; a dome, where every pixel is a crest, is dealt to several groups."""
+    rng, lines, samples = random.Random(4), 4, 22
+    z = np.array([[{"rough": rng.choice([rng.uniform(0, 9), 3.0, math.nan, math.inf]), "bowl": (s - 11.0) ** 2}.get(case, 400 - (s - 11.0) ** 2) for s in range(samples)] for _ in range(lines)])
+    monkeypatch.setattr(skyline, "STRIP", 2)
+    monkeypatch.setattr(skyline, "FAN", 3)
+    if case == "salted":
+        monkeypatch.setattr(skyline, "MOST", 5)
+    angles = [0.0, 30.0, 90.0, 135.0]
+    px = spark.createDataFrame([(i, j, float(z[i, j])) for i, j in np.ndindex(z.shape)], "line long, sample long, z double")
+    want, places = brute_horizons(z, angles, 3.0, 2.0)
+    got = skyline.horizons(px, z.shape, angles, (3.0, 2.0), segment=2).collect()
+    assert len(got) == len(want)
+    for r in got:
+        for k, n in enumerate(("ahead", "behind")):
+            slope = want[r.rot, r.line, r["sample"]][k]
+            assert r[n] == (pytest.approx(slope, rel=1e-12, abs=1e-12) if slope is not None else None)
+            if slope is not None:  # the crest is where it is told to be
+                crest = (r[f"{n}_line"], r[f"{n}_sample"])
+                (prof, there), (own, at) = places[r.rot][crest], places[r.rot][r.line, r["sample"]]
+                c, s = skyline.turned(angles[r.rot])
+                assert prof == own and (z[crest] - z[r.line, r["sample"]]) / (abs(there - at) * (abs(3.0 * c) + abs(2.0 * s))) == pytest.approx(slope)
+
+
+def test_nearest_of_equal_crests(spark):
+    px = spark.createDataFrame([(0, k, float(k)) for k in range(12)], "line long, sample long, z double")
+    for segment in (3, 256):
+        got = {r["sample"]: (r.ahead, r.ahead_sample, r.behind, r.behind_sample) for r in skyline.horizons(px, (1, 12), [0.0], (1.0, 1.0), segment=segment).collect()}
+        assert got[4] == (1.0, 5, -1.0, 3) and got[11][:2] == (None, None) and got[0][2:] == (None, None)
+
+
+def test_long_profile(spark):
     """A long profile with holes, both ways, in seconds."""
     px = spark.range(60_000).selectExpr("0L AS line", "id AS sample", "if(hash(id) % 5 = 0, null, double(hash(id) % 1000)) AS z")
-    rows = skylines(px, "sample", "line", 1.0).collect()
+    rows = skyline.skylines(px, (1, 60_000), "sample", (1.0, 1.0)).collect()
     assert len(rows) == 60_000 and sum(r.ahead is None for r in rows) >= 10_000
 
 
