@@ -1,51 +1,62 @@
-"""Exact order statistics without one task that sorts everything: values are counted, cells of the value's range are counted, and only what a rank needs is sorted, cell by cell."""
+"""Exact order statistics for any distribution, without one task that orders everything.
+
+Different values are counted first and written once. A table of few (SMALL, counted) is ordered by group; a larger one in
+ranges that Spark cuts at sampled values, so that a range holds its share however values lie, and is ordered range by
+range after the counts of the ranges before it. Null and NaN (a raster's mark of absence) are no values; infinities are
+values at the ends.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of a group's range of values; their running counts are what is ordered together.
-CELLS = 1024
+from terrafold.shared import staged
+
+#: Different values that are ordered without ranges; values in a range, about; rows of a table that is broadcast.
+SMALL, RANGE, BROADCAST_ROWS = 200_000, 1_000_000, 200_000
 
 
-def _celled(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """by, _v, _n, _cell for each different value that isn't null; by, _cell, _c, _before (rows in smaller cells), _all for each cell."""
-    v = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    span = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    v = v.join(F.broadcast(span), by) if by else v.crossJoin(F.broadcast(span))  # a row for each group
-    v = v.withColumn("_cell", F.expr(f"if(_hi > _lo, least({CELLS - 1}, int((_v - _lo) / (_hi - _lo) * {CELLS})), 0)")).drop("_lo", "_hi")
-    cells = v.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # CELLS rows a group
-    before = F.sum("_c").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
-    return v, cells.withColumn("_before", before).withColumn("_all", F.sum("_c").over(w))
+def small(df: DataFrame) -> DataFrame:
+    """df, staged, with a broadcast hint where its counted rows are few."""
+    df = staged(df, "counts")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def ranked(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """by, _v, _n, _below: each different value, how often it stands, and how many smaller ones there are."""
+    """by, _v, _n, _below, _all: each different value, how often it stands, how many smaller ones there are, and how many in all."""
     by = by or []
-    v, cells = _celled(df, value, by)
-    w = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = v.join(F.broadcast(cells.select(*by, "_cell", "_before")), [*by, "_cell"])
-    return v.select(*by, "_v", "_n", (F.sum("_n").over(w) - F.col("_n") + F.col("_before")).alias("_below"))
+    known = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double")).where("not isnan(_v)")
+    v = staged(known.groupBy(*by, "_v").agg(F.count("*").alias("_n")), "values")
+    n, group = v.count(), by or [F.lit(0)]
+    if n <= SMALL:
+        w = Window.partitionBy(*group)
+        upto = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return v.select(*by, "_v", "_n", (upto - F.col("_n")).alias("_below"), F.sum("_n").over(w).alias("_all"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    v = staged(v.repartitionByRange(parts, *by, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*group)  # a row for each range that a group meets
+    sums = v.groupBy(*by, "_part").agg(F.sum("_n").alias("_c"))
+    sums = sums.select(*by, "_part", (F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_all"))
+    # A group of null is a group, too.
+    keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*by, "_part"]]
+    on = keys[0]
+    for k in keys[1:]:
+        on = on & k
+    j = v.alias("v").join(small(sums).alias("s"), on).select(*[F.col(f"v.{c}").alias(c) for c in v.columns], "_before", "_all")
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return j.select(*by, "_v", "_n", (upto - F.col("_n") + F.col("_before")).alias("_below"), "_all")
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """by, q, value: exact quantiles, between two values interpolated linearly; a group without values has none."""
     by = by or []
-    v, cells = _celled(df, value, by)
-    q = F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("_q")
-    totals = cells.select(*by, "_all").distinct().select(*by, "_all", q).withColumn("_r", (F.col("_all") - 1) * F.col("_q"))
-    need = totals.select(*by, "_q", "_r", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))).alias("_k"))
-    inside = (F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c"))
-    held = cells.drop("_all")
-    at = need.join(held, by).where(inside) if by else need.join(held, inside)
-    some = at.select(*by, "_cell", "_before").distinct()
-    w = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = v.join(F.broadcast(some), [*by, "_cell"]).withColumn("_upto", F.sum("_n").over(w) + F.col("_before"))
-    got = got.join(F.broadcast(at.select(*by, "_cell", "_q", "_r", "_k")), [*by, "_cell"]).where("_k < _upto and _k >= _upto - _n")
+    at = F.explode(F.expr(f"array({', '.join(f'{float(x)!r}D' for x in qs)})")).alias("_q")
+    got = ranked(df, value, by).select(*by, "_v", "_n", "_below", "_all", at).withColumn("_r", F.expr("(_all - 1) * _q"))
+    got = got.where("floor(_r) between _below and _below + _n - 1 or ceil(_r) between _below and _below + _n - 1")
     got = got.groupBy(*by, "_q").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("_r").alias("_r"))
-    return got.select(*by, F.col("_q").alias("q"), F.expr("_a + (_b - _a) * (_r - floor(_r))").alias("value"))
+    # Two equal ends, infinite ones too, are their value.
+    return got.select(*by, F.col("_q").alias("q"), F.expr("if(_a = _b, _a, _a + (_b - _a) * (_r - floor(_r)))").alias("value"))
 
 
 def wide(q: DataFrame, names: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -55,12 +66,12 @@ def wide(q: DataFrame, names: dict[str, float], by: list[str] | None = None) ->
 
 
 def numbered(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the place, from 1, of each row by a value that tells rows apart."""
+    """df with the place, from 1, of each row by a value that tells rows apart; rows without a value are left out."""
     r = ranked(df, value).select("_v", (F.col("_below") + 1).alias(name))
     return df.join(r, F.col(value).cast("double") == F.col("_v")).drop("_v")
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the average rank of each row's value."""
+    """df with the average rank of each row's value; rows without a value are left out."""
     r = ranked(df, value).select("_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(r, F.col(value).cast("double") == F.col("_v")).drop("_v")

@@ -17,8 +17,8 @@ from terrafold.sources import views
 UNION ALL SELECT 'all, unmasked', count(*), round(avg(z), 6), round(quantile_cont(z, 0.5), 6), round(quantile_cont(z, 0.9), 6), round(quantile_cont(z, 0.99), 6), min(z), max(z), round(stddev_pop(z), 6) FROM {PX}""")
 def masked_stats(spark, sf_dir):
     """Statistics of measured pixels by kind, and of all pixels as a contrast."""
-    px = views.pixels(spark, sf_dir).select("kind", "z", "measured")
-    px = graph.kept(px.where("measured").select("kind", "z").unionByName(px.select(F.lit("all, unmasked").alias("kind"), "z")), "masked")
+    kinds = F.explode(F.expr("if(measured, array(kind, 'all, unmasked'), array('all, unmasked'))")).alias("kind")
+    px = views.pixels(spark, sf_dir).select(kinds, "z")
     stats = [F.count("*").alias("n"), r6(F.avg("z")).alias("mean"), F.min("z").alias("lowest"), F.max("z").alias("highest"), r6(F.stddev_pop("z")).alias("sd")]
     names = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     q = order.wide(order.quantiles(px, "z", list(names.values()), ["kind"]), names, ["kind"])

@@ -11,6 +11,7 @@ from terrafold.functions import laws
 from terrafold.operators import graph, order, skyline, stencil
 from terrafold.plans.registry import QUERIES
 from terrafold.plans.statistics import cluster_robust, logistic
+from terrafold.shared import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +21,9 @@ def test_quantiles_and_ranks(spark, monkeypatch):
     rows = [(g, rng.choice([1.0, 2.0, rng.gauss(0, 1), 10.0 ** rng.randrange(6)])) for g in "abc" for _ in range(rng.randrange(1, 200))] + [("d", 5.0), ("e", None), ("a", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = [0.0, 0.1, 0.5, 0.999, 1.0]
-    for cells in (1, 7, 1024):
-        monkeypatch.setattr(order, "CELLS", cells)
+    for few, broadcast in ((0, 0), (0, 10_000), (10_000, 0)):
+        monkeypatch.setattr(order, "SMALL", few)
+        monkeypatch.setattr(order, "BROADCAST_ROWS", broadcast)
         got = {(r.g, r.q): r.value for r in order.quantiles(df, "v", qs, ["g"]).collect()}
         for g in "abcd":
             for q in qs:
@@ -32,6 +34,32 @@ def test_quantiles_and_ranks(spark, monkeypatch):
         assert r["rank"] == sum(x < r.v for x in values) + (values.count(r.v) + 1) / 2
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_any_distribution(spark, monkeypatch, few):
+    """NaN is no value, infinities are the ends; an outlier or equal values put no range over its share."""
+    monkeypatch.setattr(order, "SMALL", few)
+    ends = spark.createDataFrame([(v,) for v in (math.nan, math.inf, -math.inf, 1.0, 2.0, None, math.inf)], "v double")
+    got = {r.q: r.value for r in order.quantiles(ends, "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got == {0.0: -math.inf, 0.25: 1.0, 0.5: 2.0, 1.0: math.inf}
+    assert [(r._v, r._n, r._below, r._all) for r in order.ranked(ends, "v").orderBy("_v").collect()] == [(-math.inf, 1, 0, 5), (1.0, 1, 1, 5), (2.0, 1, 2, 5), (math.inf, 2, 3, 5)]
+    far = spark.range(50_000).selectExpr("if(id = 7, 1e12, double(id)) AS v")
+    assert {r.q: r.value for r in order.quantiles(far, "v", [0.5, 1.0]).collect()} == {0.5: pytest.approx(25_000, abs=1), 1.0: 1e12}
+    same = spark.range(5000).selectExpr("2.0D AS v", "if(id % 2 = 0, null, 'g') AS g")
+    assert sorted(((r.g or "", r.q, r.value) for r in order.quantiles(same, "v", [0.0, 0.9], ["g"]).collect())) == [("", 0.0, 2.0), ("", 0.9, 2.0), ("g", 0.0, 2.0), ("g", 0.9, 2.0)]
+    none = order.quantiles(ends.where("isnan(v)"), "v", [0.5])
+    assert none.count() == 0
+
+
+def test_ranges_hold_their_share(spark, monkeypatch):
+    monkeypatch.setattr(order, "SMALL", 0)
+    kept = []
+    monkeypatch.setattr(order, "staged", lambda df, name: kept.append(staged(df, name)) or kept[-1])
+    df = spark.range(50_000).selectExpr("if(id = 7, 1e12, double(id) / 7) AS v")
+    order.ranked(df, "v").count()
+    shares = [r["count"] for r in next(k for k in kept if "_part" in k.columns and "_v" in k.columns).groupBy("_part").count().collect()]
+    assert len(shares) == 4 and max(shares) < 20_000
+
+
 def brute_horizons(z, angles, dx, dy):
     """Every pixel against all of its profile: {(rot, line, sample): (steepest ahead, steepest behind)}, and by pixel its place."""
     out, places = {}, {}
