@@ -89,7 +89,7 @@ def test_large_families(spark, monkeypatch):
 
 
 def test_lines_on_registered_parameters(spark):
-    """Links of the production thresholds and bound, against all pairs of lines."""
+    """Near lines of the production thresholds and bound, against all pairs of lines."""
     rng = random.Random(11)
     seeds = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (9, 12, 18, 25, 34, 50)]
     all_lines = []
@@ -110,10 +110,11 @@ def test_lines_on_registered_parameters(spark):
 
     limit = lambda a, b: max([k for n, k in lines.GRADED if min(len(a), len(b)) >= n], default=-1)
     distinct = sorted(set(all_lines))
-    n_links = {a: sum(a != b and len(a) >= 10 <= len(b) and edits(a, b) <= limit(a, b) for b in distinct) for a in distinct}
+    first = {t: i for i, t in reversed(list(enumerate(all_lines)))}
+    near = {a: any(first[b] < first[a] and len(a) >= 10 <= len(b) and edits(a, b) <= limit(a, b) for b in distinct if a != b) for a in distinct}
     df = spark.createDataFrame(list(enumerate(all_lines)), "doc_id long, text string")
-    got = {r.doc_id: r.n_links for r in lines.line_table(df, lines.GRADED, short=True).collect()}
-    assert got == {i: n_links[t] if any(c != " " for c in t) else 0 for i, t in enumerate(all_lines)}
+    got = {r.doc_id: r.n_near for r in lines.line_table(df, lines.GRADED, short=True).collect()}
+    assert got == {i: int(near[t] and first[t] == i) for i, t in enumerate(all_lines)}
 
 
 def test_empty_tables(spark):
