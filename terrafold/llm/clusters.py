@@ -58,7 +58,7 @@ class Scan:
         self.large = [j for j, c in enumerate(centroids) if any(abs(x) > PLAIN for x in c)]
         self.plain = np.array([j for j in range(k) if j not in self.large], int)
         self.whole = [np.array(c, np.int64) if j in set(self.plain) else None for j, c in enumerate(centroids)]
-        self.far = {j: np.array([float(x) if abs(x) < 1 << 1000 else math.copysign(math.inf, x) for x in centroids[j]]) for j in self.large}
+        self.far = {j: np.array([float(x) if abs(x) < 1 << 1000 else math.inf * (1 if x > 0 else -1) for x in centroids[j]]) for j in self.large}
         moved = [root(squared(a, b)) * (1 + SLACK) for a, b in zip(centroids, before, strict=True)]
         self.moved = np.array(moved)
         self.others = np.array([max([0.0, *moved[:j], *moved[j + 1 :]]) for j in range(k)])
