@@ -52,15 +52,17 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def keys_of(classes: list[tuple[int, int]], own: bool) -> str:
-    """SQL array of structs key, own, k of a line: all its probes, or its own segments only."""
-    every = [m for m in moves(classes) if m[-1] or not own]
-    lo, k = classes[-1]
-    fits = f"filter({probes(every)}, p -> n - p.d between p.lo and p.hi)"
-    chosen = f"if(n >= {lo + k}, {probes([m for m in every if m[0] == k and m[1] == lo])}, {fits})"
-    start, end = "int((n - p.d) * (p.i - 1) div (p.k + 1))", "int((n - p.d) * p.i div (p.k + 1))"
-    key = f"struct(xxhash64(0L, p.i, n - p.d, substring(line, {start} + p.shift + 1, {end} - {start})) as key, p.own as own, p.k as k)"
-    return let("n", "length(line)", f"transform({chosen}, p -> {key})")
+def keyed(lines: DataFrame, classes: list[tuple[int, int]], own: bool) -> DataFrame:
+    """h, key, own, k: the keys of all probes of each line, or of its own segments only.
+
+    Characters of four bytes each, so that a segment is found without counting; they are made once, ahead of the moves.
+    """
+    some = [m for m in moves(classes) if m[-1] or not own]
+    rows = lines.select("h", F.explode(F.array(F.expr("encode(line, 'UTF-32')"))).alias("b")).select("h", "b", F.expr("int(octet_length(b) div 4)").alias("n"))
+    rows = rows.select("h", "b", "n", F.expr(f"inline({probes(some)})")).where("n - d between lo and hi")
+    start, end = "(n - d) * (i - 1) div (k + 1)", "(n - d) * i div (k + 1)"
+    key = f"xxhash64(0L, i, n - d, substring(b, int(4 * ({start} + shift) + 1), int(4 * ({end} - ({start})))))"
+    return rows.select("h", F.expr(key).alias("key"), "own", "k")
 
 
 def segmented(rows: DataFrame, text: str, prior: str, rest: bool) -> DataFrame:
@@ -72,7 +74,7 @@ def segmented(rows: DataFrame, text: str, prior: str, rest: bool) -> DataFrame:
     rows = rows.withColumn("__m", F.expr("n - d")).withColumn("__b", F.expr("int(__m * (i - 1) div (k + 1))"))
     rows = rows.withColumn("__s", F.expr("int(__m * i div (k + 1)) - __b")).withColumn("__b", F.expr("__b + shift"))
     more = ["__m - __s as m", f"concat(substring({text}, 1, __b), substring({text}, __b + __s + 1)) as rest"] if rest else []
-    return rows.selectExpr("h", f"xxhash64({prior}, i, __m, substring({text}, __b + 1, __s)) as key", "own", "d", "k", *more)
+    return rows.selectExpr("h", f"xxhash64({prior}, i, __m, encode(substring({text}, __b + 1, __s), 'UTF-32')) as key", "own", "d", "k", *more)
 
 
 def of_lines(lines: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
@@ -106,10 +108,10 @@ def sought(lines: DataFrame, classes: list[tuple[int, int]], n: int) -> DataFram
     groups, words = min(BROADCAST_ROWS, 8 * n // 1024 + 1), range(16)
     at = F.expr(f"pmod(key, {groups * 1024}L)").alias("__p")
     cell = [F.expr("__p div 1024").alias("__g"), F.expr("int(__p div 64 % 16)").alias("__w"), F.expr("int(__p % 64)").alias("__bit")]
-    own = lines.select(F.expr(f"inline({keys_of(classes, True)})")).select(at).select(*cell)
+    own = keyed(lines, classes, True).select(at).select(*cell)
     bits = own.groupBy("__g").agg(*[F.bit_or(F.expr(f"if(__w = {w}, shiftleft(1L, __bit), 0L)")).alias(f"__w{w}") for w in words])
     word = "case __w " + " ".join(f"when {w} then __w{w}" for w in words) + " end"
-    rows = lines.select("h", F.expr(f"inline({keys_of(classes, False)})"))
+    rows = keyed(lines, classes, False)
     kept = rows.withColumn("__p", at).select(*rows.columns, *cell).join(F.broadcast(bits), "__g")
     return kept.where(f"own or shiftright({word}, __bit) & 1L = 1L").select(*rows.columns)
 
@@ -179,13 +181,13 @@ def near_lines(lines: DataFrame, firsts: DataFrame, classes: list[tuple[int, int
     besides what they all start and end with, is split into segments in turn, until keys are rare or rests are short.
     """
     ks, level, found, texts = sorted({k for _, k in classes}), 0, [], None
-    rows = sought(lines, classes, n * (classes[-1][1] + 1)) if ks[-1] > 1 else lines.select("h", F.expr(f"inline({keys_of(classes, False)})"))
+    rows = sought(lines, classes, n * (classes[-1][1] + 1)) if ks[-1] > 1 else keyed(lines, classes, False)
     while True:
         # Equal lines collapse before the shuffle: a line gives each of its keys once.
         m = F.min("m") if level else F.lit(1 << 30)
         keys = staged(rows.groupBy("key", "h").agg(F.max("own").alias("own"), F.max("k").alias("k"), m.alias("m")), "keys")
         busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("owned"), F.max("k").alias("k"), F.min("m").alias("m")).where("n > 1 and owned > 0")
-        met = keys.drop("m").join(small(staged(busy.select("key", F.expr(f"owned > {HOT} and n > {HOT} and m > k").alias("hot")), "busy")), "key")
+        met = keys.drop("m").join(small(staged(busy.select("key", F.expr(f"owned > {HOT} and n > {HOT} and m > k").alias("hot"), "n", "owned"), "busy")), "key")
         if texts is None:
             met = staged(met, "met")
             ends = small(staged(met.select("h").distinct(), "ends"))
@@ -214,8 +216,8 @@ def near_lines(lines: DataFrame, firsts: DataFrame, classes: list[tuple[int, int
 
 def others(asking: DataFrame, known: DataFrame, ks: list[int]) -> DataFrame:
     """h of the rows that share a key with an earlier near one, which has it as its own segment, or has it where they have it as theirs. A row's search ends where one is found."""
-    x = asking.alias("x")
-    by_own = x.join(known.where("own").alias("y"), F.expr(f"x.key = y.key and {earlier_near('x', 'y', ks)}"), "left_semi")
+    x, known = asking.where("n > 2").alias("x"), known.where("n > 2")  # of two lines, one is the earliest, which was tried
+    by_own = x.where("owned > 1").join(known.where("own and owned > 1").alias("y"), F.expr(f"x.key = y.key and {earlier_near('x', 'y', ks)}"), "left_semi")
     as_own = x.where("own").join(known.where("not own").alias("y"), F.expr(f"x.key = y.key and {earlier_near('x', 'y', ks)}"), "left_semi")
     return by_own.select("h").unionByName(as_own.select("h")).distinct()
 
