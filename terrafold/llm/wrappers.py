@@ -37,8 +37,8 @@ BROADCAST_LAYOUTS = 10_000
 LINKED = 0.5
 
 # Elements whose text is never content, inline elements, elements without an end tag, and those that an equal one ends.
-DROPPED = set("nav footer aside form script style noscript template button select option textarea iframe object svg math head title dialog menu label canvas audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
+DROPPED = set("nav footer aside form script style noscript template button select option textarea iframe svg head title dialog menu canvas audio video".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img input label math semantics mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,7 +58,7 @@ ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-HEADINGS, LISTED = {"h1", "h2"}, {"li", "dd", "dt", "td", "th", "option"}
+HEADINGS, ALL_HEADINGS, LISTED = {"h1", "h2"}, {f"h{k}" for k in range(1, 7)}, {"li", "dd", "dt", "td", "th", "option"}
 #: Why an element isn't content: by its tag, by its name, as a header outside of an article.
 BY_TAG, BY_NAME, BY_HEADER = 1, 2, 3
 #: What a skeleton's node holds.
@@ -137,7 +137,9 @@ def tree(page: str) -> Node:
                         break
             continue
         names = named(attrs) if attrs else ""
-        if tag in INLINE and not (tag not in VOID and is_named(names)):
+        # Within an article an id is a place to link to (a section may be called search), and a heading is content whatever it is called.
+        told = names if not stack[-1].article else "" if not attrs or tag in ALL_HEADINGS else named(attrs, ids=False)
+        if tag in INLINE and not (tag not in VOID and is_named(told)):
             if tag in ("br", "wbr"):
                 add(" " if tag == "br" else "")
             links += tag == "a"
@@ -156,9 +158,9 @@ def tree(page: str) -> Node:
             cut(next(k for k, n in enumerate(stack) if n.tag == "head"))
         up = stack[-1]
         main = tag in ("article", "main") or "role=main" in names
-        if tag in DROPPED or (attrs and HIDDEN.search(attrs)) or (tag == "article" and re.search(r"\bcomment|\bteaser", names)):
+        if tag in DROPPED or (attrs and not up.article and HIDDEN.search(attrs)) or (tag == "article" and re.search(r"\bcomment|\bteaser", names)):
             why = BY_TAG
-        elif not main and tag not in ("html", "body") and is_named(names):
+        elif not main and tag not in ("html", "body") and is_named(told):
             why = BY_NAME
         elif not up.article and (tag == "header" or re.search(r"(?:^|\s|site-|page-)header(?:\s|$)", names)):
             why = BY_HEADER
@@ -179,10 +181,12 @@ def tree(page: str) -> Node:
     return root
 
 
-def named(attrs: str) -> str:
-    """The values of class, id and role; role=main is told apart."""
+def named(attrs: str, ids: bool = True) -> str:
+    """The values of class, id (if asked for) and role; role=main is told apart."""
     found = []
     for m in ATTR.finditer(attrs):
+        if m[1].lower() == "id" and not ids:
+            continue
         value = m[2] or m[3] or m[4] or ""
         found.append("role=main" if m[1].lower() == "role" and value == "main" else value)
     return " ".join(found)
