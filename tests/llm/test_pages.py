@@ -137,3 +137,27 @@ def test_dictionary_sees_the_whole_archive(monkeypatch):
     monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, samples, **_: seen.extend(samples) or warc.zstandard.ZstdCompressionDict(b"x" * 500))
     warc.dictionary([bytes([k % 251]) * 20_000 for k in range(500)])
     assert {s[0] for s in seen} >= {0, 250} or len({s[0] for s in seen}) > 5
+
+
+def test_ids_within_an_article():
+    """Ids and headings' names take nothing from an article; the same ids outside of one do, and so do classes."""
+    kept = ['<h2 id="promotion">Promotion</h2>', '<h2 class="search">Search</h2>', '<section id="advertising"><h3 id="ad">On adverts</h3><p>What adverts do.</p></section>', '<p id="comments">Comments on a text.</p>', '<div id="menu"><p>The menu was long.</p></div>']
+    gone = ['<div class="ad">buy</div>', '<section class="comments"><p>a reader</p></section>', '<form id="x"><label>name</label><input></form>']
+    for tag in ("article", "main"):
+        text = wrappers.main_text(f'<body><div id="comments"><p>outside</p></div><{tag}>{"".join(kept)}<p>{"A plain sentence of the text. " * 9}</p>{"".join(gone)}</{tag}></body>')
+        assert text.split("\n\n")[:6] == ["Promotion", "Search", "On adverts", "What adverts do.", "Comments on a text.", "The menu was long."]
+        assert not any(w in text for w in ("buy", "reader", "name", "outside"))
+
+
+def test_math_and_labels_stay_inline():
+    text = wrappers.main_text("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here.</p><p>A <label>named</label> place.</p><object data=x><p>What is told without it.</p></object><p style='display:none'>Folded away.</p></article>")
+    assert text == "Energy is E=mc2 here.\n\nA named place.\n\nWhat is told without it.\n\nFolded away."
+
+
+def test_pages_without_article_tags(spark):
+    """The given pages, articles in plain elements and adverts unnamed: wrappers find what the tags told."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = pages.selectExpr("page_id", "url", "replace(regexp_replace(html, '<(/?)article', '<$1div'), 'class=\"ad\"', '') AS html")
+    want = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    got = {r.page_id: r.text for r in wrappers.extract(bare).collect()}
+    assert len(want) == len(got) and sum(got[k] == t for k, t in want.items()) >= 0.9 * len(want)
