@@ -75,7 +75,22 @@ NAMES = [
     ("odbl", "database", r"open database"),
     ("public-domain", "public", r"public domain"),
 ]
-#: A wording around a name ({}), its priority. A higher one wins over what lies inside it.
+#: Names whose version stands behind the word license. Each wins over the name alone, at priority 3.
+VERSIONED = [
+    ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e(?: version)? v?1 1"),
+    ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e(?: version)? v?2(?: 0)?"),
+    ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e(?: version)? v?2(?: 0)?"),
+    ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e(?: version)? v?3(?: 0)?"),
+    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: version)? v?2 1"),
+    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: version)? v?3(?: 0)?"),
+    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e(?: version)? v?3(?: 0)?"),
+    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e(?: version)? v?1 1"),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: version)? v?2(?: 0)?"),
+    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e(?: version)? v?2(?: 0)?"),
+    ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: version)? v?2(?: 0)?"),
+    ("bsl-1.0", "boost", r"boost(?: software)? licen[cs]e(?: version)? v?1(?: 0)?"),
+]
+#: A wording around a name ({}), its priority. A higher one wins over what lies inside it, and so does a longer one of equal priority.
 WORDINGS = [
     (r"{} licen[cs]e", 1),
     (r"{} licen[cs]e(?: version)? v?[0-9]+(?: [0-9]+)?", 2),
@@ -173,10 +188,10 @@ IDENTIFIERS = (
 
 
 def rules() -> list[dict]:
-    """The rules in order: sentences, identifier lines, names in each wording, weak signs. Each pattern is bounded by the spaces between words."""
+    """The rules in order: sentences, identifier lines, names with a version, names in each wording, weak signs. Each pattern is bounded by the spaces between words."""
     lines = [(i.lower(), "spdx", "spdx licen[cs]e identifier " + " ".join(i.lower().replace("-", " ").replace(".", " ").split()), 4) for i in IDENTIFIERS]
     names = [(label, key, wording.format(f"(?:{name})"), prio) for wording, prio in WORDINGS for label, key, name in NAMES]
-    made = [(a, k, p, 5) for a, k, p in TEXTS] + lines + names + [(a, k, p, 1) for a, k, p in SIGNS]
+    made = [(a, k, p, 5) for a, k, p in TEXTS] + lines + [(a, k, p, 3) for a, k, p in VERSIONED] + names + [(a, k, p, 1) for a, k, p in SIGNS]
     return [{"label": a, "kw": k, "pattern": f"(?<= ){p}(?= )", "prio": n} for a, k, p, n in made]
 
 
@@ -223,7 +238,9 @@ def scan(docs: DataFrame) -> DataFrame:
     # By start, longest first, then priority: what could contain a detection stands before it.
     order = "partition by __row order by x.b, x.e desc, x.prio desc, x.label rows between unbounded preceding and 1 preceding"
     higher = " or ".join(f"(x.prio < {p} and max(if(x.prio >= {p}, x.e, null)) over ({order}) >= x.e)" for p in range(2, 6))
-    one = one.withColumn("gone", F.expr(f"coalesce({higher}, false)"))
+    # Of equal or higher priority: the furthest end before it, and of those the earliest start, tell whether a longer one contains it.
+    equal = " or ".join(f"(x.prio = {p} and (max(if(x.prio >= {p}, struct(x.e as e, -x.b as s), null)) over ({order})) > struct(x.e as e, -x.b as s))" for p in range(1, 6))
+    one = one.withColumn("gone", F.expr(f"coalesce({higher} or {equal}, false)"))
     live = one.withColumn("upto", F.expr(f"max(if(gone, null, x.e)) over ({order})"))
     fresh = F.expr("if(x is null or gone, 0, greatest(0, x.e - greatest(coalesce(upto, 0), x.b)))")
     out = live.groupBy("__row").agg(

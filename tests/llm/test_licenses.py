@@ -32,7 +32,7 @@ def brute(text):
         word_at[at] = k
         at += len(x) + 1
     found = [(word_at[m.start()], word_at[m.start()] + len(m[0].split(" ")), r["prio"], r["label"]) for r in licenses.rules() if " " + r["kw"] in t for m in re.finditer(r["pattern"], t)]
-    live = [x for x in found if not any(y[2] > x[2] and y[0] <= x[0] and y[1] >= x[1] for y in found)]
+    live = [x for x in found if not any(y[0] <= x[0] and y[1] >= x[1] and (y[2] > x[2] or y[2] == x[2] and y[1] - y[0] > x[1] - x[0]) for y in found)]
     base = {label for phrase, label in licenses.BASE if f" {phrase} " in t}
     covered = {k for b, e, _, _ in live for k in range(b, e)}
     return ",".join(sorted(base)), ",".join(sorted(base | {x[3] for x in live})), min(1.0, len(covered) / max(1, len(w)))
@@ -52,3 +52,24 @@ def test_whole_text_is_scanned(spark):
     df = spark.createDataFrame([(1, "word " * 200_000 + "SPDX-License-Identifier: MIT")], "doc_id long, text string")
     row = licenses.scan(df).first()
     assert row.labels == "mit" and row.n_words == 200_004 and 0 < row.score < 0.001
+
+
+def test_labels_by_hand(spark):
+    """Labels that a reader would give: a longer name wins over one inside it, and a version may stand behind the word license."""
+    want = {
+        "under a two clause bsd license here": "bsd-2-clause",
+        "the three clause BSD license": "bsd-3-clause",
+        "Apache License 2.0": "apache,apache-2.0",
+        "the Apache Software License, version 1.1, applies": "apache-1.1",
+        "artistic license 2.0": "artistic-2.0",
+        "GNU Lesser General Public License v2.1": "gpl,lgpl-2.1",
+        "GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+        "Mozilla Public License 2.0 or the BSD license": "bsd,mpl-2.0",
+        "mit license and the isc license": "isc,mit",
+        "SPDX-License-Identifier: MIT-0": "mit-0",
+        "the mit no attribution license": "mit-0",
+        "a licensed driver": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
