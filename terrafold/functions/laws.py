@@ -55,4 +55,41 @@ def coupling(dop: str, cpr: str) -> Column:
     return F.expr(f"if({dop} < abs({q}) - 1e-12D, null, sqrt(greatest({dop} * {dop} - {q} * {q}, 0D) / (1D - {q} * {q})))")
 
 
+#: Intervals of a law's quadrature.
+INTERVALS = 128
 
+
+def correlated_tail(looks: str, coherence2: str, x: str, log_gamma_of=log_gamma) -> str:
+    """SQL for the chance that the ratio of two means of so many looks (any positive number), whose channels have a squared coherence, is more than x > 0.
+
+    The logarithm of the ratio has an even density, which Simpson's rule sums from 0; without coherence it is the F law
+    of twice the looks. Where the density has died out nothing is summed. The names of lambda variables suit both engines.
+    """
+    half = f"least(abs(ln({x})), 37 / ({looks}) + 6)"
+    cosh2 = f"(2 + exp({half} * qk / {INTERVALS}) + exp(-{half} * qk / {INTERVALS}))"  # four times the squared cosine of half the place
+    scale = f"exp({log_gamma_of(f'(2 * ({looks}))')} - 2 * {log_gamma_of(f'({looks})')}) * pow(1 - ({coherence2}), {looks})"
+    term = f"(case when qk = 0 or qk = {INTERVALS} then 1 when qk % 2 = 1 then 4 else 2 end) * sqrt({cosh2}) / pow({cosh2} - 4 * ({coherence2}), ({looks}) + 0.5)"
+    if log_gamma_of is log_gamma:
+        total = f"aggregate(sequence(0, {INTERVALS}), 0D, (qs, qk) -> qs + {term})"
+    else:
+        total = f"list_sum(list_transform(range(0, {INTERVALS + 1}), lambda qk: {term}))"
+    return f"(0.5 - sign(ln({x})) * {scale} * {half} / {3 * INTERVALS} * {total})"
+
+
+def correlated_tail_sql(looks: str, coherence2: str, x: str) -> str:
+    """The same in DuckDB."""
+    return correlated_tail(looks, coherence2, x, lambda v: f"lgamma({v})")
+
+
+def trigamma_sql(x: str) -> str:
+    """radar.trigamma in DuckDB."""
+    y = f"(({x}) + 8)"
+    return f"(list_sum(list_transform(range(0, 8), lambda gk: 1 / pow(({x}) + gk, 2))) + 1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)))"
+
+
+def halved_sql(variance: str, law: str, lo: float = 0.05, hi: float = 1e4, steps: int = 50) -> str:
+    """In DuckDB, where a falling law (SQL with {x}) takes a variance: as often halved, in logarithms, as looks_of does; null without a positive variance."""
+    mid = "sqrt(hb.lo * hb.hi)"
+    start = f"list_prepend({{lo: {lo}::DOUBLE, hi: {hi}::DOUBLE}}, list_transform(range(0, {steps}), lambda hi_: {{lo: 0::DOUBLE, hi: 0::DOUBLE}}))"
+    done = f"list_reduce({start}, lambda hb, hi_: CASE WHEN {law.format(x=mid)} > ({variance}) THEN {{lo: {mid}, hi: hb.hi}} ELSE {{lo: hb.lo, hi: {mid}}} END)"
+    return f"(CASE WHEN ({variance}) > 0 THEN list_transform([{done}], lambda hb: sqrt(hb.lo * hb.hi))[1] END)"

@@ -67,13 +67,19 @@ def trigamma(x: str) -> str:
     return f"({steps} + 1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)))"
 
 
-def looks_of(variance: str, lo: float = 0.05, hi: float = 1e4) -> Column:
-    """Number of looks whose log ratio has that variance, 2 trigamma(N): bisection of logarithms."""
+def looks_of(variance: str, lo: float = 0.05, hi: float = 1e4, law: str = "") -> Column:
+    """Number of looks whose log ratio has that variance, 2 trigamma(N): bisection of logarithms. law: another falling law, as SQL with {x}."""
     mid = "sqrt(s.lo * s.hi)"
-    step = f"if(2 * {trigamma(mid)} > {variance}, struct({mid} as lo, s.hi as hi), struct(s.lo as lo, {mid} as hi))"
+    step = f"if({law.format(x=mid) if law else f'2 * {trigamma(mid)}'} > {variance}, struct({mid} as lo, s.hi as hi), struct(s.lo as lo, {mid} as hi))"
     return F.expr(f"if({variance} is null or {variance} <= 0, null, aggregate(sequence(1, 50), struct(double({lo}) as lo, double({hi}) as hi), (s, i) -> {step}, s -> sqrt(s.lo * s.hi)))")
 
 
+def log_determinant_law(dimensions: int) -> str:
+    """SQL with {x}: variance of the log determinant of a Hermitian matrix of that many channels and {x} looks, the trigamma of each of {x}, {x} - 1, ...; infinite where looks are too few."""
+    terms = " + ".join(trigamma(f"({{x}} - {k})" if k else "{x}") for k in range(dimensions))
+    return f"if({{x}} <= {dimensions - 1}, double('infinity'), {terms})" if dimensions > 1 else terms
+
+
 def wilson(k: str, n: str, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Interval of a rate; null where n is 0."""
     p, d = f"({k} / {n})", f"(1 + {z * z} / {n})"
