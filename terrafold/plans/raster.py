@@ -346,15 +346,16 @@ def registration(spark, sf_dir):
     return p.join(px.select("line", "sample", "lv"), ["line", "sample"]).groupBy("dl", "ds").agg(F.count("*").alias("n"), r6(F.corr("lh", "lv")).alias("r"))
 
 
-_STOPS = [(3, 4), (10, 60), (20, 15), (5, 80), (9, 33)]
+_STOPS = 5
 
 
-@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_STOPS)) + ") t(i, l, s)), d AS (SELECT a.i AS f, b.i AS t, sqrt(pow(20.0 * (a.l - b.l), 2) + pow(30.0 * (a.s - b.s), 2)) AS m FROM s a, s b), p AS ("
+@query(f"WITH s AS (SELECT row_number() OVER (ORDER BY z DESC, line, sample) - 1 AS i, line AS l, sample AS s FROM {PX} ORDER BY i LIMIT {_STOPS}), d AS (SELECT a.i AS f, b.i AS t, sqrt(pow(20.0 * (a.l - b.l), 2) + pow(30.0 * (a.s - b.s), 2)) AS m FROM s a, s b), p AS ("
        + " UNION ALL ".join(f"SELECT '{'-'.join(map(str, (0, *o)))}' AS tour, {' + '.join(f'(SELECT m FROM d WHERE f = {x} AND t = {y})' for x, y in zip((0, *o), o))} AS metres" for o in permutations(range(1, 5)))
        + ") SELECT tour, round(metres, 6) AS metres FROM p")
 def tours(spark, sf_dir):
-    """Length of each order of five stops, from the first."""
-    d = {(i, j): ((20.0 * (a - c)) ** 2 + (30.0 * (b - e)) ** 2) ** 0.5 for i, (a, b) in enumerate(_STOPS) for j, (c, e) in enumerate(_STOPS)}
+    """Length of each order of the five highest pixels, from the highest."""
+    stops = [(r.line, r["sample"]) for r in views.pixels(spark, sf_dir).orderBy(F.desc("z"), "line", "sample").select("line", "sample").limit(_STOPS).collect()]
+    d = {(i, j): ((20.0 * (a - c)) ** 2 + (30.0 * (b - e)) ** 2) ** 0.5 for i, (a, b) in enumerate(stops) for j, (c, e) in enumerate(stops)}
     legs = spark.createDataFrame([(f"{i}-{j}", m) for (i, j), m in d.items()], "leg string, m double")
     order = spark.createDataFrame([("-".join(map(str, (0, *o))),) for o in permutations(range(1, 5))], "tour string")
     leg = order.withColumn("x", F.split("tour", "-")).select("tour", F.explode(F.expr("transform(sequence(0, 3), k -> concat(x[k], '-', x[k + 1]))")).alias("leg"))

@@ -128,11 +128,12 @@ def disc_classes(spark, sf_dir):
 # ---- sampling laws
 
 _N = [3, 4, 6, 9, 14, 21, 38, 100]
-_NS = "(SELECT unnest([" + ", ".join(map(str, _N)) + "]) AS n)"
+#: Numbers of looks that stand in a table: whole quantities.
+_NS = "(SELECT DISTINCT l_quantity::INT AS n FROM lineitem WHERE l_quantity >= 3)"
 
 
-def looks_table(spark) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _N], "n int")
+def looks_table(spark, sf_dir) -> DataFrame:
+    return views.table(spark, sf_dir, "lineitem").where("l_quantity >= 3").select(F.col("l_quantity").cast("int").alias("n")).distinct()
 
 
 _SKEW = "CASE WHEN n > 3 THEN (6.0 * n - 2) * sqrt(8 * (2.0 * n - 4)) / ((2.0 * n - 6) * sqrt(2.0 * n * (4.0 * n - 2))) END"
@@ -144,17 +145,17 @@ SELECT n, round({_SKEW}, 6) AS skewness, round({_KURT}, 6) AS kurtosis, round(c
 def ratio_moments(spark, sf_dir):
     """Skewness and excess kurtosis of the ratio of two means of n looks, and moments of the looks' amplitude, in closed form."""
     g = lambda k: f"exp({laws.log_gamma(f'(n + {k}D)')} - {laws.log_gamma('n')})"
-    t = looks_table(spark).withColumns({"m1": F.expr(g(0.5)), "m2": F.expr(g(1.0)), "m3": F.expr(g(1.5))})
+    t = looks_table(spark, sf_dir).withColumns({"m1": F.expr(g(0.5)), "m2": F.expr(g(1.0)), "m3": F.expr(g(1.5))})
     return t.select("n", F.round(ex(_SKEW), 6).alias("skewness"), F.round(ex(_KURT), 6).alias("kurtosis"), F.round(F.expr(laws.amplitude_ratio("double(n)")), 5).alias("amplitude_ratio"), F.round(F.expr("2D / sqrt(n)"), 6).alias("intensity_skew"), F.round(F.expr("(m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(m2 - m1 * m1, 1.5D)"), 5).alias("amplitude_skew"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS target), b AS (SELECT target, 0 AS i, 0.001::DOUBLE AS lo, 1e6::DOUBLE AS hi FROM t UNION ALL
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT 0.25::DOUBLE + 0.05::DOUBLE * round(l_discount * 100) AS target FROM lineitem), b AS (SELECT target, 0 AS i, 0.001::DOUBLE AS lo, 1e6::DOUBLE AS hi FROM t UNION ALL
 SELECT target, i + 1, CASE WHEN pow(exp(lgamma(sqrt(lo * hi) + 0.5) - lgamma(sqrt(lo * hi))) / sqrt(sqrt(lo * hi)), 2) / (1 - pow(exp(lgamma(sqrt(lo * hi) + 0.5) - lgamma(sqrt(lo * hi))) / sqrt(sqrt(lo * hi)), 2)) < target * 40 THEN sqrt(lo * hi) ELSE lo END,
 CASE WHEN pow(exp(lgamma(sqrt(lo * hi) + 0.5) - lgamma(sqrt(lo * hi))) / sqrt(sqrt(lo * hi)), 2) / (1 - pow(exp(lgamma(sqrt(lo * hi) + 0.5) - lgamma(sqrt(lo * hi))) / sqrt(sqrt(lo * hi)), 2)) < target * 40 THEN hi ELSE sqrt(lo * hi) END FROM b WHERE i < 80)
 SELECT target, round((2 * target * target + 2 + sqrt(pow(2 * target * target + 2, 2) - 4 * target * target)) / (2 * target * target), 5) AS looks_of_sd, round(sqrt(lo * hi), 4) AS looks_of_amplitude FROM b WHERE i = 80""")
 def looks_inversion(spark, sf_dir):
     """Looks that a relative deviation of the ratio, or a ratio of amplitude moments, implies: bisection. The first has a closed form, which its SQL uses."""
-    t = spark.createDataFrame([(x,) for x in (0.25, 0.5, 0.75, 1.0)], "target double")
+    t = views.table(spark, sf_dir, "lineitem").select(F.expr("0.25D + 0.05D * round(l_discount * 100)").alias("target")).distinct()
     sd = laws.bisected("sqrt((2D * {x} - 1D) / ({x} * ({x} - 2D))) > target", "2.000000001", "1e6")
     amp = laws.bisected(laws.amplitude_ratio("{x}") + " < target * 40D", "0.001", "1e6")
     return t.select("target", F.round(sd, 5).alias("looks_of_sd"), F.round(amp, 4).alias("looks_of_amplitude"))
@@ -167,18 +168,19 @@ _CRIT = f"""b AS (SELECT n, 0 AS i, 1e-6::DOUBLE AS lo, 1e6::DOUBLE AS hi FROM {
 @query(f"WITH RECURSIVE {_CRIT.format(ns=_NS)} SELECT n, round(crit, 6) AS critical, round((crit - 1) / (crit + 1), 6) AS edge FROM k")
 def critical_values(spark, sf_dir):
     """What the ratio of two means of n looks exceeds in one case of twenty (the floor for a true ratio of 1), and the polarisation that it needs."""
-    t = looks_table(spark).withColumn("crit", laws.critical_value("n", 0.05))
+    t = looks_table(spark, sf_dir).withColumn("crit", laws.critical_value("n", 0.05))
     return t.select("n", r6("crit").alias("critical"), r6(F.expr("(crit - 1) / (crit + 1)")).alias("edge"))
 
 
-_PUBLISHED = [("a", 1.2), ("b", 1.9), ("c", 2.6), ("d", 4.1)]
+#: A feature's ratio: one and a part of its mean.
+_PUBLISHED = "(SELECT event_type AS feature, round(1 + avg(value) / 40, 6) AS cpr FROM events GROUP BY 1)"
 
 
-@query(f"""WITH RECURSIVE {_CRIT.format(ns=_NS)} SELECT feature, cpr, {', '.join(f"max(CASE WHEN n = {n} THEN CASE WHEN cpr > crit THEN 'yes' ELSE 'no' END END) AS n{n}" for n in _N)} FROM (VALUES {', '.join(f"('{f}', {c}::DOUBLE)" for f, c in _PUBLISHED)}) p(feature, cpr), k GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_CRIT.format(ns=_NS)} SELECT feature, cpr, {', '.join(f"max(CASE WHEN n = {n} THEN CASE WHEN cpr > crit THEN 'yes' ELSE 'no' END END) AS n{n}" for n in _N)} FROM {_PUBLISHED} p, k GROUP BY 1, 2""")
 def published_floors(spark, sf_dir):
-    """Whether each published ratio clears the floor of n looks: a pivot by n."""
-    p = spark.createDataFrame(_PUBLISHED, "feature string, cpr double")
-    k = looks_table(spark).withColumn("crit", laws.critical_value("n", 0.05))
+    """Whether each feature's ratio clears the floor of n looks: a pivot by n."""
+    p = views.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("feature")).agg(F.round(1 + F.avg("value") / 40, 6).alias("cpr"))
+    k = looks_table(spark, sf_dir).withColumn("crit", laws.critical_value("n", 0.05))
     j = p.crossJoin(F.broadcast(k)).withColumn("clears", F.when(F.expr("cpr > crit"), "yes").otherwise("no"))
     g = j.groupBy("feature", "cpr").pivot("n", _N).agg(F.first("clears"))
     return g.select("feature", "cpr", *[F.col(str(n)).alias(f"n{n}") for n in _N])
@@ -187,7 +189,7 @@ def published_floors(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_CRIT.format(ns=_NS)}, t AS (SELECT unnest([1.0, 1.3, 2.0, 3.0])::DOUBLE AS true_cpr) SELECT n, true_cpr, round(100 * {_DTAIL.format(x='(crit / true_cpr)')}, 4) AS power FROM k, t WHERE n <= 38""")
 def power_table(spark, sf_dir):
     """Chance, in percent, that n looks of a true ratio exceed the critical value."""
-    k = looks_table(spark).where("n <= 38").withColumn("crit", laws.critical_value("n", 0.05))
+    k = looks_table(spark, sf_dir).where("n <= 38").withColumn("crit", laws.critical_value("n", 0.05))
     j = k.withColumn("true_cpr", F.explode(F.array(*[F.lit(x) for x in (1.0, 1.3, 2.0, 3.0)]))).withColumn("x", F.expr("crit / true_cpr"))
     return j.select("n", "true_cpr", F.round(radar.ratio_tail("n", "x") * 100, 4).alias("power"))
 
@@ -210,10 +212,10 @@ def joint_rule(spark, sf_dir):
     return t.groupBy(F.col("nh").alias("looks")).agg(F.count("*").alias("n"), n("tail < 0.05D").alias("ratio_fires"), n("dop < q05 + 0.5D").alias("dop_fires"), n("tail < 0.05D and dop < q05 + 0.5D").alias("rule_fires"), r6(F.first("q05")).alias("q05"))
 
 
-@query(f"""WITH RECURSIVE {_CRIT.format(ns='(SELECT n FROM ' + _Q05_SQL + ')')}, e AS (SELECT q.n, (crit - 1) / (crit + 1) AS edge, q05 FROM k JOIN {_Q05_SQL} ON q.n = k.n) SELECT min(n) FILTER (edge < q05) AS first_with_region, max(n) FILTER (edge >= q05) AS last_without_region FROM e""")
+@query(f"""WITH RECURSIVE {_CRIT.format(ns='(SELECT n FROM ' + _Q05_SQL + ' JOIN ' + _NS + ' USING (n))')}, e AS (SELECT q.n, (crit - 1) / (crit + 1) AS edge, q05 FROM k JOIN {_Q05_SQL} ON q.n = k.n) SELECT min(n) FILTER (edge < q05) AS first_with_region, max(n) FILTER (edge >= q05) AS last_without_region FROM e""")
 def rule_onset(spark, sf_dir):
-    """The first number of looks at which the joint rule can fire at all."""
-    q = spark.createDataFrame(_Q05, "n int, q05 double").withColumn("crit", laws.critical_value("n", 0.05)).withColumn("edge", F.expr("(crit - 1) / (crit + 1)"))
+    """The first number of looks, of those that occur, at which the joint rule can fire at all."""
+    q = spark.createDataFrame(_Q05, "n int, q05 double").join(looks_table(spark, sf_dir), "n").withColumn("crit", laws.critical_value("n", 0.05)).withColumn("edge", F.expr("(crit - 1) / (crit + 1)"))
     return q.agg(F.min(F.when(F.expr("edge < q05"), F.col("n"))).alias("first_with_region"), F.max(F.when(F.expr("edge >= q05"), F.col("n"))).alias("last_without_region"))
 
 
@@ -248,14 +250,14 @@ def mean_sample_dop(spark, sf_dir):
     """Mean sample polarisation of unpolarised light over n looks, and the looks at which it is 1 / n."""
     lg = laws.log_gamma
     mean = lambda n: f"exp({lg('2D')} - {lg(f'({n} + 1D)')} - {lg('1.5D')} + {lg(f'({n} + 0.5D)')})"
-    return looks_table(spark).select("n", F.round(F.expr(mean("n")), 6).alias("mean_dop"), F.round(laws.bisected(mean("{x}") + " > 1D / n", "1.5", "1e6"), 1).alias("looks_for_inverse"))
+    return looks_table(spark, sf_dir).select("n", F.round(F.expr(mean("n")), 6).alias("mean_dop"), F.round(laws.bisected(mean("{x}") + " > 1D / n", "1.5", "1e6"), 1).alias("looks_for_inverse"))
 
 
-@query(f"""WITH t AS (SELECT n, 100 * {_DTAIL.format(x='1.4285714')} AS p FROM (SELECT unnest(range(3, 40)) AS n)), s AS (SELECT *, sqrt(p * (100 - p) / 1000) AS se FROM t), v AS (SELECT 'value' AS curve, n, p AS v FROM s UNION ALL SELECT 'high', n, p + 2 * se FROM s UNION ALL SELECT 'low', n, p - 2 * se FROM s),
+@query(f"""WITH t AS (SELECT n, 100 * {_DTAIL.format(x='1.4285714')} AS p FROM {_NS} WHERE n < 40), s AS (SELECT *, sqrt(p * (100 - p) / 1000) AS se FROM t), v AS (SELECT 'value' AS curve, n, p AS v FROM s UNION ALL SELECT 'high', n, p + 2 * se FROM s UNION ALL SELECT 'low', n, p - 2 * se FROM s),
 w AS (SELECT *, lag(v) OVER (PARTITION BY curve ORDER BY n) AS before FROM v) SELECT curve, round(min(n - 1 + (20 - before) / (v - before)) FILTER (v < 20 AND before >= 20), 6) AS crossing FROM w GROUP BY 1""")
 def level_crossings(spark, sf_dir):
     """Where the chance of an excess first falls under 20 %, between two numbers of looks, with two errors on either side."""
-    t = spark.range(3, 40).select(F.col("id").alias("n")).withColumn("p", radar.ratio_tail("n", "1.4285714D") * 100).withColumn("se", F.expr("sqrt(p * (100 - p) / 1000)"))
+    t = looks_table(spark, sf_dir).where("n < 40").withColumn("p", radar.ratio_tail("n", "1.4285714D") * 100).withColumn("se", F.expr("sqrt(p * (100 - p) / 1000)"))
     v = t.select("n", F.explode(F.expr("array(struct('value' as curve, p as v), struct('high' as curve, p + 2 * se as v), struct('low' as curve, p - 2 * se as v))")).alias("x")).select("n", "x.*")
     w = v.withColumn("before", F.lag("v").over(Window.partitionBy("curve").orderBy("n")))  # 37 rows a curve
     return w.groupBy("curve").agg(r6(F.min(F.when(F.expr("v < 20 and before >= 20"), F.expr("n - 1 + (20 - before) / (v - before)")))).alias("crossing"))
