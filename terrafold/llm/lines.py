@@ -132,7 +132,7 @@ def near(x: str, y: str, k: int) -> str:
     # The pattern is padded by k on either side; too short a pattern gets equal characters in front.
     w = 2 * k + 2
     full, top = (1 << w) - 1, 1 << (w - 1)
-    match = " | ".join(f"if(get(cu, i - {k + 1 - b}) = c, {1 << b}, 0)" for b in range(w))
+    match = " | ".join(f"if(get(cu, s.i - {k + 1 - b}) = c, {1 << b}, 0)" for b in range(w))
     d0 = f"(((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {full})"
     hp, hn = f"((s.vn | ~(d | s.vp)) & {full})", "(d & s.vp)"
     # Along the diagonal until the pattern ends, then along its last row.
@@ -140,7 +140,8 @@ def near(x: str, y: str, k: int) -> str:
     dist = f"s.e + if(s.i < size(cu) - {k}, if((d & {top}) <> 0, 0, 1), if(({hp} & {low}) <> 0, 1, 0) - if(({hn} & {low}) <> 0, 1, 0))"
     state = f"struct(({hn} | ~(shiftright(d, 1) | {hp})) & {full} as vp, shiftright(d, 1) & {hp} as vn, {dist} as e, s.i + 1 as i)"
     start = f"struct({((1 << (k + 1)) - 1) << (w - k - 1)} as vp, 0 as vn, {k} as e, 0 as i)"
-    edits = f"aggregate(transform(cv, (c, i) -> {match}), {start}, (s, m) -> element_at(transform(array({d0}), d -> {state}), 1), s -> s.e)"
+    # Along the diagonal the distance never falls, and along the last row, 2 * k places at most, by one at a place: beyond 3 * k nothing is left to see.
+    edits = f"aggregate(cv, {start}, (s, c) -> if(s.e > {3 * k}, s, {let('m', match, let('d', d0, state))}), s -> s.e)"
     banded = "false" if k == 1 else let("cu", rest(x), let("cv", rest(y), f"coalesce(abs(size(cu) - size(cv)) <= {k} and {edits} <= {k}, false)"))
     back = common(x, y, "(cn - cp)", lambda s, m: f"right({s}, int({m}))")
     return let("cn", f"least(length({x}), length({y}))", let("cp", common(x, y, "cn", lambda s, m: f"substring({s}, 1, {m})"), let("cq", back, f"({longer}) or {banded}")))
