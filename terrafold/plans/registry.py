@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from terrafold.plans import audits, channels, frames, matrices, products, raster, resamples, shadows, spectral, statistics, studies  # noqa: E402, F401  they register their queries
+from terrafold.plans import audits, channels, edges, frames, matrices, products, raster, resamples, shadows, spectral, statistics, studies  # noqa: E402, F401  they register their queries
