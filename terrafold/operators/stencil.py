@@ -159,3 +159,29 @@ def weighted(px: DataFrame, shape: tuple[int, int], kernel: dict[int, float], va
         near = lambda k: sum((F.coalesce(F.first(k).over(w.rangeBetween(d, d)), F.lit(0.0)) * x for d, x in kernel.items()), F.lit(0.0))  # noqa: B023, E731
         t = t.select("line", "sample", "_l", "_s", "_tl", "_ts", *[near(k).alias(k) for k in values])
     return own(t)
+
+
+def shifted_sums(px: DataFrame, shape: tuple[int, int], a: str, b: str, reach: int, edge: int | None = None) -> DataFrame:
+    """dl, ds, n, a, b, aa, bb, ab: for each shift of up to reach lines and samples, sums over pixels with both values of a here and b there.
+
+    All shifts are summed in a tile with its halo, so that what is shuffled grows with the pixels, and then with the shifts' sums.
+    """
+    t = tiled(px.select("line", "sample", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), shape, reach, edge=edge)
+    size = edge or EDGE
+
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        top, left, n = int(key[0]) * size, int(key[1]) * size, size + 2 * reach
+        x, y = np.full((n, n), np.nan), np.full((n, n), np.nan)
+        at = (tile["line"].to_numpy() - top + reach, tile["sample"].to_numpy() - left + reach)
+        x[at], y[at] = tile["a"].to_numpy(), tile["b"].to_numpy()
+        own, rows = x[reach : reach + size, reach : reach + size], []
+        for dl in range(-reach, reach + 1):
+            for ds in range(-reach, reach + 1):
+                other = y[reach + dl : reach + dl + size, reach + ds : reach + ds + size]
+                both = ~(np.isnan(own) | np.isnan(other))
+                p, q = own[both], other[both]
+                rows.append((dl, ds, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q))
+        return pd.DataFrame(rows, columns=["dl", "ds", "n", "a", "b", "aa", "bb", "ab"])
+
+    sums = t.groupBy("_tl", "_ts").applyInPandas(run, "dl long, ds long, n long, a double, b double, aa double, bb double, ab double")
+    return sums.groupBy("dl", "ds").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]).where("n > 0")

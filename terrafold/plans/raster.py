@@ -11,6 +11,7 @@ from terrafold.functions import radar
 from terrafold.operators import graph, order, stencil
 from terrafold.operators.skyline import skylines
 from terrafold.plans.registry import PX, RATIOS, query
+from terrafold.shared import staged
 from terrafold.sources import views
 
 SPACING = (20.0, 30.0)
@@ -341,9 +342,22 @@ SELECT dl, ds, n, round(r, 6) + 0.0 AS r FROM c""")
 def registration(spark, sf_dir):
     """Correlation of one channel with the other, shifted by up to two lines and samples."""
     px = views.pixels(spark, sf_dir)
-    shifts = F.explode(F.expr("flatten(transform(sequence(-2, 2), a -> transform(sequence(-2, 2), b -> struct(bigint(a) as dl, bigint(b) as ds))))"))
-    p = px.select("lh", "line", "sample", shifts.alias("o")).select("lh", (F.col("line") + F.col("o.dl")).alias("line"), (F.col("sample") + F.col("o.ds")).alias("sample"), "o.dl", "o.ds")
-    return p.join(px.select("line", "sample", "lv"), ["line", "sample"]).groupBy("dl", "ds").agg(F.count("*").alias("n"), r6(F.corr("lh", "lv")).alias("r"))
+    return shifted_correlation(px, views.shape(px), 2).select("dl", "ds", "n", r6("r").alias("r"))
+
+
+def shifted_correlation(px: DataFrame, shape: tuple[int, int], reach: int) -> DataFrame:
+    s = stencil.shifted_sums(px, shape, "lh", "lv", reach)
+    return s.withColumn("r", F.expr("(ab / n - a / n * (b / n)) / nullif(sqrt(aa / n - pow(a / n, 2)) * sqrt(bb / n - pow(b / n, 2)), 0)"))
+
+
+@query(f"""WITH px AS {PX}, sh AS (SELECT a.v AS dl, b.v AS ds FROM range(-12, 13) a(v), range(-12, 13) b(v)), c AS (SELECT dl, ds, count(*) AS n, corr(p.lh, q.lv) AS r FROM sh, px p JOIN px q ON q.line = p.line + dl AND q.sample = p.sample + ds GROUP BY 1, 2)
+SELECT dl, ds, n, round(r, 6) + 0.0 AS r, row_number() OVER (ORDER BY round(r, 6) DESC, abs(dl) + abs(ds), dl, ds) = 1 AS best FROM c""")
+def wide_registration(spark, sf_dir):
+    """Correlation under all 625 shifts of up to twelve lines and samples, summed in tiles with halos, and the best of them."""
+    px = views.pixels(spark, sf_dir)
+    c = staged(shifted_correlation(px, views.shape(px), 12).select("dl", "ds", "n", r6("r").alias("r")), "shifts")
+    best = c.orderBy(F.desc_nulls_last("r"), F.expr("abs(dl) + abs(ds)"), "dl", "ds").limit(1).select(F.col("dl").alias("_l"), F.col("ds").alias("_s"))
+    return c.join(F.broadcast(best)).withColumn("best", F.expr("dl = _l and ds = _s")).drop("_l", "_s")  # one row
 
 
 _STOPS = 5

@@ -187,3 +187,18 @@ def test_envelope():
         for x, g in zip(at, got, strict=True):
             best = [(x - a) ** 2 + v for a, v in zip(at, h, strict=True) if not np.isnan(v)]
             assert g == min(best) if best else np.isnan(g)
+
+
+def test_shifts_over_tiles(spark):
+    """Sums by shift don't depend on tiles, and leave out pixels without a value."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(13, 11)), rng.normal(size=(13, 11))
+    a[3, 4], b[5, 5] = math.nan, math.nan
+    px = spark.createDataFrame([(i, j, None if math.isnan(a[i, j]) else float(a[i, j]), float(b[i, j])) for i, j in np.ndindex(a.shape)], "line long, sample long, a double, b double")
+    for edge in (4, 64):
+        got = {(r.dl, r.ds): (r.n, r.ab) for r in stencil.shifted_sums(px, a.shape, "a", "b", 3, edge).collect()}
+        for (dl, ds), (n, ab) in got.items():
+            p = [a[i, j] * b[i + dl, j + ds] for i, j in np.ndindex(a.shape) if 0 <= i + dl < 13 and 0 <= j + ds < 11]
+            p = [x for x in p if not math.isnan(x)]
+            assert n == len(p) and ab == pytest.approx(sum(p))
+    assert len(got) == 49
