@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.shared import shared_dir, staged
 
-__all__ = ["shared_dir", "staged", "small", "ascii_lower"]
+__all__ = ["shared_dir", "staged", "small", "small_batches", "ascii_lower"]
 
 #: A table is broadcast only when its rows were counted and are at most so many.
 BROADCAST_ROWS = 200_000
@@ -25,3 +28,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_lower(text: str) -> str:
     """SQL that lower-cases A-Z alone; lower() does the same, faster, where all characters are ASCII."""
     return f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{UPPER}', '{LOWER}'))"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Within it, jobs send Python batches of at most so many bytes (or one row), whatever rows hold; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)

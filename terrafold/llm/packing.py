@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.arrowtext import chunks
-from terrafold.llm.common import staged
+from terrafold.llm.common import small_batches, staged
 
 CAPACITY = 2048
 #: Pieces of one length are ranked in parts of about so many.
@@ -278,7 +278,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Null and empty texts are one piece of the end id. Repeated rows and null ids are packed like others. An empty table
     gives no row. Which of equal lengths stands where follows doc_id and piece. added: see WordEncoder.
     """
-    cut = staged(pieces(docs, tokenizer, capacity, end_id, added), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = staged(pieces(docs, tokenizer, capacity, end_id, added), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     spans, sequence = [], 0
     taken: dict[int, int] = defaultdict(int)
