@@ -350,7 +350,8 @@ def shifted_correlation(px: DataFrame, shape: tuple[int, int], reach: int) -> Da
     return s.withColumn("r", F.expr("(ab / n - a / n * (b / n)) / nullif(sqrt(aa / n - pow(a / n, 2)) * sqrt(bb / n - pow(b / n, 2)), 0)"))
 
 
-@query(f"""WITH px AS {PX}, sh AS (SELECT a.v AS dl, b.v AS ds FROM range(-12, 13) a(v), range(-12, 13) b(v)), c AS (SELECT dl, ds, count(*) AS n, corr(p.lh, q.lv) AS r FROM sh, px p JOIN px q ON q.line = p.line + dl AND q.sample = p.sample + ds GROUP BY 1, 2)
+@query(f"""WITH px AS {PX}, sh AS (SELECT a.v AS dl, b.v AS ds FROM range(-12, 13) a(v), range(-12, 13) b(v)), m AS MATERIALIZED (SELECT dl, ds, line + dl AS line, sample + ds AS sample, lh FROM sh, px), q AS MATERIALIZED (SELECT line, sample, lv FROM px),
+c AS (SELECT dl, ds, count(*) AS n, corr(lh, lv) AS r FROM m JOIN q USING (line, sample) GROUP BY 1, 2)
 SELECT dl, ds, n, round(r, 6) + 0.0 AS r, row_number() OVER (ORDER BY round(r, 6) DESC, abs(dl) + abs(ds), dl, ds) = 1 AS best FROM c""")
 def wide_registration(spark, sf_dir):
     """Correlation under all 625 shifts of up to twelve lines and samples, summed in tiles with halos, and the best of them."""
