@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions import radar
+from terrafold.functions import laws, radar
 from terrafold.operators import graph, order, stencil
 from terrafold.operators.skyline import skylines
 from terrafold.plans.registry import PX, RATIOS, query
@@ -143,10 +143,11 @@ def local_variance(spark, sf_dir):
     return b.select("line", "sample", "n", r6(F.expr("(q - s * s / n) / (n - 1)")).alias("variance"))
 
 
-@query()
+@query(f"""WITH px AS {RATIOS}, w AS (SELECT p.line, p.sample, count(*) AS n, round(var_samp(ln(q.lh / q.lv)), 6) AS v FROM px p, {NEAR5} o JOIN px q ON q.line = p.line + dl AND q.sample = p.sample + ds WHERE q.measured GROUP BY ALL)
+SELECT line, sample, round({laws.halved_sql('v', '2 * ' + laws.trigamma_sql('{x}'))}, 4) AS looks FROM w WHERE n > 12""")
 def local_looks(spark, sf_dir):
-    """Number of looks of each window's variance, by the inverse trigamma function (iterative: no SQL; tested in closed form)."""
-    return local_variance(spark, sf_dir).select("line", "sample", radar.looks_of("variance").alias("looks"))
+    """Number of looks of each window's variance, by the inverse trigamma function."""
+    return local_variance(spark, sf_dir).select("line", "sample", F.round(radar.looks_of("variance"), 4).alias("looks"))
 
 
 @query(f"""WITH px AS {PX}, w AS (
