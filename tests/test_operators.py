@@ -202,3 +202,19 @@ def test_shifts_over_tiles(spark):
             p = [x for x in p if not math.isnan(x)]
             assert n == len(p) and ab == pytest.approx(sum(p))
     assert len(got) == 49
+
+
+def test_routes_on_grids(spark):
+    """A flat grid is crossed, ground is measured by axis, and a wall that can't be passed ends every route."""
+    px = spark.range(36).selectExpr("id div 6 AS line", "id % 6 AS sample", "id % 6 <> 3 AS open", "true AS all")
+    start = spark.createDataFrame([((0, 0),)], "v struct<line: long, sample: long>")
+
+    def reached(passable, dl=1.0, ds=1.0):
+        e = graph.grid_edges(px, passable).withColumn("cost", F.sqrt(F.pow((F.col("src.line") - F.col("dst.line")) * dl, 2) + F.pow((F.col("src.sample") - F.col("dst.sample")) * ds, 2)))
+        return {(r.v.line, r.v["sample"]): r.cost for r in graph.cheapest(e, start).collect()}
+
+    flat = reached("all", 100.0, 400.0)
+    assert len(flat) == 36 and flat[5, 0] == pytest.approx(500) and flat[0, 5] == pytest.approx(2000)
+    assert flat[5, 5] == pytest.approx(5 * math.hypot(100, 400))
+    wall = reached("open")
+    assert len(wall) == 18 and all(s < 3 for _, s in wall)
