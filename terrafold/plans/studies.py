@@ -212,11 +212,14 @@ def joint_rule(spark, sf_dir):
     return t.groupBy(F.col("nh").alias("looks")).agg(F.count("*").alias("n"), n("tail < 0.05D").alias("ratio_fires"), n("dop < q05 + 0.5D").alias("dop_fires"), n("tail < 0.05D and dop < q05 + 0.5D").alias("rule_fires"), r6(F.first("q05")).alias("q05"))
 
 
-@query(f"""WITH RECURSIVE {_CRIT.format(ns='(SELECT n FROM ' + _Q05_SQL + ' JOIN ' + _NS + ' USING (n))')}, e AS (SELECT q.n, (crit - 1) / (crit + 1) AS edge, q05 FROM k JOIN {_Q05_SQL} ON q.n = k.n) SELECT min(n) FILTER (edge < q05) AS first_with_region, max(n) FILTER (edge >= q05) AS last_without_region FROM e""")
+@query(f"""WITH RECURSIVE {_CRIT.format(ns='(SELECT n FROM ' + _Q05_SQL + ')')}, c AS (SELECT l_quantity::INT AS n, count(*) AS c FROM lineitem GROUP BY 1), e AS (SELECT q.n, (crit - 1) / (crit + 1) AS edge, q05, coalesce(c, 0) AS c FROM k JOIN {_Q05_SQL} ON q.n = k.n LEFT JOIN c ON c.n = k.n)
+SELECT min(n) FILTER (edge < q05) AS first_with_region, max(n) FILTER (edge >= q05) AS last_without_region, coalesce(sum(c) FILTER (edge < q05), 0)::BIGINT AS rows_with_region FROM e""")
 def rule_onset(spark, sf_dir):
-    """The first number of looks, of those that occur, at which the joint rule can fire at all."""
-    q = spark.createDataFrame(_Q05, "n int, q05 double").join(looks_table(spark, sf_dir), "n").withColumn("crit", laws.critical_value("n", 0.05)).withColumn("edge", F.expr("(crit - 1) / (crit + 1)"))
-    return q.agg(F.min(F.when(F.expr("edge < q05"), F.col("n"))).alias("first_with_region"), F.max(F.when(F.expr("edge >= q05"), F.col("n"))).alias("last_without_region"))
+    """The first number of looks in the step table at which the joint rule can fire at all, whether it occurs or not, and the rows that have such looks."""
+    occurs = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("n")).agg(F.count("*").alias("c"))
+    q = spark.createDataFrame(_Q05, "n int, q05 double").withColumn("crit", laws.critical_value("n", 0.05)).withColumn("edge", F.expr("(crit - 1) / (crit + 1)")).join(occurs, "n", "left")
+    fires = F.expr("edge < q05")
+    return q.agg(F.min(F.when(fires, F.col("n"))).alias("first_with_region"), F.max(F.when(F.expr("edge >= q05"), F.col("n"))).alias("last_without_region"), F.coalesce(F.sum(F.when(fires, F.col("c"))), F.lit(0)).cast("long").alias("rows_with_region"))
 
 
 _LEVELS = [0.2, 0.4, 0.6, 0.8]

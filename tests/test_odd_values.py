@@ -28,3 +28,12 @@ def test_tails_of_many_looks(spark, tmp_path):
     """Ratios that hardly vary give looks whose law is beyond the doubles."""
     got, want = both(spark, tmp_path, "tail_histogram", "user_id + 1000003 AS user_id")
     assert got == want
+
+
+def test_rule_onset_without_looks(spark, tmp_path):
+    """All of the step table counts where the data have none of its looks."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (5 AS l_quantity) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    got = tuple(QUERIES["rule_onset"](spark, str(tmp_path)).first())
+    assert got == con.sql(SQL["rule_onset"]).fetchall()[0] and None not in got[:2] and got[2] == 0
