@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGE = 256
+#: A tile's edge; pixels in a group of whole lines, about (one line at least).
+EDGE, LINES_OF = 256, 1 << 16
 
 
 def _images(x: str, n: int, h: int, boundary: str) -> str:
@@ -117,16 +118,20 @@ def distance(px: DataFrame, shape: tuple[int, int], target: str) -> DataFrame:
     Along each sample's column, the nearest target's line offset by running minima; then, along each line, the lower
     envelope of the columns' parabolas, which a linear scan gives.
     """
-    w = Window.partitionBy("sample").orderBy("line")
-    at = F.when(F.col(target), F.col("line"))
-    c = px.withColumn("_a", F.last(at, True).over(w)).withColumn("_b", F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    c = c.select("line", "sample", F.least(F.col("line") - F.col("_a"), F.col("_b") - F.col("line")).cast("double").alias("_g"))
-
-    def run(line: pd.DataFrame) -> pd.DataFrame:
-        p = line.sort_values("sample")
-        return pd.DataFrame({"line": p["line"], "sample": p["sample"], "distance": np.sqrt(envelope(p["sample"].to_numpy(float), p["_g"].to_numpy(float) ** 2))})
-
-    d = c.groupBy("line").applyInPandas(run, "line long, sample long, distance double")
+    # Both ways a frame that only grows: one that ends with its partition is summed anew for each row.
+    ways = {n: F.last(F.when(F.col(target), F.col("line")), True).over(Window.partitionBy("sample").orderBy(o)) for n, o in (("_a", "line"), ("_b", F.desc("line")))}
+    c = px.withColumns(ways).select("line", "sample", F.least(F.col("line") - F.col("_a"), F.col("_b") - F.col("line")).cast("double").alias("_g"))
+
+    def run(lines: pd.DataFrame) -> pd.DataFrame:
+        line, sample, g = (lines[n].to_numpy() for n in ("line", "sample", "_g"))
+        order = np.lexsort((sample, line))
+        line, sample, height = line[order], sample[order], g[order].astype(float) ** 2
+        ends = np.flatnonzero(np.diff(line)) + 1
+        found = [envelope(a, h) for a, h in zip(np.split(sample.astype(float), ends), np.split(height, ends), strict=True)]
+        return pd.DataFrame({"line": line, "sample": sample, "distance": np.sqrt(np.concatenate(found))})
+
+    each = max(1, LINES_OF // shape[1])
+    d = c.groupBy(F.expr(f"line div {each}")).applyInPandas(run, "line long, sample long, distance double")
     return d.select("line", "sample", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
 
 
