@@ -113,7 +113,7 @@ def hazard(terms: dict[str, tuple[str, float, float]]) -> Column:
 
 
 def distance(px: DataFrame, shape: tuple[int, int], target: str) -> DataFrame:
-    """line, sample, distance: exact Euclidean distance, in pixels, to the nearest pixel where target holds.
+    """line, sample, distance: exact Euclidean distance, in pixels, to the nearest pixel where target holds, of a raster without gaps.
 
     Along each sample's column, the nearest target's line offset by running minima; then, along each line, the lower
     envelope of the columns' parabolas, which a linear scan gives.
