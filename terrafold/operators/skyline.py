@@ -43,19 +43,26 @@ def upper(at: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Indices of the upper hull of points, from left to right; points on an edge stay."""
     order = np.lexsort((-z, at))
     order = order[np.r_[True, np.diff(at[order]) > 0]] if len(order) else order
-    hull: list[int] = []
-    for k in order:
-        while len(hull) > 1 and (z[hull[-1]] - z[hull[-2]]) * (at[k] - at[hull[-2]]) < (z[k] - z[hull[-2]]) * (at[hull[-1]] - at[hull[-2]]):
+    hull: list[tuple[int, float, int]] = []
+    for x, y, k in zip(at[order].tolist(), z[order].tolist(), order.tolist(), strict=True):
+        while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (x - hull[-2][0]) < (y - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
             hull.pop()
-        hull.append(k)
-    return np.array(hull, int)
+        hull.append((x, y, k))
+    return np.array([k for _, _, k in hull], int)
+
+
+def _profiles(prof: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The places of each profile's rows, in order."""
+    order = np.lexsort((at, prof))
+    return np.split(order, np.flatnonzero(np.diff(prof[order])) + 1) if len(order) else []
 
 
 def _hulls(rows: pd.DataFrame) -> pd.DataFrame:
     """The crests of each profile in a strip of blocks."""
     rows = rows[np.isfinite(rows["z"].to_numpy(float))]
-    kept = [own.iloc[upper(own["at"].to_numpy(), own["z"].to_numpy())] for _, own in rows.groupby("prof", sort=False)]
-    return pd.concat(kept) if kept else rows
+    at, z = rows["at"].to_numpy(), rows["z"].to_numpy(float)
+    kept = [own[upper(at[own], z[own])] for own in _profiles(rows["prof"].to_numpy(), at)]
+    return rows.iloc[np.concatenate(kept)] if kept else rows
 
 
 def _seen(steps: list[float], ways: tuple[bool, bool]):
@@ -69,25 +76,25 @@ def _seen(steps: list[float], ways: tuple[bool, bool]):
         return np.where(np.isfinite(top), top, np.nan), k
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in rows.groupby("prof", sort=False):
-            step, z = steps[int(own["rot"].iloc[0])], own["z"].to_numpy(float)
-            asks, known = own["ask"].to_numpy(), np.isfinite(z)
-            q = own[asks]
-            cand = own[known].sort_values("at", kind="stable")
-            c_at, c_z, at = cand["at"].to_numpy(), cand["z"].to_numpy(float), q["at"].to_numpy()
-            found = {n: q[n] for n in ("rot", "line", "sample")}
+        at, z, line, sample, asks = (rows[n].to_numpy() for n in ("at", "z", "line", "sample", "ask"))
+        z, asks, step = z.astype(float), asks.astype(bool), steps[int(rows["rot"].iloc[0])]
+        known, size = np.isfinite(z), len(rows)
+        found = {n: rows[n].to_numpy() for n in ("rot", "line", "sample")}
+        for name in ("ahead", "behind"):
+            found |= {name: np.full(size, np.nan), f"{name}_line": np.zeros(size, np.int64), f"{name}_sample": np.zeros(size, np.int64)}
+        for own in _profiles(rows["prof"].to_numpy(), at):
+            q, cand = own[asks[own]], own[known[own]]
             for name, wanted, sign in (("ahead", ways[0], 1), ("behind", ways[1], -1)):
-                slope, k = np.full(len(q), np.nan), np.zeros(len(q), int)
-                here = cand if sign > 0 else cand[::-1]
-                if wanted and len(cand):
-                    for a in range(0, len(q), 256):
-                        b = slice(a, a + 256)
-                        slope[b], k[b] = best(sign * at[b], z[asks][b], sign * (c_at if sign > 0 else c_at[::-1]), c_z if sign > 0 else c_z[::-1], step)
-                told = lambda n: np.where(np.isnan(slope), 0, here[n].to_numpy()[k]) if len(here) else np.zeros(len(q), int)  # noqa: B023, E731
-                found |= {name: slope, f"{name}_line": told("line"), f"{name}_sample": told("sample")}
-            out.append(pd.DataFrame(found))
-        return pd.concat(out)
+                here = cand[::sign]
+                if not (wanted and len(here)):
+                    continue
+                for a in range(0, len(q), 256):
+                    b = q[a : a + 256]
+                    slope, k = best(sign * at[b], z[b], sign * at[here], z[here], step)
+                    seen = ~np.isnan(slope)
+                    found[name][b] = slope
+                    found[f"{name}_line"][b], found[f"{name}_sample"][b] = np.where(seen, line[here[k]], 0), np.where(seen, sample[here[k]], 0)
+        return pd.DataFrame({n: x[asks] for n, x in found.items()})
 
     return run
 
@@ -107,8 +114,11 @@ def horizons(px: DataFrame, shape: tuple[int, int], angles: list[float], spacing
     ends = []
     for a, (_, _, step) in zip(angles, grids, strict=True):
         c, s = turned(a)
-        ends += [math.floor((x * spacing[0] * c + y * spacing[1] * s) / step + 0.5) for y, x in corners]
-    low, most = min(ends), (max(ends) - min(ends)) // segment
+        ends.append([math.floor((x * spacing[0] * c + y * spacing[1] * s) / step + 0.5) for y, x in corners])
+    low = min(map(min, ends))
+    most = (max(map(max, ends)) - low) // segment
+    # Each angle's first and last segments: crests go to no others, and a profile of one segment has none to send.
+    first_of, last_of = (F.expr(f"array({', '.join(f'{(f(e) - low) // segment}L' for e in ends)})[rot]") for f in (min, max))
     points = px.select("line", "sample", F.col(value).cast("double").alias("z"))
     points = points.select("*", F.explode(F.expr(f"array({', '.join(f'struct({k} AS rot, {prof} AS prof, {at} AS at)' for k, (prof, at, _) in enumerate(grids))})")).alias("g"))
     points = points.select(F.col("g.rot").alias("rot"), F.col("g.prof").alias("prof"), F.col("g.at").alias("at"), "z", "line", "sample")
@@ -118,15 +128,17 @@ def horizons(px: DataFrame, shape: tuple[int, int], angles: list[float], spacing
     copies = None
     if most:
         points = own = staged(own, "points")
-        met, size, hulls = [], 1, own.select(*[c.split()[0] for c in _POINT.split(", ")], F.col("seg").alias("block"))
+        met, size, hulls = [], 1, own.where(first_of < last_of).select(*[c.split()[0] for c in _POINT.split(", ")], F.col("seg").alias("block"))
         while size <= most:
             # The crests of each block go to all segments of the other blocks under the same parent.
             hulls = staged(hulls.withColumn("strip", strip).groupBy("rot", "strip", "block").applyInPandas(_hulls, f"{_POINT}, block long, strip long").drop("strip"), "hulls")
             first = F.expr(f"block div {FAN} * {FAN * size}")
-            to = F.explode(F.sequence(first, F.least(first + FAN * size - 1, F.lit(most).cast("long"))))
+            to = F.explode(F.sequence(F.greatest(first, first_of), F.least(first + FAN * size - 1, last_of)))
             met.append(hulls.select("*", to.alias("seg")).where(f"seg div {size} <> block").drop("block"))
             hulls, size = hulls.withColumn("block", F.expr(f"block div {FAN}")), size * FAN
-        far = reduce(DataFrame.unionByName, met)
+        # A turned profile has pixels in some of its angle's segments only; crests that meet none are left out.
+        asked = own.select("rot", strip.alias("strip"), "seg").distinct()
+        far = staged(reduce(DataFrame.unionByName, met).withColumn("strip", strip).join(asked, ["rot", "strip", "seg"], "left_semi").drop("strip"), "far")
         full = far.groupBy("rot", strip.alias("strip"), "seg").agg((F.count("*") / MOST).cast("int").alias("over")).where("over > 0")
         rows = own.withColumn("ask", F.lit(True))
         far = far.withColumn("ask", F.lit(False))

@@ -3,7 +3,7 @@
 import math
 import random
 
-from terrafold.operators import stencil
+from terrafold.operators import skyline, stencil
 
 
 def test_distance_frames(spark, monkeypatch):
@@ -20,3 +20,15 @@ def test_distance_frames(spark, monkeypatch):
         got = {(r.line, r.sample): r.distance for r in stencil.distance(df, (40, 9), "hit").collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
     assert {r.distance for r in stencil.distance(df.withColumn("hit", df.hit & False), (40, 9), "hit").collect()} == {None}
+
+
+def test_crests_meet_pixels(spark, monkeypatch):
+    """Crests go only to segments that have pixels of their strip, and a profile of one segment sends none."""
+    tables = {}
+    real = skyline.staged
+    monkeypatch.setattr(skyline, "staged", lambda df, name: tables.setdefault(name, real(df, name)) if name in ("points", "far") else real(df, name))
+    df = spark.createDataFrame([(a, b, float((a * 7 + b * 5) % 11)) for a in range(150) for b in range(4)], "line long, sample long, z double")
+    skyline.horizons(df, (150, 4), [0.0, 30.0, 90.0], (1.0, 1.0), segment=16)
+    strips = lambda t: {(r.rot, r.prof // skyline.STRIP, r.seg) for r in tables[t].collect()}
+    assert strips("far") and strips("far") <= strips("points")
+    assert {r[0] for r in strips("far")} == {1, 2}
