@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import LOWER, UPPER, small, staged
+from terrafold.operators import order
 
 # The rules of the registered query, host and path, allow or block.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 #: Longest context in characters; the weight of the next shorter context, in characters seen; the alphabet's nominal size.
 ORDER, BACKOFF, ALPHABET = 4, 5.0, 128
-#: Of the allowed URLs that are held out, this share may score as blocked. One in HELD_OUT is held out. The threshold
-#: comes from at most so many of them (those with the smallest hashes).
-FALSE_BLOCK, HELD_OUT, CALIBRATION_URLS = 0.01, 5, 20_000
+#: Of the allowed URLs that are held out, all of them, this share may score as blocked. One in HELD_OUT is held out.
+FALSE_BLOCK, HELD_OUT = 0.01, 5
 
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -96,11 +96,11 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     decided = rows.where("by_rule is not null").withColumn("score", F.lit(None).cast("double"))
     left = rows.where("by_rule is null").withColumn("given", F.col("url")).withColumn("url", F.coalesce("url", F.lit("")))
     if len(classes) == 2:
-        test = known.where(held & (F.col("by_rule") == "allow")).orderBy("__hash", "url").limit(CALIBRATION_URLS).select("__hash", "url")
+        test = known.where(held & (F.col("by_rule") == "allow")).select("url")
         found = grams(left, []).distinct().unionByName(grams(test, []).distinct())
         ratios = staged(scored(found, fit(train)), "ratios")
-        cut = scores(test.withColumn("__row", F.monotonically_increasing_id()), ratios, "__row", ["url"]).agg(F.percentile("score", F.lit(1 - FALSE_BLOCK)).alias("t")).first()["t"]
-        limit = max(0.0, cut or 0.0)
+        cut = order.quantiles(scores(test.withColumn("__row", F.monotonically_increasing_id()), ratios, "__row", ["url"]), "score", [1 - FALSE_BLOCK]).first()
+        limit = max(0.0, cut["value"] if cut else 0.0)
         left = scores(left.withColumn("__row", F.monotonically_increasing_id()), ratios, "__row", ["page_id", "given", "host", "path", "rule", "by_rule"])
     else:
         limit, left = 0.0, left.drop("url").withColumn("score", F.lit(None).cast("double"))

@@ -75,3 +75,14 @@ def test_held_out(spark, tmp_path):
     got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     right = sum((got[500 + i] == "block") == bool(i % 2) for i in range(100))
     assert right >= 95
+
+
+def test_threshold_of_all_held_out(spark, monkeypatch):
+    """The threshold comes from every held-out allowed URL: nothing bounds their number."""
+    monkeypatch.setattr(urls, "CALIBRATION_URLS", 3, raising=False)
+    rows = [(i, f"http://h{i}.org/story/{i}") for i in range(60)] + [(200 + i, f"http://h{i}.com/de/casino/{i}") for i in range(20)] + [(400, "http://q.net/casino")]
+    df, real, seen = spark.createDataFrame(rows, "page_id long, url string"), urls.scores, []
+    monkeypatch.setattr(urls, "scores", lambda u, *rest: seen.append(u.count()) or real(u, *rest))
+    urls.filter_urls(df)
+    held = df.where("page_id < 60").where(F.pmod(F.xxhash64("url"), F.lit(urls.HELD_OUT)) == 0).count()
+    assert held > 3 and seen[0] == held
