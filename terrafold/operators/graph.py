@@ -1,22 +1,35 @@
-"""Grid graphs: edges, connected components, shortest paths. Iterations are cut by tables in the shared folder."""
+"""Grid graphs: edges, connected components, shortest paths.
+
+Parts of a bounded size are solved whole in their task, so that rounds grow with the parts that a path crosses, not with
+its steps. Only what crosses parts is exchanged. Iterations are cut by tables in the shared folder. Joins that grow with
+the raster are merge joins: Spark broadcasts by the size of files, which for places is a small part of what they become.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.shared import staged as kept
 
+#: Vertices of a part of a grid, about, and samples of it at most.
+PART, ACROSS = 1 << 17, 512
+
 
-def grid_edges(px: DataFrame, passable: str, diagonal: bool = True) -> DataFrame:
-    """src, dst (struct of line and sample) and step (1 or the square root of 2) for neighbouring pixels that pass, both ways."""
+def grid_edges(px: DataFrame, passable: str, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """src, dst (struct of line and sample) and step (1 or the square root of 2) for neighbouring pixels that pass, both ways; each column c of carry as src_c and dst_c."""
     near = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
-    p = px.where(passable).select("line", "sample")
+    p = px.where(passable).select("line", "sample", F.struct("line", "sample", *carry).alias("at"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near])).alias("m")
-    one = p.select("line", "sample", moves).select("line", "sample", (F.col("line") + F.col("m.a")).alias("to_line"), (F.col("sample") + F.col("m.b")).alias("to_sample"), F.sqrt((F.col("m.a") != 0).cast("int") + (F.col("m.b") != 0).cast("int")).alias("step"))
-    there = p.select(F.col("line").alias("to_line"), F.col("sample").alias("to_sample"))
-    e = one.join(there, ["to_line", "to_sample"]).select(F.struct("line", "sample").alias("src"), F.struct(F.col("to_line").alias("line"), F.col("to_sample").alias("sample")).alias("dst"), "step")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "step"))
+    one = p.select("line", "sample", "at", moves).select(F.col("at").alias("src"), (F.col("line") + F.col("m.a")).alias("line"), (F.col("sample") + F.col("m.b")).alias("sample"), F.sqrt((F.col("m.a") != 0).cast("int") + (F.col("m.b") != 0).cast("int")).alias("step"))
+    e = one.join(p.withColumnRenamed("at", "dst").hint("merge"), ["line", "sample"]).select("src", "dst", "step")
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "step"))
+    return e.select(*[F.struct(f"{s}.line", f"{s}.sample").alias(s) for s in ("src", "dst")], "step", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in carry for s in ("src", "dst")])
 
 
 def components(px: DataFrame, member: str, diagonal: bool = True) -> DataFrame:
@@ -33,18 +46,71 @@ def components(px: DataFrame, member: str, diagonal: bool = True) -> DataFrame:
             return labels.select("v.line", "v.sample", F.col("c").alias("label"))
 
 
-def cheapest(edges: DataFrame, source: DataFrame) -> DataFrame:
-    """v, cost, hops, before (the vertex before it) of every vertex that edges (src, dst, cost) reach from source (v): relaxation, one join a round."""
-    edges = kept(edges.select("src", "dst", "cost"), "edges")
-    best = kept(source.select("v", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("v").alias("before"), F.lit(True).alias("fresh")), "best")
-    while best.where("fresh").limit(1).count():
-        reached = best.where("fresh").join(edges.withColumnRenamed("cost", "w"), F.col("v") == F.col("src"))
-        new = reached.groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("before"))).alias("n"))
-        both = best.join(new, "v", "full_outer")
-        better = F.col("cost").isNull() | F.coalesce(F.col("n.cost") < F.col("cost"), F.lit(False))
-        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
-        best = kept(both.select("v", pick("cost"), pick("hops"), pick("before"), better.alias("fresh")), "best")
-    return best.drop("fresh")
+def numbered(shape: tuple[int, int]) -> tuple[Callable[..., Column], Callable[[str], Column], Callable[[str], Column]]:
+    """For a grid of this shape: the number of a vertex (its line and sample, and layer if there are several), a number's place (a struct with them), and its part."""
+    lines, samples = shape
+    wide = min(samples, ACROSS)
+    long = max(1, PART // wide)
+    number = lambda at, layer="0": F.expr(f"bigint(({layer}) * {lines}L + {at}.line) * {samples}L + {at}.sample")
+    place = lambda v: F.expr(f"struct({v} div {samples} % {lines} as line, {v} % {samples} as sample, {v} div {samples} div {lines} as layer)")
+    part = lambda v: F.expr(f"({v} div {samples} div {lines} * {-(-lines // long)}L + {v} div {samples} % {lines} div {long}) * {-(-samples // wide)}L + {v} % {samples} div {wide}")
+    return number, place, part
+
+
+def _paths(edges: pa.Table, begin: pa.Table) -> pa.Table:
+    """The best labels (cost, hops, before) that a part's edges give, inside and just beyond it, from those that vertices begin with."""
+    src, dst, cost = (edges.column(c).to_numpy() for c in ("src", "dst", "cost"))
+    order = np.argsort(src, kind="stable")
+    names, code = np.unique(np.concatenate([src[order], dst[order], begin.column("v").to_numpy(), begin.column("before").to_numpy()]), return_inverse=True)
+    n, m = len(src), begin.num_rows
+    starts = np.searchsorted(code[:n], np.arange(len(names) + 1)).tolist()
+    to, cost = code[n : 2 * n].tolist(), cost[order].tolist()
+    best = [None] * len(names)
+    for v, label in zip(code[2 * n : 2 * n + m].tolist(), zip(begin.column("cost").to_pylist(), begin.column("hops").to_pylist(), code[2 * n + m :].tolist(), strict=True), strict=True):
+        best[v] = label
+    heap = [(label, v) for v, label in enumerate(best) if label is not None]
+    heapq.heapify(heap)
+    while heap:
+        label, v = heapq.heappop(heap)
+        if label is best[v]:  # else a better one came
+            for k in range(starts[v], starts[v + 1]):
+                new, o = (label[0] + cost[k], label[1] + 1, v), to[k]
+                if best[o] is None or new < best[o]:
+                    best[o] = new
+                    heapq.heappush(heap, (new, o))
+    told = [v for v, label in enumerate(best) if label is not None]
+    part = pa.array(np.full(len(told), begin.column("part")[0].as_py() if m else 0))
+    cost, hops, before = zip(*[best[v] for v in told], strict=True) if told else ((), (), ())
+    return pa.table({"part": part, "v": names[told], "cost": pa.array(cost, pa.float64()), "hops": pa.array(hops, pa.int64()), "before": names[list(before)]})
+
+
+def cheapest(edges: DataFrame, source: DataFrame, part: Callable[[str], Column] | None = None) -> DataFrame:
+    """v, cost, hops, before (the vertex before it) of every vertex that edges (src, dst, cost) reach from source (v); vertices are numbers.
+
+    part tells a vertex's part from its name; parts are solved whole, and a round solves those that a better way has
+    entered since. Without it, vertices are dealt by hash to as many parts as hold them.
+    """
+    if part is None:
+        edges = kept(edges.select("src", "dst", "cost"), "edges")
+        parts = edges.select("src").distinct().count() // PART + 1
+        part = lambda v: F.pmod(F.xxhash64(v), F.lit(parts))
+    edges = kept(edges.select("src", "dst", "cost", part("src").alias("part")), "edges")
+    enter = kept(source.select(part("v").alias("part"), F.col("v").cast("long").alias("v"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.col("v").cast("long").alias("before"), F.lit(True).alias("fresh")).where("v is not null"), "enter")
+    schema = "part long, v long, cost double, hops long, before long"
+
+    def solved(parts: DataFrame | None) -> DataFrame:
+        e, b = edges, enter.drop("fresh")
+        if parts is not None:
+            e, b = (t.join(F.broadcast(parts), "part", "left_semi") for t in (e, b))  # a row for each part of PART vertices
+        return e.groupBy("part").cogroup(b.groupBy("part")).applyInArrow(_paths, schema)
+
+    while enter.where("fresh").limit(1).count():
+        out = solved(enter.where("fresh").select("part").distinct()).where(part("v") != F.col("part")).select(part("v").alias("part"), "v", "cost", "hops", "before", F.lit(True).alias("fresh"))
+        label = F.struct("cost", "hops", "before", "fresh")  # of equal labels the old one, which is not fresh, is the smaller
+        both = enter.withColumn("fresh", F.lit(False)).unionByName(out)
+        enter = kept(both.groupBy("part", "v").agg(F.min(label).alias("x")).select("part", "v", "x.*"), "enter")
+    inside = solved(None).where(part("v") == F.col("part"))
+    return kept(inside.select("v", "cost", F.col("hops").cast("int").alias("hops"), "before"), "best")
 
 
 def walk_back(best: DataFrame, end: DataFrame) -> DataFrame:

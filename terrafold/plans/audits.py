@@ -172,10 +172,11 @@ SELECT strategy, count(*) AS reached, round(max(cost), 6) AS farthest, round(avg
 def strategy_routes(spark, sf_dir):
     """Least costs under three strategies at once, each with its own cost of entering a block: costs differ by direction. The strategy is part of the vertex."""
     b = _blocks(spark, sf_dir)
-    h = b.select(F.struct("line", "sample").alias("v"), "h")
-    e = graph.grid_edges(b, "h < 0.65D").join(h.select(F.col("v").alias("dst"), "h"), "dst")
-    s = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(x).alias("rough"), F.lit(y).alias("bright")) for k, (x, y) in _STRATEGIES.items()]))
-    e = e.select("*", s.alias("s")).select(F.struct("s.strategy", "src.line", "src.sample").alias("src"), F.struct("s.strategy", "dst.line", "dst.sample").alias("dst"), F.expr("step * (1 + s.rough * h + s.bright * h * h)").alias("cost"))
-    start = b.where("h < 0.65D").agg(F.min(F.struct("line", "sample")).alias("v")).select(F.explode(F.array(*[F.lit(k) for k in _STRATEGIES])).alias("k"), "v").select(F.struct(F.col("k").alias("strategy"), "v.line", "v.sample").alias("v"))
-    best = graph.cheapest(e, start)
-    return best.groupBy("v.strategy").agg(F.count("*").alias("reached"), r6(F.max("cost")).alias("farthest"), r6(F.avg("cost")).alias("mean"))
+    number, place, part = graph.numbered(views.shape(b))
+    s = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("rough"), F.lit(y).alias("bright")) for k, (x, y) in enumerate(_STRATEGIES.values())]))
+    e = graph.grid_edges(b, "h < 0.65D", carry=["h"]).select("*", s.alias("s"))
+    e = e.select(number("src", "s.k").alias("src"), number("dst", "s.k").alias("dst"), F.expr("step * (1 + s.rough * dst_h + s.bright * dst_h * dst_h)").alias("cost"))
+    start = b.where("h < 0.65D").agg(F.min(F.struct("line", "sample")).alias("v")).select("v", F.explode(F.sequence(F.lit(0), F.lit(len(_STRATEGIES) - 1))).alias("k")).select(number("v", "k").alias("v"))
+    best = graph.cheapest(e, start, part).withColumn("v", place("v"))
+    strategy = F.element_at(F.array(*[F.lit(k) for k in _STRATEGIES]), (F.col("v.layer") + 1).cast("int"))
+    return best.groupBy(strategy.alias("strategy")).agg(F.count("*").alias("reached"), r6(F.max("cost")).alias("farthest"), r6(F.avg("cost")).alias("mean"))

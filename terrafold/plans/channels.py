@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.operators import graph, order, stencil
@@ -186,29 +188,29 @@ t AS (SELECT v FROM m WHERE h > 0.55 AND v % 7 = 3)
 SELECT t.v // 1000 AS line, t.v % 1000 AS sample, round(cost, 6) AS cost, cost = min(cost) OVER () AS nearest FROM t JOIN r USING (v)""")
 def route_targets(spark, sf_dir):
     """Least cost from the first passable block to each target it reaches, and which of them is nearest."""
-    best, t = routed(spark, sf_dir)
-    j = staged(best.join(t, "v").select("v", "cost"), "targets")
+    best, t, place = routed(spark, sf_dir)
+    j = staged(best.join(t, "v").select(place("v").alias("v"), "cost"), "targets")
     low = j.agg(F.min("cost").alias("low"))
     return j.join(F.broadcast(low)).select("v.line", "v.sample", r6("cost").alias("cost"), (F.col("cost") == F.col("low")).alias("nearest"))
 
 
-def routed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """What each block costs, with the block before it; and the targets."""
+def routed(spark, sf_dir) -> tuple[DataFrame, DataFrame, Callable[[str], Column]]:
+    """What each block costs, with the block before it; the targets; and the place of a block's number."""
     b = _blocks(spark, sf_dir)
-    e = graph.grid_edges(b, "h < 0.65D")
-    h = b.select(F.struct("line", "sample").alias("v"), "h")
-    e = e.join(h.select(F.col("v").alias("src"), F.col("h").alias("a")), "src").join(h.select(F.col("v").alias("dst"), F.col("h").alias("b")), "dst")
-    start = b.where("h < 0.65D").agg(F.min(F.struct("line", "sample")).alias("v"))
-    best = graph.cheapest(e.select("src", "dst", (F.col("step") * (1 + (F.col("a") + F.col("b")) / 2)).alias("cost")), start)
-    return best, b.where("h > 0.55D and h < 0.65D and (line * 1000 + sample) % 7 = 3").select(F.struct("line", "sample").alias("v"))
+    number, place, part = graph.numbered(views.shape(b))
+    e = graph.grid_edges(b, "h < 0.65D", carry=["h"])
+    start = b.where("h < 0.65D").agg(F.min(F.struct("line", "sample")).alias("v")).select(number("v").alias("v"))
+    best = graph.cheapest(e.select(number("src").alias("src"), number("dst").alias("dst"), (F.col("step") * (1 + (F.col("src_h") + F.col("dst_h")) / 2)).alias("cost")), start, part)
+    t = b.where("h > 0.55D and h < 0.65D and (line * 1000 + sample) % 7 = 3").select(F.struct("line", "sample").alias("v"))
+    return best, t.select(number("v").alias("v")), place
 
 
 @query()
 def route_walk(spark, sf_dir):
     """The way to the nearest target, block by block from its end: place, cost so far, climb and energy (iterative: no SQL; tested for its invariants)."""
-    best, t = routed(spark, sf_dir)
+    best, t, place = routed(spark, sf_dir)
     end = best.join(t, "v").agg(F.min_by("v", F.struct("cost", "v")).alias("v"))
-    walk = graph.walk_back(best, end)
+    walk = graph.walk_back(best, end).select(place("v").alias("x"), "cost", "place").select(F.struct("x.line", "x.sample").alias("v"), "cost", "place")
     h = _blocks(spark, sf_dir).select(F.struct("line", "sample").alias("v"), "h")
     w = Window.partitionBy(F.lit(0)).orderBy("place")  # one path: no longer than the grid's width and height together, or some of that
     p = walk.join(h, "v").withColumn("climb", F.greatest(F.lit(0.0), F.col("h") - F.coalesce(F.lag("h").over(w), F.col("h"))))
