@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from terrafold.shared import staged as kept
 
-#: Vertices of a part of a grid, about, and samples of it at most.
-PART, ACROSS = 1 << 17, 512
+#: A tile's edge, in components; vertices of a part, about, and samples of it at most, in paths.
+EDGE, PART, ACROSS = 256, 1 << 17, 512
 
 
 def grid_edges(px: DataFrame, passable: str, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -32,18 +32,81 @@ def grid_edges(px: DataFrame, passable: str, diagonal: bool = True, carry: Seque
     return e.select(*[F.struct(f"{s}.line", f"{s}.sample").alias(s) for s in ("src", "dst")], "step", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in carry for s in ("src", "dst")])
 
 
-def components(px: DataFrame, member: str, diagonal: bool = True) -> DataFrame:
-    """line, sample, label for pixels where member holds; label is its component's first pixel (by line, then sample)."""
-    edges = kept(grid_edges(px, member, diagonal).select("src", "dst"), "edges")
-    labels = kept(px.where(member).select(F.struct("line", "sample").alias("v")).withColumn("c", F.col("v")), "labels")
+def connected(edges: DataFrame) -> DataFrame:
+    """v, c for each end of edges (a, b): c is the smallest end that v reaches.
+
+    Each end points to its smallest neighbour, pointers jump to their roots, and edges become edges of roots, of which
+    there are at most half as many, until none is left.
+    """
+    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    found = None
     while True:
-        near = edges.join(labels.select(F.col("v").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("c").alias("n"))
-        step = labels.join(near, "v", "left").withColumn("new", F.least("c", F.coalesce("n", "c")))
-        jump = labels.select(F.col("v").alias("new"), F.col("c").alias("far"))
-        step = kept(step.join(jump, "new").select("v", F.least("new", "far").alias("c"), F.col("c").alias("old")), "labels")
-        labels, moved = step.select("v", "c"), step.where("c <> old").limit(1).count()
-        if not moved:
-            return labels.select("v.line", "v.sample", F.col("c").alias("label"))
+        to = lambda v, c: F.struct(F.col(v).alias("v"), F.col(c).alias("c"))
+        ends = edges.select(F.explode(F.array(to("a", "b"), to("b", "a"))).alias("x"))
+        roots = kept(ends.groupBy("x.v").agg(F.min("x.c").alias("c")).select("v", F.least("v", "c").alias("c")), "roots")
+        while True:
+            far = roots.select(F.col("v").alias("c"), F.col("c").alias("far"))
+            jumped = kept(roots.join(far.hint("merge"), "c").select("v", "c", "far"), "roots")
+            roots = jumped.select("v", F.col("far").alias("c"))
+            if not jumped.where("far <> c").limit(1).count():
+                break
+        of = lambda v, c: roots.select(F.col("v").alias(v), F.col("c").alias(c)).hint("merge")  # noqa: B023, E731
+        found = roots if found is None else kept(found.join(of("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), "labels")
+        left = edges.join(of("a", "p"), "a").join(of("b", "q"), "b").where("p <> q")
+        edges = kept(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
+            return found
+
+
+def first_of_component(line: np.ndarray, sample: np.ndarray, diagonal: bool) -> np.ndarray:
+    """For each of a tile's pixels, in order, the index of the first one that it is connected with."""
+    width = int(sample.max() - sample.min()) + 3
+    at = (line - line.min()) * width + sample - sample.min() + 1
+    same = np.flatnonzero(at[1:] == at[:-1])  # a place given twice
+    label, pairs = np.arange(len(at)), [np.stack([same, same + 1])]
+    for move in (1, width, *((width - 1, width + 1) if diagonal else ())):
+        there = np.minimum(np.searchsorted(at, at + move), len(at) - 1)
+        here = np.flatnonzero(at[there] == at + move)
+        pairs.append(np.stack([here, there[here]]))
+    a, b = np.concatenate(pairs, 1)
+    while len(a):
+        np.minimum.at(label, b, a)  # a pixel points to a smaller root
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[a], label[b]
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    return label
+
+
+def _tile_components(diagonal: bool):
+    def run(tile: pa.Table) -> pa.Table:
+        line, sample = tile.column("line").to_numpy(), tile.column("sample").to_numpy()
+        order = np.lexsort((sample, line))
+        line, sample = line[order], sample[order]
+        first = first_of_component(line, sample, diagonal)
+        return pa.table({"line": line, "sample": sample, "root_line": line[first], "root_sample": sample[first]})
+
+    return run
+
+
+def components(px: DataFrame, member: str, diagonal: bool = True, sized: bool = False) -> DataFrame:
+    """line, sample, label (and size) for pixels where member holds; label is its component's first pixel (by line, then sample), size its pixels.
+
+    Tiles are labelled whole; then the components that touch across tiles are joined.
+    """
+    at = [F.floor(F.col(c) / EDGE).alias(f"_t{c}") for c in ("line", "sample")]
+    p = px.where(member).select(F.col("line").cast("long").alias("line"), F.col("sample").cast("long").alias("sample"))
+    p = p.groupBy(*at).applyInArrow(_tile_components(diagonal), "line long, sample long, root_line long, root_sample long")
+    p = kept(p.select("line", "sample", F.struct(F.col("root_line").alias("line"), F.col("root_sample").alias("sample")).alias("root")), "tiles")
+    rim = p.where(" or ".join(f"pmod({c}, {EDGE}) in (0, {EDGE - 1})" for c in ("line", "sample")))
+    across = grid_edges(rim, "true", diagonal, ["root"]).where("src_root < dst_root").select(F.col("src_root").alias("a"), F.col("dst_root").alias("b"))
+    names = connected(across).select(F.col("v").alias("root"), F.col("c").alias("label"))
+    if not sized:
+        return p.join(names.hint("merge"), "root", "left").select("line", "sample", F.coalesce("label", "root").alias("label"))
+    part = p.groupBy("root").agg(F.count("*").alias("n")).join(names.hint("merge"), "root", "left").select("root", F.coalesce("label", "root").alias("label"), "n")
+    part = kept(part, "parts")
+    whole = part.groupBy("label").agg(F.sum("n").alias("size"))
+    return p.join(part.join(whole.hint("merge"), "label").hint("merge"), "root").select("line", "sample", "label", "size")
 
 
 def numbered(shape: tuple[int, int]) -> tuple[Callable[..., Column], Callable[[str], Column], Callable[[str], Column]]:

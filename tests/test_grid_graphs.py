@@ -15,6 +15,30 @@ def maze(lines, samples, seed, share=0.62):
     return [(a - 3, b, rng.uniform(0, 1)) for a in range(lines) for b in range(samples) if rng.random() < share]
 
 
+@pytest.mark.parametrize("diagonal", [True, False])
+@pytest.mark.parametrize("edge", [2, 5, 256])
+def test_components_across_tiles(spark, monkeypatch, edge, diagonal):
+    monkeypatch.setattr(graph, "EDGE", edge)
+    cells = {(a, b) for a, b, _ in maze(17, 14, edge)}
+    px = spark.createDataFrame([(a, b, True) for a, b in cells] + [(90, 90, False)], "line long, sample long, hit boolean")
+    want, sizes = {}, {}
+    for first in sorted(cells):
+        if first not in want:
+            left, want[first] = [first], first
+            while left:
+                a, b = left.pop()
+                for x in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or 0 in (i, j)):
+                    if x in cells and x not in want:
+                        want[x] = first
+                        left.append(x)
+    for root in want.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    assert {(r.line, r["sample"]): tuple(r.label) for r in graph.components(px, "hit", diagonal).collect()} == want
+    got = graph.components(px, "hit", diagonal, sized=True).collect()
+    assert {(r.line, r["sample"]): (tuple(r.label), r.size) for r in got} == {k: (v, sizes[v]) for k, v in want.items()} and len(got) == len(want)
+    assert graph.components(px.where("line = 90"), "hit", diagonal).collect() == []
+
+
 @pytest.mark.parametrize("part", [7, 40, 1 << 17])
 def test_paths_across_parts(spark, monkeypatch, part):
     """Ways that leave a part and come back, layers with costs of their own, vertices that nothing reaches."""
@@ -46,7 +70,7 @@ def test_paths_across_parts(spark, monkeypatch, part):
 
 
 def test_rounds_of_long_paths(spark, monkeypatch):
-    """A path of a thousand steps within a part takes a few tables, not one for each step."""
+    """A path of a thousand steps within a part takes a few tables, not one for each step; so does a snake of pixels."""
     tables, real = [], graph.kept
     monkeypatch.setattr(graph, "kept", lambda df, name: tables.append(name) or real(df, name))
     px = spark.range(1000).selectExpr("id AS line", "0L AS sample", "true AS hit")
@@ -54,6 +78,9 @@ def test_rounds_of_long_paths(spark, monkeypatch):
     e = graph.grid_edges(px, "hit").select(number("src").alias("src"), number("dst").alias("dst"), F.col("step").alias("cost"))
     got = graph.cheapest(e, spark.createDataFrame([(0,)], "v long"), part)
     assert got.agg(F.max("cost"), F.count("*")).first()[:] == (999.0, 1000) and len(tables) <= 5
+    tables.clear()
+    labels = graph.components(px, "hit", sized=True).select("label", "size").distinct().collect()
+    assert [(tuple(r.label), r.size) for r in labels] == [((0, 0), 1000)] and len(tables) <= 10
 
 
 def test_no_way_on(spark):
