@@ -11,8 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A tile's edge; pixels in a group of whole lines, about (one line at least).
-EDGE, LINES_OF = 256, 1 << 16
+#: A tile's edge; pixels in a group of whole lines, about (one line at least); pixels of a task, about, in large rasters.
+EDGE, LINES_OF, PER_TASK = 256, 1 << 16, 1 << 17
+
+
+def spread(df: DataFrame, shape: tuple[int, int], *by: str) -> DataFrame:
+    """df dealt by columns: to the session's number of tasks, or to more where those would get more than PER_TASK pixels of a raster of this shape."""
+    n = -(-shape[0] * shape[1] // PER_TASK)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*by)
 
 
 def _images(x: str, n: int, h: int, boundary: str) -> str:
@@ -33,7 +39,7 @@ def tiled(px: DataFrame, shape: tuple[int, int], h: int, boundary: str = "valid"
         t = t.withColumn(f"_{name}", F.explode(F.expr(_images(x, n, h, boundary)).cast("array<long>")))
         lo, hi = f"greatest(0, bigint(floor((_{name} - {h}) / {edge})))", f"least({(n - 1) // edge}, bigint(floor((_{name} + {h}) / {edge})))"
         t = t.withColumn(f"_t{name}", F.explode(F.expr(f"sequence({lo}, {hi})")))
-    return t.repartition("_tl", "_ts")
+    return spread(t, shape, "_tl", "_ts")
 
 
 def own(t: DataFrame, edge: int | None = None) -> DataFrame:

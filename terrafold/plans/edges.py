@@ -39,6 +39,7 @@ def edges(px: DataFrame, shape: tuple[int, int], weak: float, strong: float) ->
     labels = graph.components(g, "thin")
     seeds = labels.join(g.where(f"thin and size > {strong}").select("line", "sample"), ["line", "sample"]).select("label").distinct()
     kept = labels.join(seeds, "label", "left_semi").select("line", "sample", F.lit(True).alias("edge"))
+    g, kept = (stencil.spread(t, shape, "line", "sample") for t in (g, kept))
     return g.join(kept, ["line", "sample"], "left").select("line", "sample", "v", F.coalesce("edge", F.lit(False)).alias("edge"))
 
 
@@ -70,6 +71,6 @@ def boulder_risk(spark, sf_dir):
     v = staged(scaled(px), "scaled")
     low = stencil.extremes(v, shape, 5, "v", "min").select("line", "sample", "v", "min")
     hat = stencil.extremes(low, shape, 5, "min", "max").select("line", "sample", (F.col("v") - F.col("max")).alias("hat"))
-    r = edges(v, shape, WEAK, STRONG).join(hat, ["line", "sample"])
+    r = edges(v, shape, WEAK, STRONG).join(stencil.spread(hat, shape, "line", "sample"), ["line", "sample"])
     risk = F.greatest(F.col("hat") / 255, F.col("edge").cast("int").cast("double"))
     return r.groupBy(F.expr(f"line div {CELL}").alias("cell_line"), F.expr(f"sample div {CELL}").alias("cell_sample")).agg(r6(F.avg(risk)).alias("risk"), F.max("hat").alias("highest"), F.count_if("edge").alias("edges"))

@@ -2,8 +2,12 @@
 
 import math
 import random
+import re
 
 from terrafold.operators import skyline, stencil
+from terrafold.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_distance_frames(spark, monkeypatch):
@@ -32,3 +36,16 @@ def test_crests_meet_pixels(spark, monkeypatch):
     strips = lambda t: {(r.rot, r.prof // skyline.STRIP, r.seg) for r in tables[t].collect()}
     assert strips("far") and strips("far") <= strips("points")
     assert {r[0] for r in strips("far")} == {1, 2}
+
+
+def test_tasks_grow_with_pixels(spark, monkeypatch):
+    """Beyond PER_TASK pixels a task, stencils and the joins of their results are dealt to more tasks, with the same result."""
+    px = spark.range(1000).selectExpr("id div 10 AS line", "id % 10 AS sample", "double(hash(id) % 97) AS z")
+    assert stencil.tiled(px, (100, 10), 1).rdd.getNumPartitions() <= 4
+    want = sorted(QUERIES["boulder_risk"](spark, SF).collect())
+    monkeypatch.setattr(stencil, "PER_TASK", 60)
+    assert stencil.tiled(px, (100, 10), 1).rdd.getNumPartitions() == 17
+    got = QUERIES["boulder_risk"](spark, SF)
+    assert sorted(got.collect()) == want
+    deals = re.findall(r"hashpartitioning\(line#\d+L?, sample#\d+L?, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert len(deals) >= 3 and set(deals) == {"17"}
