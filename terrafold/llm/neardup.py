@@ -12,7 +12,7 @@ registers are the buckets.
    verified against hubs; what is outside of its largest component then meets all of it, block by block.
 
 Blocks return spanning links, no more than they have members, so no join carries pairs. Links are joined into
-components by joins of label tables.
+components by joins of root tables, from which a round takes the edges that it has settled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.arrowtext import U, chunks, mix, shingle_sets
-from terrafold.llm.common import BROADCAST_ROWS, small, staged
+from terrafold.llm.common import small, staged
+from terrafold.operators.graph import connected
 
 #: Base, rate and limit of the registers, which are 16 bits wide. A base near 1 keeps them locality-sensitive.
 SKETCH_BASE, SKETCH_RATE, SKETCH_MAX = 1.001, 20.0, 65_535
@@ -252,24 +253,6 @@ def blocks(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(small(whole), key).select(*rows.columns, F.explode(places).alias("x")).select(*rows.columns, "x.*")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, c for each end of edges (a, b): c is the smallest id that v reaches. Labels spread by joins, and jump to their label's label.
-
-    Labels are broadcast while there are at most BROADCAST_ROWS, so that a round shuffles once.
-    """
-    both = staged(edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))).alias("x")).select("x.*").distinct(), "edges")
-    labels = staged(both.groupBy("v").agg(F.least("v", F.min("to")).alias("c")), "labels")
-    sized = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df
-    while True:
-        of = lambda v, c: sized(labels.select(F.col("v").alias(v), F.col("c").alias(c)))
-        near = both.join(of("to", "c"), "to").groupBy("v").agg(F.min("c").alias("near"))
-        new = near.join(of("v", "old"), "v").withColumn("c", F.least("near", "old")).join(of("c", "far"), "c").withColumn("c", F.least("c", "far"))
-        new = staged(new.join(of("c", "further"), "c").select("v", F.least("c", "further").alias("c"), "old"), "labels")
-        labels = new.select("v", "c")
-        if not new.where("c <> old").limit(1).count():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
@@ -300,7 +283,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     run, schema = _estimate_batches()
     near = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(one("a", "x", "n_a"), "a").join(one("b", "y", "n_b"), "b").repartition(tasks, "a", "b").mapInArrow(run, schema)
     near = staged(near.where(F.col("est") >= min(FAMILY, limit)), "near")
-    family = components(near)
+    family = connected(near)
     # 2. Buckets that hold several families.
     of = lambda df: df.join(family, df["rep"] == family["v"], "left").withColumn("comp", F.coalesce("c", "rep")).drop("v", "c")
     seen = of(common.select("rep", "band", "value"))
@@ -309,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         rows = seen.join(small(apart), ["band", "value"]).join(reps.select("rep", "n", "regs"), "rep")
         at = ["band", "value", "p", "q"]
         more = blocks(rows, at[:2]).repartition(tasks, *at).groupBy(*at).applyInArrow(_register_block(num, den, limit, spread), "a long, b long")
-        family = components(near.select("a", "b").unionByName(staged(more.distinct(), "more")))
+        family = connected(near.select("a", "b").unionByName(staged(more.distinct(), "more")))
     # 3. Families' full sets, in blocks.
     members = family.select(F.col("c").alias("family"), F.col("v").alias("rep")).join(reps.select("rep", "key", "n"), "rep").withColumn("comp", F.col("rep"))
     members = staged(members, "families")
@@ -322,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         ends = pairs.select("*", F.explode(F.array("a", "b")).alias("rep"))
         best = ends.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("est"), "a", "b"))).where(f"k <= {HUBS}")
         links = staged(_verified(text, inside, best.select("a", "b").distinct(), k, num, den), "links")
-        comp = components(links)
+        comp = connected(links)
         members = members.drop("comp").join(comp, F.col("rep") == comp["v"], "left").withColumn("comp", F.coalesce("c", "rep")).drop("v", "c")
     dealt = staged(blocks(members.select("family", "rep", "key", "n", "comp"), ["family"]), "dealt")
     sets = _sets(text, dealt.select("rep", "key").distinct(), k)
@@ -330,7 +313,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     at = ["family", "p", "q"]
     found = rows.repartition(tasks, *at).groupBy(*at).applyInArrow(_set_block(num, den), "a long, b long")
     links = staged(found if links is None else found.unionByName(links), "links")
-    comp = components(links)
+    comp = connected(links)
     ends = reps.join(comp, reps["rep"] == comp["v"], "left").select("key", F.coalesce("c", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "key").join(ends, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -19,6 +19,8 @@ from terrafold.shared import staged as kept
 
 #: A tile's edge, in components; vertices of a part, about, and samples of it at most, in paths.
 EDGE, PART, ACROSS = 256, 1 << 17, 512
+#: Roots are broadcast while there are so many, counted, at most.
+BROADCAST_ROWS = 200_000
 
 
 def grid_edges(px: DataFrame, passable: str, diagonal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +35,7 @@ def grid_edges(px: DataFrame, passable: str, diagonal: bool = True, carry: Seque
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """v, c for each end of edges (a, b): c is the smallest end that v reaches.
+    """v, c for each end of edges (a, b; other columns are ignored): c is the smallest end that v reaches.
 
     Each end points to its smallest neighbour, pointers jump to their roots, and edges become edges of roots, of which
     there are at most half as many, until none is left.
@@ -44,13 +46,14 @@ def connected(edges: DataFrame) -> DataFrame:
         to = lambda v, c: F.struct(F.col(v).alias("v"), F.col(c).alias("c"))
         ends = edges.select(F.explode(F.array(to("a", "b"), to("b", "a"))).alias("x"))
         roots = kept(ends.groupBy("x.v").agg(F.min("x.c").alias("c")).select("v", F.least("v", "c").alias("c")), "roots")
+        sized = F.broadcast if roots.count() <= BROADCAST_ROWS else lambda df: df.hint("merge")
         while True:
             far = roots.select(F.col("v").alias("c"), F.col("c").alias("far"))
-            jumped = kept(roots.join(far.hint("merge"), "c").select("v", "c", "far"), "roots")
+            jumped = kept(roots.join(sized(far), "c").select("v", "c", "far"), "roots")
             roots = jumped.select("v", F.col("far").alias("c"))
             if not jumped.where("far <> c").limit(1).count():
                 break
-        of = lambda v, c: roots.select(F.col("v").alias(v), F.col("c").alias(c)).hint("merge")  # noqa: B023, E731
+        of = lambda v, c: sized(roots.select(F.col("v").alias(v), F.col("c").alias(c)))  # noqa: B023, E731
         found = roots if found is None else kept(found.join(of("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), "labels")
         left = edges.join(of("a", "p"), "a").join(of("b", "q"), "b").where("p <> q")
         edges = kept(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges")

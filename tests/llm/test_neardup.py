@@ -67,3 +67,19 @@ def test_drop(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(df).collect() == []
+
+
+def test_a_joined_group_leaves(spark, monkeypatch):
+    """Edges inside a group are joined once: a dense group and a chain take few rounds, and a round is left few of their edges."""
+    from terrafold.operators import graph
+
+    rounds, real = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: (t := real(df, name), rounds.append(t.count()) if name == "edges" else None)[0])
+    dense = [(a, b) for a in range(100, 140) for b in range(a + 1, 140)]
+    chain = [(k, k + 1) for k in range(500, 600)]
+    zigzag = [(900 + (k * 37) % 101, 900 + ((k + 1) * 37) % 101) for k in range(100)]
+    edges = spark.createDataFrame([*dense, *chain, *zigzag, (3, 3), (8, 7), (7, 8)], "a long, b long")
+    got = {r.v: r.c for r in graph.connected(edges).collect()}
+    assert got == {**{v: 100 for v in range(100, 140)}, **{v: 500 for v in range(500, 601)}, **{v: 900 for v in range(900, 1001)}, 7: 7, 8: 7}
+    assert len(rounds) <= 8 and rounds[0] == len(dense) + 201 and rounds[1] <= 50 and rounds[-1] == 0
+    assert graph.connected(edges.where("a < 0")).collect() == []
